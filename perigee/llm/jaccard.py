@@ -120,7 +120,7 @@ def _set_table(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
     return materialize(sets.dropDuplicates() if repeats else sets)
 
 
-_FITS = (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
+_FITS = "5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a"
 
 
 def join(docs: DataFrame) -> DataFrame:
