@@ -152,7 +152,7 @@ def join(docs: DataFrame) -> DataFrame:
     named = materialize(named.join(mixed, "shingle"))
     left = named.select("shingle", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
     right = named.select("shingle", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    rest = left.join(right, "shingle").where((F.col("c_a") < F.col("c_b")) & _FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = left.join(right, "shingle").where("c_a < c_b").where(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = materialize(_verified(rest, _set_table(docs, rest, repeats)))
