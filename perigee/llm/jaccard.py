@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, WordHashes, components, materialize, shingle_hashes, small_side, words_of
@@ -123,6 +123,11 @@ def _set_table(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
 _FITS = "5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a"
 
 
+#: Linked sets share at least 4/9 of both sizes together. Beyond the end of the prefix that ends first, they share no
+#: more than what that set has there, ceil(0.8 n) - 1; the others must be counted in both prefixes.
+_ENOUGH = "count >= ceil(4 * (n_a + n_b) / 9 - 0.000001) - greatest(floor((4 * n_a + 4) / 5), floor((4 * n_b + 4) / 5)) + 1"
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -137,9 +142,9 @@ def join(docs: DataFrame) -> DataFrame:
     repeats = classes.join(small_side(heads), F.col("doc_id") == F.col("id"), "left_semi").count() > heads.count()
     inc = _prefixes(firsts, _hot_shingles(firsts))
     inc = inc.distinct() if repeats else inc
-    # blocks of one class are dropped before the incidences meet their hub
-    blocks = inc.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("shingle", "hub")
-    inc = materialize(inc.join(small_side(materialize(blocks)), "shingle").select("shingle", "class", "n", "hub"))
+    block = Window.partitionBy("shingle")
+    inc = inc.select("*", F.min("class").over(block).alias("hub"), F.max("class").over(block).alias("last"))
+    inc = materialize(inc.where("hub < last").drop("last"))  # blocks of one class are dropped
     sizes = inc.where("class = hub").select("hub", F.col("n").alias("n_a")).distinct()
     stars = inc.where("class <> hub").select("hub", F.col("class").alias("b"), F.col("n").alias("n_b")).distinct().join(sizes, "hub").where(_FITS)
     stars = materialize(stars.select(F.col("hub").alias("a"), "b").distinct())
@@ -152,7 +157,7 @@ def join(docs: DataFrame) -> DataFrame:
     named = materialize(named.join(mixed, "shingle"))
     left = named.select("shingle", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
     right = named.select("shingle", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    rest = left.join(right, "shingle").where("c_a < c_b").where(_FITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = left.join(right, "shingle").where("c_a < c_b").where(_FITS).groupBy("a", "b", "n_a", "n_b").count().where(_ENOUGH).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = materialize(_verified(rest, _set_table(docs, rest, repeats)))

@@ -13,79 +13,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, hashes_of, materialize, mix
+from .shared import materialize, mix, small_side
 
 #: Leading tokens kept in every template, the tokens from which a variable field is allowed, and the number of runs.
 LEAD, GENERAL, BLOCKS = 3, 10, 5
 #: Documents in which a template must recur, and the fewest tokens of a line that may be dropped.
 RECURS, LEAST_TOKENS = 3, 3
-#: A document of which more than this share lies in lines found elsewhere counts as a copy, not as another document.
-COPY_SHARE = 1 / 3
-_DIGIT = re.compile(rb"\S*[0-9]\S*")
-_FACTORS = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
-
-
-def templates(line: bytes, table: WordHashes) -> list[int]:
-    """The template keys of a line, exact one first; none if the line has fewer than LEAST_TOKENS tokens."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < LEAST_TOKENS:
-        return []
-    if any(d in line for d in b"0123456789"):
-        tokens = [b"<*>" if _DIGIT.fullmatch(t) else t for t in tokens]
-    factors = _FACTORS[:n] if n <= len(_FACTORS) else mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    terms = mix(hashes_of(tokens, table)) * factors
-    total, salt = terms.sum(dtype=np.uint64), np.uint64(n * 2654435761 % 2**64)
-    sums = [total + salt]
-    if n >= GENERAL:
-        width = n // BLOCKS
-        runs = np.add.reduceat(terms, np.arange(LEAD, n, width))
-        sums += list(total - runs + mix(np.arange(1, len(runs) + 1, dtype=np.uint64)) * salt)
-    return mix(np.array(sums, np.uint64)).view(np.int64).tolist()
+#: A document of which more than this share lies in lines found elsewhere counts as a copy, not as another document; so does
+#: one with more than COPY_LINES such lines that make up over half of its lines.
+COPY_SHARE, COPY_LINES = 1 / 3, 4
+_RUNS = 7
+
+
+class _TokenHashes(dict):
+    """64-bit hashes of tokens; all tokens with a digit are one."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[token] = xxhash.xxh64_intdigest(b"<*>" if _DIGIT.search(token) else token)
+        return value
+
+
+_DIGIT = re.compile(rb"[0-9]")
+
+
+def template_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all templates of lines of the given sizes, whose token hashes follow each other in tokens.
+
+    A key is a sum of the hashes, each times a factor of its place, so a run of variable tokens is taken out by
+    subtraction. Lines of fewer than LEAST_TOKENS tokens have none.
+    """
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    factors = mix(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64)) | np.uint64(1)
+    terms = tokens * factors[np.arange(len(tokens)) - np.repeat(starts, sizes)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    line = np.flatnonzero(sizes >= LEAST_TOKENS)
+    total = sums[ends] - sums[starts]
+    salt = mix(sizes.astype(np.uint64) + np.uint64(1))
+    lines, keys = [line], [mix(total[line] + salt[line])]
+    for run in range(_RUNS):
+        width = np.maximum(sizes // BLOCKS, 1)
+        first = starts + LEAD + run * width
+        line = np.flatnonzero((sizes >= GENERAL) & (first < ends))
+        first = first[line]
+        out = sums[np.minimum(first + width[line], ends[line])] - sums[first]
+        lines.append(line)
+        keys.append(mix(total[line] - out + salt[line] * np.uint64(2 * run + 3)))
+    return np.concatenate(lines), np.concatenate(keys)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(rid, key, lines, tokens, total) once for each document and template: the lines, their tokens, the document's."""
+    """(rid, key, line, first, total, held), a row for each line and template: line holds its number and its tokens, first is 1
+    once for each document and template, total and held are the document's tokens and lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        table = _TokenHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rid, key, lines, total = [], [], [], []
-                for r, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own: dict[int, list[int]] = {}
-                    seen: dict[bytes, list[int]] = {}
-                    count = 0
+            for at in range(0, batch.num_rows, 300):
+                part = batch.slice(at, 300)
+                tokens: list[bytes] = []
+                sizes, numbers, of = [], [], []
+                for d, text in enumerate(part.column(1).to_pylist()):
                     for i, line in enumerate((text or b"").split(b"\n")):
-                        keys = seen.get(line)
-                        if keys is None:
-                            keys = seen[line] = templates(line, table)
-                        n = len(line.split())
-                        count += n
-                        for k in keys:
-                            own.setdefault(k, []).append(i << 32 | n)
-                    rid += [r] * len(own)
-                    key += own
-                    lines += own.values()
-                    total += [count] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(key, pa.int64()), pa.array(lines, pa.list_(pa.int64())), pa.array(total, pa.int64())], ["rid", "key", "lines", "total"])
-
-    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid bigint, key bigint, lines array<bigint>, total bigint")
+                        found = line.split()
+                        if found:
+                            tokens += found
+                            sizes.append(len(found))
+                            numbers.append(i)
+                            of.append(d)
+                sizes, numbers, of = np.array(sizes, np.int64), np.array(numbers, np.int64), np.array(of, np.int64)
+                line, key = template_keys(np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens)), sizes)
+                doc = of[line]
+                order = np.lexsort((key, doc))
+                line, key, doc = line[order], key[order], doc[order]
+                first = np.ones(len(key), np.int8)
+                first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                total = np.bincount(of, weights=sizes, minlength=part.num_rows).astype(np.int64)
+                held = np.bincount(of, minlength=part.num_rows).astype(np.int64)
+                columns = [part.column(0).take(pa.array(doc)), pa.array(key.view(np.int64)), pa.array(numbers[line] << 32 | sizes[line]), pa.array(first), pa.array(total[doc]), pa.array(held[doc])]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "key", "line", "first", "total", "held"])
+
+    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid bigint, key bigint, line bigint, first tinyint, total bigint, held bigint")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(rid, dropped): numbers of the lines, from 0, that go from each document with a recurring template."""
-    keys = _keys(docs)
-    often = materialize(keys.groupBy("key").count().where("count > 1").select("key"))
-    found = materialize(keys.join(often, "key"))
-    shared = F.aggregate(F.array_distinct(F.flatten(F.collect_list("lines"))), F.lit(0).cast("bigint"), lambda a, x: a + x.bitwiseAND(F.lit((1 << 32) - 1)))
-    own = found.groupBy("rid").agg(shared.alias("shared"), F.max("total").alias("total")).where(F.col("shared") <= COPY_SHARE * F.col("total")).select("rid")
-    real = found.select("rid", "key").join(own, "rid").groupBy("key").count().where(F.col("count") >= RECURS).select("key")
-    gone = found.join(materialize(real), "key").select("rid", F.explode("lines").alias("line"))
+    keys = materialize(_keys(docs))
+    often = materialize(keys.groupBy("key").agg(F.sum("first").alias("n")).where("n > 1").select("key"))
+    found = materialize(keys.join(small_side(often), "key"))
+    lines = found.groupBy("rid", "total", "held", "line").agg(F.max("first"))  # one row for each line found elsewhere
+    shared = lines.groupBy("rid", "total", "held").agg(F.sum(F.col("line").bitwiseAND(F.lit((1 << 32) - 1))).alias("shared"), F.count("*").alias("n"))
+    copy = (F.col("shared") > COPY_SHARE * F.col("total")) | ((F.col("n") > COPY_LINES) & (2 * F.col("n") > F.col("held")))
+    own = shared.where(~copy).select("rid")
+    real = found.join(small_side(materialize(own)), "rid").groupBy("key").agg(F.sum("first").alias("n")).where(F.col("n") >= RECURS).select("key")
+    gone = found.join(small_side(materialize(real)), "key")
     return gone.groupBy("rid").agg(F.array_sort(F.collect_set(F.shiftright("line", 32).cast("int"))).alias("dropped"))
 
 
@@ -93,7 +120,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs without its recurring lines, with n_lines and dropped (line numbers from 0); n_chars is of the new text.
 
     Lines end at a line feed. A template counts once a document, and only in documents of which at most a third lies in
-    lines found elsewhere: copies of a document do not make its own lines recurring, so they are left whole for a
+    lines found elsewhere (see COPY_LINES, too): copies of a document do not make its own lines recurring, so they are left whole for a
     later stage. Lines of fewer than three tokens stay. A null text stays null, an empty one empty; a text that loses
     all its lines becomes empty. Equal rows are separate documents and fare alike. Other columns stay as they are; an
     empty table gives no rows. Lines with digits in different places are alike if all else is.
