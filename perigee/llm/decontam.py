@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LIKENESS, WordHashes, hashes_of, materialize, small_side, words_of
+from .shared import LIKENESS, WordHashes, hashes_of, materialize, small_side, tidy, words_of
 
 #: (fewest words of an item, steps of the walk, sampled steps of each table). A walk advances by half a word a step.
 TIERS = [(12, 18, ((0, 3, 7, 10, 14, 17), (0, 4, 6, 9, 12, 16), (0, 2, 5, 8, 11, 15))), (4, 4, ((0, 1, 3),)), (1, 1, ((0,),))]
@@ -190,7 +190,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "start_word"])
 
-        found = docs.mapInArrow(run, schema)
+        found = docs.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, WordHashes, components, materialize, shingle_hashes, small_side, words_of
+from .shared import BROADCAST_ROWS, WordHashes, components, materialize, shingle_hashes, small_side, tidy, words_of
 
 #: A shingle in more prefixes than HOT comes late in the order; at most HOT_KEPT of them, which costs only speed.
 HOT, HOT_KEPT = 16, 1_000_000
@@ -43,7 +43,7 @@ def _sets(docs: DataFrame, per_batch, schema: str) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 yield per_batch(part.column(0), [shingle_hashes(words_of(t), table) for t in texts])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _signed(parts: list[np.ndarray]) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_bucket
+from .shared import crc_bucket, tidy
 
 #: Units of each direction, bytes labelled in a segment and read before and after, and segments worked on at once.
 UNITS, SEGMENT, WARM, BATCH = 8, 240, 8, 1024
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
                     lang[i], score[i] = languages[int(row.argmax())], float(min(1.0, max(0.0, row.max())))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), held.alias("held_out"), "text").mapInArrow(tidy(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

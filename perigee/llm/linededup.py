@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, mix, small_side
+from .shared import TABLE_ENTRIES, materialize, mix, small_side, tidy
 
 #: Leading tokens kept in every template, the tokens from which a variable field is allowed, and the number of runs.
 LEAD, GENERAL, BLOCKS = 3, 10, 5
@@ -33,7 +33,7 @@ class _TokenHashes(dict):
     """64-bit hashes of tokens; all tokens with a digit are one."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= TABLE_ENTRIES:
             self.clear()
         value = self[token] = xxhash.xxh64_intdigest(b"<*>" if _DIGIT.search(token) else token)
         return value
@@ -99,7 +99,7 @@ def _keys(docs: DataFrame) -> DataFrame:
                 columns = [part.column(0).take(pa.array(doc)), pa.array(key.view(np.int64)), pa.array(numbers[line] << 32 | sizes[line]), pa.array(first), pa.array(total[doc]), pa.array(held[doc])]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "key", "line", "first", "total", "held"])
 
-    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "rid bigint, key bigint, line bigint, first tinyint, total bigint, held bigint")
+    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "rid bigint, key bigint, line bigint, first tinyint, total bigint, held bigint")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

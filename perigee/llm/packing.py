@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import TABLE_ENTRIES, materialize, tidy
 
 #: Tokens of a sequence, the width of a length class (a length counts as the class's upper end), and the id that ends a document.
 LENGTH, GRID, END_ID = 2048, 8, 1
@@ -45,7 +45,7 @@ class _Chunks(dict):
         self.encode = encode
 
     def __missing__(self, chunk: str):
-        if len(self) >= 250_000:
+        if len(self) >= TABLE_ENTRIES:
             self.clear()
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             value = None
@@ -116,7 +116,7 @@ def pieces_of(docs: DataFrame, tokenizer: tuple[str, str, str], length: int = LE
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def _price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_bucket, materialize, mix, small_side
+from .shared import TABLE_ENTRIES, crc_bucket, materialize, mix, small_side, tidy
 
 #: Rows and columns of the word table, context classes, and the window to each side.
 BUCKETS, DIM, CONTEXTS, WINDOW = 4096, 48, 512, 2
@@ -31,7 +31,7 @@ class _Tokens(dict):
     """The bucket of a token. Words count in lower case; words of capitals are one token, and numbers another."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= TABLE_ENTRIES:
             self.clear()
         if token[0].isalpha():
             word = "\x02" if len(token) > 1 and token.isupper() else token.lower()
@@ -89,7 +89,7 @@ def word_table(docs: DataFrame) -> np.ndarray:
             lists = pa.FixedSizeListArray.from_arrays(pa.array(vectors[used].ravel()), DIM).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), lists], ["bucket", "vector"])
 
-    sums = docs.where("text is not null").select("text").mapInArrow(run, "bucket int, vector array<double>")
+    sums = docs.where("text is not null").select("text").mapInArrow(tidy(run), "bucket int, vector array<double>")
     added = sums.groupBy("bucket").agg(*[F.sum(F.get("vector", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
     got, out = added.toArrow(), np.zeros((BUCKETS, DIM))
     if got.num_rows:
@@ -117,7 +117,7 @@ def pooled(docs: DataFrame, words: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*kept, "vector"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, vector array<float>")
+    return docs.select(*kept, "text").mapInArrow(tidy(run), f"{schema}, vector array<float>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60) -> dict[str, np.ndarray]:
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "rid", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "rid", "vector").mapInArrow(run, f"doc_id {kind}, rid bigint, score double")
+    out = rows.select("doc_id", "rid", "vector").mapInArrow(tidy(run), f"doc_id {kind}, rid bigint, score double")
     return out.select("doc_id", "rid", held.alias("held_out"), "score", F.when(F.col("score") >= ACCEPT, 1).otherwise(0).alias("predicted"))
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 #: Kinds in the order in which spans of one start are listed; the last two are the method's own.
 KINDS = ("assign", "access", "hex", "github", "npm")
 _FLAGS = re.ASCII
@@ -92,7 +94,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 digest = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, pa.array(map(_joined, found), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,11 +59,32 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def tidy(run):
+    """run, a function for mapInArrow, giving freed memory back to the system after each partition."""
+
+    def whole(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
+#: Entries of a table of word hashes that a task keeps.
+TABLE_ENTRIES = 60_000
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept in a table of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= TABLE_ENTRIES:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
