@@ -164,7 +164,7 @@ def predict(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     texts, labels = [], []
     for k, lang in enumerate(languages):
-        rows = known.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("at"), F.substring("text", 1, 20_000).alias("text"))
+        rows = known.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("at"), "text")
         got = [r["text"].encode() for r in rows.orderBy("at", "doc_id", "text").limit(fit_docs).collect()]
         texts += got
         labels += [k] * len(got)
