@@ -4,7 +4,8 @@ Two documents link when the Jaccard likeness of their sets of five-word shingles
 
 1. Equal sets are one class; from here on a row is a class (its smallest doc_id), so copies make no pairs.
 2. A set of n shingles that links with another shares at least t = ceil(0.8 n) of its shingles with it, so the first
-   n - t + 1 of them in any order common to all sets hold a shared one. The order puts frequent shingles (HOT) last.
+   n - t + 1 of them in any order common to all sets hold a shared one. The order is by how frequent a shingle is in
+   the whole table, rare ones first, read from COUNTERS counters that shingles share by hash; clashes cost only speed.
 3. Those few incidences are blocked by shingle. A block of one class is dropped; in others the sizes must fit.
 4. Of each block first only the pairs with one hub (its smallest class) are multiplied out; linked classes are then
    one component. Afterwards the pairs of a block whose classes still lie in different components are multiplied. So
@@ -21,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, WordHashes, components, materialize, shingle_hashes, small_side, tidy, words_of
+from .shared import WordHashes, components, materialize, shingle_hashes, small_side, tidy, words_of
 
-#: A shingle in more prefixes than HOT comes late in the order; at most HOT_KEPT of them, which costs only speed.
-HOT, HOT_KEPT = 16, 1_000_000
+#: Counters of shingles, which fix the order: one size whatever the corpus.
+COUNTERS = 1 << 18
 
 
 def least_shared(n):
@@ -71,17 +72,37 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small_side(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
 
 
-def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(shingle, class, n): the incidences of step 2. hot: sorted hashes that come last."""
+def _counts(docs: DataFrame) -> np.ndarray:
+    """How many incidences of all sets fall to each counter. A task adds up its own; Spark adds those of all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_hashes(words_of(t), table) for t in batch.column(0).slice(at, 500).to_pylist()]
+                counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["counter", "n"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "counter int, n bigint")
+    got, out = rows.groupBy("counter").agg(F.sum("n").alias("n")).toArrow(), np.zeros(COUNTERS, np.int64)
+    out[got.column("counter").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(shingle, class, n): the incidences of step 2, in the order of counts."""
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def cut(ids, sets):
         kept = []
         for s in sets:
             take = len(s) - least_shared(len(s)) + 1 if len(s) else 0
-            if len(hot) and take:
-                late = hot[np.searchsorted(hot, s).clip(0, len(hot) - 1)] == s
-                s = np.concatenate([s[~late], s[late]])
-            kept.append(s[:take])
+            kept.append(s[np.argsort(sent.value[_counter(s)], kind="stable")[:take]])
         counts = [len(k) for k in kept]
         n = np.repeat([len(s) for s in sets], counts)
         return pa.RecordBatch.from_arrays([pa.array(_signed(kept), pa.int64()), pa.array(np.repeat(np.array(ids.to_pylist(), np.int64), counts), pa.int64()), pa.array(n, pa.int32())], ["shingle", "class", "n"])
@@ -89,12 +110,6 @@ def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return _sets(docs, cut, "shingle bigint, class bigint, n int")
 
 
-def _hot_shingles(docs: DataFrame) -> np.ndarray:
-    counts = _prefixes(docs, np.zeros(0, np.uint64)).groupBy("shingle").count().where(F.col("count") > HOT)
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(HOT_KEPT).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
     a, b = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
@@ -140,7 +155,7 @@ def join(docs: DataFrame) -> DataFrame:
     heads = materialize(classes.where("class = doc_id").select(F.col("class").alias("id")).distinct())
     firsts = _only(docs, heads)
     repeats = classes.join(small_side(heads), F.col("doc_id") == F.col("id"), "left_semi").count() > heads.count()
-    inc = _prefixes(firsts, _hot_shingles(firsts))
+    inc = _prefixes(firsts, _counts(firsts))
     inc = inc.distinct() if repeats else inc
     block = Window.partitionBy("shingle")
     inc = inc.select("*", F.min("class").over(block).alias("hub"), F.max("class").over(block).alias("last"))
