@@ -3,7 +3,7 @@
 A line's path in the tree is its token count, then its LEAD leading tokens, with every token that holds a digit
 generalised to <*>. Below that a line of GENERAL tokens or more has, besides its exact template, BLOCKS templates in each
 of which one run of at most a fifth of its tokens, none of them leading, is a variable field. A template that recurs
-across documents is dropped from all of them.
+across groups of near copies is dropped from all documents.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TABLE_ENTRIES, materialize, mix, small_side, tidy
+from .shared import LIKENESS, SHINGLE, TABLE_ENTRIES, WordHashes, components, materialize, mix, small_side, tidy
 
 #: Leading tokens kept in every template, the tokens from which a variable field is allowed, and the number of runs.
 LEAD, GENERAL, BLOCKS = 3, 10, 5
-#: Documents in which a template must recur, and the fewest tokens of a line that may be dropped.
+#: Groups of near copies in which a template must recur, and the fewest tokens of a line that may be dropped.
 RECURS, LEAST_TOKENS = 3, 3
-#: A document of which more than this share lies in lines found elsewhere counts as a copy, not as another document; so does
-#: one with more than COPY_LINES such lines that make up over half of its lines.
-COPY_SHARE, COPY_LINES = 1 / 3, 4
+#: Minima of a document's signature and those of one band. Of two documents of likeness 0.8, all but one pair in 4,000 share a band.
+MINIMA, BAND = 64, 4
+#: The most signatures that are broadcast.
+SENT_SIGNATURES = 50_000
 _RUNS = 7
 
 
@@ -68,12 +69,32 @@ def template_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(lines), np.concatenate(keys)
 
 
+_ODD = mix(np.arange(1, SHINGLE + MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def signatures(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """MINIMA minima, of 32 bits, over the five-token shingles of each document; fewer tokens make one shingle. sizes: their tokens, at least one."""
+    padded = sizes + np.maximum(SHINGLE - sizes, 0)
+    flat = np.zeros(int(padded.sum()), np.uint64)
+    starts = np.cumsum(padded) - padded
+    flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(tokens))] = tokens
+    many = padded - SHINGLE + 1
+    first = np.cumsum(many) - many
+    at = np.repeat(starts - first, many) + np.arange(int(many.sum()))
+    shingles = mix(sum(flat[at + i] * _ODD[i] for i in range(SHINGLE)))
+    out = np.empty((len(sizes), MINIMA), np.uint32)
+    for k in range(MINIMA):
+        out[:, k] = np.minimum.reduceat(shingles * _ODD[SHINGLE + k], first) >> np.uint64(32)
+    return out
+
+
 def _keys(docs: DataFrame) -> DataFrame:
-    """(rid, key, line, first, total, held), a row for each line and template: line holds its number and its tokens, first is 1
-    once for each document and template, total and held are the document's tokens and lines."""
+    """(rid, node, key, line, first, sig). A row without sig for each line and template: line holds its number, first is 1 once
+    for each document and template. A row with sig, the signature, for each document with tokens; node is a hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TokenHashes()
+        table, words = _TokenHashes(), WordHashes()
+        names = ["rid", "node", "key", "line", "first", "sig"]
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)
@@ -87,42 +108,65 @@ def _keys(docs: DataFrame) -> DataFrame:
                             sizes.append(len(found))
                             numbers.append(i)
                             of.append(d)
-                sizes, numbers, of = np.array(sizes, np.int64), np.array(numbers, np.int64), np.array(of, np.int64)
+                if not tokens:
+                    continue
+                sizes, numbers, of = np.array(sizes, np.int64), np.array(numbers, np.int32), np.array(of, np.int64)
+                total = np.bincount(of, weights=sizes, minlength=part.num_rows).astype(np.int64)
+                held = np.flatnonzero(total)
+                marks = [m.tobytes() for m in signatures(np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens)), total[held])]
+                node = np.zeros(part.num_rows, np.int64)
+                node[held] = np.array([xxhash.xxh64_intdigest(m) for m in marks], np.uint64).view(np.int64)
+                none = [pa.nulls(len(held), kind) for kind in (pa.int64(), pa.int32(), pa.int8())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(held)), pa.array(node[held]), *none, pa.array(marks, pa.binary())], names)
                 line, key = template_keys(np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens)), sizes)
                 doc = of[line]
                 order = np.lexsort((key, doc))
                 line, key, doc = line[order], key[order], doc[order]
                 first = np.ones(len(key), np.int8)
                 first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                total = np.bincount(of, weights=sizes, minlength=part.num_rows).astype(np.int64)
-                held = np.bincount(of, minlength=part.num_rows).astype(np.int64)
-                columns = [part.column(0).take(pa.array(doc)), pa.array(key.view(np.int64)), pa.array(numbers[line] << 32 | sizes[line]), pa.array(first), pa.array(total[doc]), pa.array(held[doc])]
-                yield pa.RecordBatch.from_arrays(columns, ["rid", "key", "line", "first", "total", "held"])
+                columns = [part.column(0).take(pa.array(doc)), pa.array(node[doc]), pa.array(key.view(np.int64)), pa.array(numbers[line]), pa.array(first), pa.nulls(len(key), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "rid bigint, node bigint, key bigint, line int, first tinyint, sig binary")
+
 
-    return docs.select("rid", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "rid bigint, key bigint, line bigint, first tinyint, total bigint, held bigint")
+def near_copies(signed: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that have near copies, from a written table (node, sig) of distinct nodes.
+
+    Signatures that agree in a band are compared with the least node of that band; at least LIKENESS of the minima must
+    be equal. No pairs are formed within a band, so a band of many documents costs as many rows.
+    """
+    bands = [F.xxhash64(F.lit(k), F.substring("sig", 4 * BAND * k + 1, 4 * BAND)) for k in range(MINIMA // BAND)]
+    rows = materialize(signed.select("node", F.explode(F.array(*bands)).alias("band")))
+    least = materialize(rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    pairs = materialize(rows.join(small_side(least), "band").where("node <> least").select("node", "least").distinct())
+    heads = materialize(signed.select(F.col("node").alias("least"), F.col("sig").alias("b")).join(small_side(materialize(pairs.select("least").distinct())), "least"))
+    pairs = pairs.join(small_side(heads, SENT_SIGNATURES), "least").join(signed.select("node", F.col("sig").alias("a")), "node")
+    same = sum(F.when(F.substring("a", 4 * k + 1, 4) == F.substring("b", 4 * k + 1, 4), 1).otherwise(0) for k in range(MINIMA))
+    return components(pairs.where(same >= LIKENESS * MINIMA).select(F.col("node").alias("a"), F.col("least").alias("b")))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(rid, dropped): numbers of the lines, from 0, that go from each document with a recurring template."""
-    keys = materialize(_keys(docs))
-    often = materialize(keys.groupBy("key").agg(F.sum("first").alias("n")).where("n > 1").select("key"))
+    made = materialize(_keys(docs))
+    keys = made.where("sig is null").drop("sig")
+    near = materialize(near_copies(materialize(made.where("sig is not null").groupBy("node").agg(F.min("sig").alias("sig")))))
+    often = materialize(keys.groupBy("key").agg(F.sum("first").alias("n")).where(F.col("n") >= RECURS).select("key"))
     found = materialize(keys.join(small_side(often), "key"))
-    lines = found.groupBy("rid", "total", "held", "line").agg(F.max("first"))  # one row for each line found elsewhere
-    shared = lines.groupBy("rid", "total", "held").agg(F.sum(F.col("line").bitwiseAND(F.lit((1 << 32) - 1))).alias("shared"), F.count("*").alias("n"))
-    copy = (F.col("shared") > COPY_SHARE * F.col("total")) | ((F.col("n") > COPY_LINES) & (2 * F.col("n") > F.col("held")))
-    own = shared.where(~copy).select("rid")
-    real = found.join(small_side(materialize(own)), "rid").groupBy("key").agg(F.sum("first").alias("n")).where(F.col("n") >= RECURS).select("key")
+    grouped = found.where("first = 1").join(small_side(near), "node", "left").select("key", F.coalesce("component", "node").alias("copies")).distinct()
+    real = grouped.groupBy("key").count().where(F.col("count") >= RECURS).select("key")
     gone = found.join(small_side(materialize(real)), "key")
-    return gone.groupBy("rid").agg(F.array_sort(F.collect_set(F.shiftright("line", 32).cast("int"))).alias("dropped"))
+    return gone.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without its recurring lines, with n_lines and dropped (line numbers from 0); n_chars is of the new text.
 
-    Lines end at a line feed. A template counts once a document, and only in documents of which at most a third lies in
-    lines found elsewhere (see COPY_LINES, too): copies of a document do not make its own lines recurring, so they are left whole for a
-    later stage. Lines of fewer than three tokens stay. A null text stays null, an empty one empty; a text that loses
-    all its lines becomes empty. Equal rows are separate documents and fare alike. Other columns stay as they are; an
+    Lines end at a line feed. Documents are first put into groups of near copies: five-token shingles of a likeness of 0.8
+    or more, estimated from MINIMA minima, and what such pairs connect. A template counts once a group, whatever share of a
+    document is found elsewhere: copies of a document do not make its own lines recurring, so they are left whole for a
+    later stage, but lose lines that recur in other groups. Lines of fewer than three tokens stay. A null text stays null, an empty one empty; a text that loses
+    all its lines becomes empty. Equal rows are copies and fare alike. Other columns stay as they are; an
     empty table gives no rows. Lines with digits in different places are alike if all else is.
     """
     named = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))

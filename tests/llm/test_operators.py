@@ -182,6 +182,19 @@ def test_line_dedup(spark, edge):
     assert linededup.dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_counts_groups_of_copies(spark):
+    def make(seed, n):
+        return " ".join("".join(w) for w in np.random.default_rng(seed).choice(list("abcdefghijklmnop"), (n, 6)))
+
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    # ten hosts with an exact or a near copy each; five short hosts without copies; one document four times, once edited
+    copied = [(2 * i + c, f"{make(i, 300)}{' edited' * (c and i % 2)}\n{passage}") for i in range(10) for c in (0, 1)]
+    short = [(100 + i, f"{make(50 + i, 40)}\n{passage.upper()}") for i in range(5)]
+    alone = [(200 + i, f"{make(90, 200)}\n{make(91, 60)}{' edited' * (i == 3)}") for i in range(4)]
+    got = {r["doc_id"]: r["_dropped"] for r in linededup.dedup(spark.createDataFrame(copied + short + alone, "doc_id long, text string")).collect()}
+    assert all(got[k] == [1] for k, _ in copied + short) and all(got[k] == [] for k, _ in alone)
+
+
 def brute_components(rows):
     sets, parent = [(k, shingles(t)) for k, t in rows], {k: k for k, _ in rows}
 
