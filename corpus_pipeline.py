@@ -30,7 +30,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, with their places in sequences."""
+    """The pieces of all documents that are left, with their token ids and their places in sequences."""
     return packing.pack(docs)
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import array
 import functools
 import sys
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +98,7 @@ def default_encoder() -> tuple[str, str, str]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: tuple[str, str, str], length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full pieces of `length` ids and one remainder a document."""
+    """(doc_id, start, length, ids, doc_tokens): full pieces of `length` ids and one remainder a document; ids are little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Encoder(*tokenizer), END_ID.to_bytes(4, "little")
@@ -112,11 +111,12 @@ def pieces_of(docs: DataFrame, tokenizer: tuple[str, str, str], length: int = LE
                     n = len(ids) // 4
                     for start in range(0, n, length):
                         piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                        rows.append((doc_id, start, len(piece) // 4, piece, n))
+                names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint")
 
 
 def _price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -192,13 +192,15 @@ def _ranked(pieces: DataFrame, blocks: int) -> DataFrame:
     counts = pieces.groupBy("class", "block").count()
     before = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("class", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids_crc32", "length", "doc_tokens")) - 1
+    place = F.row_number().over(Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids", "length", "doc_tokens")) - 1
     return pieces.withColumn("place", place).join(starts, ["class", "block"]).withColumn("rank", F.col("first") + F.col("place")).drop("first", "place", "block")
 
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
+    """doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset of every piece; rows come sequence by sequence, in order.
 
+    ids holds the piece's token ids as little-endian 32-bit numbers, ids_crc32 is worked out from it. The pieces of a
+    sequence, joined by offset, are its content; what is left up to `length` is padding, the lengths are its boundaries.
     A null or empty text has the end id alone. A text longer than `length` ids is cut into full pieces and a remainder,
     so each id lies in exactly one piece. Equal rows are interchangeable, and each is packed. An empty table gives no
     rows; other columns are ignored. The driver sees the histogram of at most length / GRID classes and the plan of it.
@@ -220,8 +222,10 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, length:
     placed = placed.withColumn("sequence_id", F.col("first_sequence") + F.floor((F.col("rank") - F.col("low")) / F.col("many")).cast("bigint"))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "class", "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    placed = placed.withColumn("offset", offset)  # the ids have gone through the exchange to their sequence
+    return placed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The places of all pieces, with the digest of the ids that pack() placed."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -149,6 +149,26 @@ def test_packing(spark, small, edge):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_keeps_ids(spark, small, edge):
+    encode = packing.Encoder(*packing.default_encoder())
+    for df, texts in ((small[0], small[1]), (edge, EDGE)):
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in packing.pack(df).collect():
+            ids = bytes(r["ids"])
+            assert len(ids) == 4 * r["length"] and zlib.crc32(ids) == r["ids_crc32"]
+            pieces[r["doc_id"]].append((r["start"], ids))
+            sequences[r["sequence_id"]].append((r["offset"], ids))
+        want = defaultdict(list)
+        for k, t in texts:
+            ids = encode(t) + b"\1\0\0\0"
+            want[k] += [(n // 4, ids[n : n + 4 * 2048]) for n in range(0, len(ids), 4 * 2048)]
+        assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in want.items()}
+        # the sequences can be built from the rows alone
+        for parts in sequences.values():
+            built = b"".join(ids for _, ids in sorted(parts))
+            assert len(built) <= 4 * 2048 and all(built[4 * at : 4 * at + len(ids)] == ids for at, ids in parts)
+
+
 def test_decontamination(spark, small, edge):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = [(r["item_id"], r["text"]) for r in items.collect()]
