@@ -57,47 +57,56 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[
     return out
 
 
+def _measures(text: str) -> tuple[Column, Column]:
+    """The size and the crc32 of a text."""
+    known = F.coalesce(text, F.lit(""))
+    return (F.octet_length(known) + 8).cast("bigint"), F.crc32(known.cast("binary"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, by the law `rows`.
+    """Every row of docs, all columns as they are, with size, text_crc32, law, shard, slot, grown_shard, by the law `rows`.
 
-    A null text has size 8 and the crc32 of no bytes. Documents of equal text are rows like any other and are spread
-    independently; repeated rows are interchangeable, and each gets a slot of its own. An empty table gives no rows;
-    other columns are ignored. Only narrow rows are shuffled: once to their partition, once to their shard and block.
-    The driver sees one count a partition and one count a block.
+    The rows themselves are shuffled, texts included: once to their partition, once to their shard and block; they come
+    block by block, in the order of their slots. size and text_crc32 are those of the text that arrives. A null text has
+    size 8 and the crc32 of no bytes. Documents of equal text are rows like any other and are spread independently;
+    repeated rows are interchangeable, and each gets a slot of its own. An empty table gives no rows. The driver sees one
+    count a partition and one count a block.
     """
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = materialize(rows.select("*", F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed)).alias("key1"), F.xxhash64(F.lit(seed + 1), "text_crc32", "size", "doc_id").alias("key2")))
-    n = rows.count()
-    parts = min(MOST, max(FEWEST, -(-n // PARTITION_ROWS)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(parts)).cast("int"))
-    sizes = dict(rows.groupBy("part").count().collect())
+    size, crc = _measures("text")
+    parts = min(MOST, max(FEWEST, -(-docs.count() // PARTITION_ROWS)))
+    rows = docs.withColumns({"_size": size, "_crc": crc, "_row": F.xxhash64(*docs.columns)})
+    rows = rows.withColumns({"_key1": F.xxhash64("doc_id", "_size", "_crc", F.lit(seed)), "_key2": F.xxhash64(F.lit(seed + 1), "_crc", "_size", "doc_id"), "_part": F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(parts)).cast("int")})
+    within = Window.partitionBy("_part").orderBy("_key1", "doc_id", "_size", "_crc", "_row")
+    rows = materialize(rows.withColumn("_place", F.row_number().over(within)), "zstd")
+    sizes = dict(rows.groupBy("_part").count().collect())
+    n = sum(sizes.values())
     matrix = communication_matrix([sizes.get(p, 0) for p in range(parts)], shards, seed)
-    ends = spark.createDataFrame([(p, [int(x) for x in np.cumsum(row)]) for p, row in enumerate(matrix)], "part int, ends array<bigint>")
-    within = Window.partitionBy("part").orderBy("key1", "doc_id", "size", "text_crc32")
-    dealt = rows.withColumn("place", F.row_number().over(within)).join(F.broadcast(ends), "part")  # at most MOST rows
-    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))).cast("int")).drop("ends", "place", "part")
-    return _slots(dealt, shards, max(1, -(-n // (shards * PARTITION_ROWS))), max(8, FEWEST // shards))
+    ends = spark.createDataFrame([(p, [int(x) for x in np.cumsum(row)]) for p, row in enumerate(matrix)], "_part int, _ends array<bigint>")
+    dealt = rows.join(F.broadcast(ends), "_part")  # at most MOST rows
+    dealt = dealt.withColumn("_shard", F.size(F.filter("_ends", lambda e: e < F.col("_place"))).cast("int")).drop("_ends", "_place", "_part", "_key1")
+    placed = _slots(dealt, shards, max(1, -(-n // (shards * PARTITION_ROWS))), max(8, FEWEST // shards))
+    return placed.select(*docs.columns, size.alias("size"), crc.alias("text_crc32"), F.lit(LAW).alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _slots(dealt: DataFrame, shards: int, blocks: int, least: int) -> DataFrame:
     """Orders each shard by its random key, block of keys by block, so that no shard lies in one task."""
     blocks = max(blocks, least)
-    block: Column = F.floor(F.pmod(F.shiftrightunsigned("key2", 1), F.lit(1 << 40)) / (2.0**40) * blocks).cast("int")
-    dealt = materialize(dealt.withColumn("block", block).withColumn("order", F.pmod(F.shiftrightunsigned("key2", 1), F.lit(1 << 40))))
-    counts = {(r["shard"], r["block"]): r["count"] for r in dealt.groupBy("shard", "block").count().collect()}
+    order: Column = F.pmod(F.shiftrightunsigned("_key2", 1), F.lit(1 << 40))
+    dealt = dealt.withColumn("_block", F.floor(order / (2.0**40) * blocks).cast("int")).withColumn("_order", order)
+    counts = {(r["_shard"], r["_block"]): r["count"] for r in dealt.groupBy("_shard", "_block").count().collect()}
     starts = []
     for s in range(shards):
         at = 0
         for b in range(blocks):
             starts.append((s, b, at))
             at += counts.get((s, b), 0)
-    starts = dealt.sparkSession.createDataFrame(starts, "shard int, block int, start bigint")
-    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("order", "key2", "doc_id", "size", "text_crc32")) - 1
-    out = dealt.withColumn("place", place).join(F.broadcast(starts) if shards * blocks <= 1_000_000 else starts, ["shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("start") + F.col("place")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    starts = dealt.sparkSession.createDataFrame(starts, "_shard int, _block int, _start bigint")
+    place = F.row_number().over(Window.partitionBy("_shard", "_block").orderBy("_order", "_key2", "doc_id", "_size", "_crc", "_row")) - 1
+    out = dealt.withColumn("_at", place).join(F.broadcast(starts) if shards * blocks <= 1_000_000 else starts, ["_shard", "_block"])
+    return out.withColumn("_slot", (F.col("_start") + F.col("_at")).cast("bigint"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The places of all documents, with the measures of the texts that shard() moved."""
+    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

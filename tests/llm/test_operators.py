@@ -256,3 +256,12 @@ def test_sharding(spark, small, edge):
     draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
     assert abs(np.mean(draws) - 6) < 0.15 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
     assert abs(sharding.hypergeometric(rng, 10**10, 9 * 10**10, 10**7) - 10**6) < 10**4
+
+
+def test_sharding_moves_rows(spark, small, edge):
+    for df in (small[0], edge):
+        whole = sharding.shard(df)
+        assert Counter(tuple(r[c] for c in df.columns) for r in whole.collect()) == Counter(map(tuple, df.collect()))
+        assert all(r["size"] == len((r["text"] or "").encode()) + 8 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in whole.collect())
+    slots = lambda d: sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard(d).collect())
+    assert slots(small[0]) == slots(small[0].repartition(7))
