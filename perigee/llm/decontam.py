@@ -7,8 +7,8 @@ differ in few places: edit distance becomes Hamming distance, which sampling of
 A document's windows start at each of its words and are as long as the item. The walk starts anew at each word of an
 item, and every such segment is indexed, TABLES times with other sampled steps. A passage is thus found if any one of its
 segments agrees in the sampled steps of any one table. A planted passage of 35 words with every tenth word edited has
-some 25 segments of six untouched words or so; even with one in five edited a few remain, which is how the recall of
-0.9 is reached (tests measure it). Hits propose item-sized windows; those are verified by edit distance, exactly.
+some 25 segments of six untouched words or so; even with one in five edited a few remain. A test measures recall with
+one word in ten edited only; small edits in most words leave few segments or none. Hits propose item-sized windows; those are verified by edit distance, exactly.
 """
 
 from __future__ import annotations
