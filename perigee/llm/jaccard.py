@@ -1,15 +1,19 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence, with size-derived bounds.
 
-Two documents link when the Jaccard likeness of their sets of five-word shingles is at least 0.8. The steps, all exact:
-
-1. Equal sets are one class; from here on a row is a class (its smallest doc_id), so copies make no pairs.
-2. A set of n shingles that links with another shares at least t = ceil(0.8 n) of its shingles with it, so the first
-   n - t + 1 of them in any order common to all sets hold a shared one. The order is by how frequent a shingle is in
-   the whole table, rare ones first, read from COUNTERS counters that shingles share by hash; clashes cost only speed.
-3. Those few incidences are blocked by shingle. A block of one class is dropped; in others the sizes must fit.
-4. Of each block first only the pairs with one hub (its smallest class) are multiplied out; linked classes are then
-   one component. Afterwards the pairs of a block whose classes still lie in different components are multiplied. So
-   a block of many near copies costs one pair a member, and every pair of different components is decided.
+Two documents link when the Jaccard likeness of their sets of five-word shingles is at least 0.8. A set of n shingles can
+only link with one that shares at least t = ceil(0.8 n) of its shingles. The steps, all exact:
+
+1. The set of every document is written once. Equal sets are one class, so copies make no pairs.
+2. The incidence matrix is dealt into blocks by shingle. Each block counts the shingles that sets of two or more classes
+   hold, and each class adds up how many of its own are among them. A class with fewer than t cannot link and goes; of
+   ordinary texts few are left. A task first counts within itself, so a shingle of very many documents is one entry a task.
+3. For the classes left, shingles get their exact frequency. In the order of rising frequency two linked sets meet first
+   in the first n - t + 1 shingles of both: these incidences alone form the blocks of the product, one block a shingle.
+4. Of each block first only the pairs with one hub are multiplied out, the class with the largest share of shingles that
+   others hold (of a group of edited copies: the original). Linked classes are then one component.
+5. Then the pairs of a block whose components still differ, within neighbouring bands of size. The join itself applies
+   the bounds of size and of position: if two sets meet first at places i and j, they share at most the lesser of
+   n_a - i and n_b - j shingles. Pairs that cannot link are never rows, nor are pairs within a component.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, components, materialize, shingle_hashes, small_side, tidy, words_of
+from .shared import WordHashes, components, discard, materialize, shingle_hashes, small_side, tidy, words_of
 
-#: Counters of shingles, which fix the order: one size whatever the corpus.
-COUNTERS = 1 << 18
+#: Incidences of one block of step 2, and those that a task counts together before it deals them out.
+BLOCK_INCIDENCES, TASK_INCIDENCES = 3_000_000, 2_000_000
+#: Sizes of linked sets differ by a factor of at most 1.25, so they lie in the same band of size or in neighbouring ones.
+BAND = 1.25
 
 
 def least_shared(n):
@@ -33,152 +39,215 @@ def least_shared(n):
     return (4 * n + 4) // 5
 
 
-def _sets(docs: DataFrame, per_batch, schema: str) -> DataFrame:
-    """mapInArrow over (doc_id, text) where per_batch gets the ids and the shingle sets of up to 500 texts."""
+def _binaries(data: np.ndarray, sizes) -> pa.Array:
+    """A binary array whose entries take sizes[i] elements of data each."""
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]) * data.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def set_table(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n, key, ref, set), written: row tells rows apart, key is a digest of the set (null if empty), ref 64 bits of it;
+    set holds the sorted shingle hashes as 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(1).to_pylist()
-                yield per_batch(part.column(0), [shingle_hashes(words_of(t), table) for t in texts])
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), schema)
-
-
-def _signed(parts: list[np.ndarray]) -> np.ndarray:
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(_signed(parts), pa.int64()))
-
-
-def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class): class is the smallest doc_id of an equal set; null where the set is empty."""
-
-    def digest(ids, sets):
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "key"])
-
-    rows = materialize(_sets(docs, digest, "doc_id bigint, n_shingles bigint, key binary"))
-    firsts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class"))
-    return materialize(rows.join(firsts, "key", "left").select("doc_id", "n_shingles", "class"))
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with a doc_id in ids (id)."""
-    return docs.join(small_side(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-
+                sets = [shingle_hashes(words_of(t), table) for t in part.column(2).to_pylist()]
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                refs = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
+                n = [len(s) for s in sets]
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(refs, pa.int64()), _binaries(np.concatenate(sets), n)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "key", "ref", "set"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+    return materialize(rows.mapInArrow(tidy(run), "row bigint, doc_id bigint, n bigint, key binary, ref bigint, set binary"), "uncompressed")
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin, and the end of the last."""
+    return np.concatenate([np.zeros(1, np.int64), np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
+
+
+def _task_blocks(refs: np.ndarray, sets: list[np.ndarray], blocks: int, turn: int) -> pa.RecordBatch:
+    """One row a block with entries (32 bits of the shingle, ref; ref 0: held by several sets here), and one of counts."""
+    refs, first = np.unique(refs, return_index=True)  # copies count once
+    sets = [sets[i] for i in first]
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat)
+    flat, of = flat[order], of[order]
+    at = _runs(flat)
+    starts, many = at[:-1], np.diff(at) > 1
+    here = np.bincount(of[np.repeat(many, np.diff(at))], minlength=len(refs))
+    flat, ref = flat[starts], np.where(many, 0, refs[of[starts]])
+    block = ((flat >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
+    order = np.argsort(block, kind="stable")
+    flat, ref, sizes = flat[order].astype(np.uint32), ref[order], np.bincount(block, minlength=blocks)
+    used = np.flatnonzero(sizes)
+    counted = np.flatnonzero(here)
+    n = len(used) + 1
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.append(used, turn % blocks).astype(np.int32)),
+            _binaries(np.concatenate([flat, here[counted].astype(np.uint32)]), np.append(sizes[used], len(counted))),
+            _binaries(np.concatenate([ref, refs[counted]]), np.append(sizes[used], len(counted))),
+            pa.array([False] * (n - 1) + [True]),
+        ],
+        ["block", "entries", "refs", "counts"],
+    )
+
+
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(ref, shared): how many shingles of a set at least one other set holds; never too few.
+
+    Shingles of a block are told apart by 32 bits, sets by 64; a clash counts a shingle as shared that is not.
+    """
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_INCIDENCES))
 
-def _counts(docs: DataFrame) -> np.ndarray:
-    """How many incidences of all sets fall to each counter. A task adds up its own; Spark adds those of all tasks."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, held, size, turn = [], [], 0, 0
+        for batch in batches:
+            for ref, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                refs.append(ref)
+                held.append(np.frombuffer(s.as_buffer(), np.uint64))
+                size += len(held[-1])
+                if size >= TASK_INCIDENCES:
+                    yield _task_blocks(np.array(refs, np.int64), held, blocks, refs[0] + turn)
+                    refs, held, size, turn = [], [], 0, turn + 1
+        if size:
+            yield _task_blocks(np.array(refs, np.int64), held, blocks, refs[0] + turn)
+
+    def count(table: pa.Table) -> pa.Table:
+        entries, refs, done = [], [], []
+        for e, r, counts in zip(table.column("entries"), table.column("refs"), table.column("counts").to_pylist(), strict=True):
+            pair = (np.frombuffer(e.as_buffer(), np.uint32), np.frombuffer(r.as_buffer(), np.int64))
+            if counts:
+                done.append(pair)
+            else:
+                entries.append(pair[0])
+                refs.append(pair[1])
+        out = done
+        if entries:
+            ref = np.concatenate(refs)
+            key = np.concatenate(entries).astype(np.uint64) << np.uint64(32) | ref.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            order = np.argsort(key)
+            key, ref = key[order], ref[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])  # a copy in another task is the same set
+            ref, entry = ref[new], key[new] >> np.uint64(32)
+            at = _runs(entry)
+            lone = np.diff(at) == 1
+            several = ~lone | (ref[at[:-1]] == 0)
+            found, n = np.unique(ref[np.repeat(several, np.diff(at))], return_counts=True)
+            out = [*done, (n[found != 0], found[found != 0])]
+        return pa.table({"ref": pa.array(np.concatenate([r for _, r in out]), pa.int64()), "shared": pa.array(np.concatenate([n for n, _ in out]), pa.int64())})
+
+    dealt = sets.where("key is not null").select("ref", "set").mapInArrow(tidy(deal), "block int, entries binary, refs binary, counts boolean")
+    parts = dealt.groupBy("block").applyInArrow(count, "ref bigint, shared bigint")
+    return parts.groupBy("ref").agg(F.sum("shared").alias("shared"))
+
+
+def _incidences(left: DataFrame) -> DataFrame:
+    """(shingle, class, n) of a table (class, n, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                sets = [shingle_hashes(words_of(t), table) for t in batch.column(0).slice(at, 500).to_pylist()]
-                counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["counter", "n"])
-
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "counter int, n bigint")
-    got, out = rows.groupBy("counter").agg(F.sum("n").alias("n")).toArrow(), np.zeros(COUNTERS, np.int64)
-    out[got.column("counter").to_numpy()] = got.column("n").to_numpy()
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets, n = [np.frombuffer(s.as_buffer(), np.int64) for s in part.column(2)], part.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n))], ["shingle", "class", "n"])
+
+    return left.select("class", "n", "set").mapInArrow(tidy(run), "shingle bigint, class bigint, n bigint")
+
+
+def prefixes(left: DataFrame) -> DataFrame:
+    """(shingle, class, n, place, alone), written: the incidences of step 3. place: of the shingle in the order of frequency;
+    alone: the share of the class's shingles that no other holds. left: (class, n, set), written."""
+    often = materialize(_incidences(left).groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"))
+    found = _incidences(left).join(often, "shingle")
+    own = found.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+    # shingles that no other class holds come first, and make no pair
+    own = own.select("class", "n", (F.col("n") - F.size("s")).alias("first"), "s").where("5 * size(s) >= 4 * n")
+    own = own.select("class", "n", "first", F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), (F.col("n") - F.expr("(4 * n + 4) div 5") + 1 - F.col("first")).cast("int")))).alias("i", "x"))
+    out = materialize(own.select(F.col("x.shingle").alias("shingle"), "class", "n", (F.col("first") + F.col("i")).alias("place"), (F.col("first") / F.col("n")).alias("alone")))
+    discard(often)
     return out
 
 
-def _counter(shingles: np.ndarray) -> np.ndarray:
-    return (shingles % np.uint64(COUNTERS)).astype(np.int64)
-
+def _verified(pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link, written."""
+    a, b = left.select(F.col("class").alias("a"), F.col("set").alias("set_a")), left.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
 
-def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(shingle, class, n): the incidences of step 2, in the order of counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def cut(ids, sets):
-        kept = []
-        for s in sets:
-            take = len(s) - least_shared(len(s)) + 1 if len(s) else 0
-            kept.append(s[np.argsort(sent.value[_counter(s)], kind="stable")[:take]])
-        counts = [len(k) for k in kept]
-        n = np.repeat([len(s) for s in sets], counts)
-        return pa.RecordBatch.from_arrays([pa.array(_signed(kept), pa.int64()), pa.array(np.repeat(np.array(ids.to_pylist(), np.int64), counts), pa.int64()), pa.array(n, pa.int32())], ["shingle", "class", "n"])
-
-    return _sets(docs, cut, "shingle bigint, class bigint, n int")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    a, b = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(b, "b").join(a, "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b") - shared).alias("all")).where("100 * shared >= 80 * all").select("a", "b")
-
-
-def _same_id(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that rows of one doc_id lie in."""
-    named = classes.where("class is not null and doc_id is not null")
-    sets = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.collect_set("class").alias("all")).where("size(all) > 1")
-    return sets.select("a", F.explode("all").alias("b")).where("a < b")
-
-
-def _set_table(docs: DataFrame, pairs: DataFrame, repeats: bool) -> DataFrame:
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-
-    def whole(ids, sets):
-        return pa.RecordBatch.from_arrays([ids, _lists(sets)], ["class", "set"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * shared >= 80 * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = _sets(_only(docs, ids), whole, "class bigint, set array<bigint>")
-    return materialize(sets.dropDuplicates() if repeats else sets)
+    both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+    return materialize(both.mapInArrow(tidy(run), "a bigint, b bigint"))
 
 
 _FITS = "5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a"
+#: Linked sets share at least 4/9 of both sizes together, and no more than either has from their first meeting on.
+_MEETS = "least(n_a - place_a, n_b - place_b) >= (4 * (n_a + n_b) + 8) div 9"
 
 
-#: Linked sets share at least 4/9 of both sizes together. Beyond the end of the prefix that ends first, they share no
-#: more than what that set has there, ceil(0.8 n) - 1; the others must be counted in both prefixes.
-_ENOUGH = "count >= ceil(4 * (n_a + n_b) / 9 - 0.000001) - greatest(floor((4 * n_a + 4) / 5), floor((4 * n_b + 4) / 5)) + 1"
+def links(inc: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, component) of all linked classes, of steps 4 and 5. inc: prefixes(left)."""
+    hubs = inc.groupBy("shingle").agg(F.count("*").alias("m"), F.min(F.struct("alone", "class", F.col("n").alias("n_a"))).alias("hub")).where("m > 1")
+    hubs = materialize(hubs.select("shingle", F.col("hub.class").alias("a"), F.col("hub.n_a").alias("n_a")))
+    stars = inc.select("shingle", F.col("class").alias("b"), F.col("n").alias("n_b")).join(hubs, "shingle").where("a <> b").where(_FITS)
+    stars = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = _verified(stars, left)
+    comps = components(linked)
+    # the pairs of a block whose components differ; most of a block is of one component, and the rest meets all of it
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    named = inc.join(comps, F.col("class") == F.col("node"), "left").select("shingle", "class", "n", "place", F.coalesce("component", "class").alias("comp"), size.alias("band"))
+    named = materialize(named)
+    mixed = named.groupBy("shingle", "comp").count().groupBy("shingle").agg(F.count("*").alias("m"), F.max_by("comp", F.struct("count", "comp")).alias("main")).where("m > 1")
+    mixed = materialize(named.join(materialize(mixed.select("shingle", "main")), "shingle"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "comp")]
+    few = mixed.where("comp <> main").select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("class").alias("a"), *side("a"))
+    rest = few.join(mixed.select("shingle", "band", F.col("class").alias("b"), *side("b")), ["shingle", "band"]).where("comp_a <> comp_b").where(_FITS).where(_MEETS)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = _verified(rest, left)
+        if not more.isEmpty():
+            comps = components(linked.unionByName(more))
+    discard(hubs, stars, linked, named, mixed, rest)
+    return comps
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     component_id is the smallest doc_id reachable by links, the document's own included. A null or empty text, or one
-    without words, has an empty set and is linked with nothing. Repeated rows and ties of doc_id are documents like
-    any other; an empty table gives no rows; other columns are ignored. Shingles are told apart by 64-bit hashes.
+    without words, has an empty set and is linked with nothing. Every row is a document: repeated rows link as equal texts
+    do, rows of one doc_id with unlike texts only if these link. A null doc_id counts after all others; a component of none
+    but null ones has null. An empty table gives no rows; other columns are ignored. Shingles are told apart by 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
-    classes = classes_of(docs)
-    heads = materialize(classes.where("class = doc_id").select(F.col("class").alias("id")).distinct())
-    firsts = _only(docs, heads)
-    repeats = classes.join(small_side(heads), F.col("doc_id") == F.col("id"), "left_semi").count() > heads.count()
-    inc = _prefixes(firsts, _counts(firsts))
-    inc = inc.distinct() if repeats else inc
-    block = Window.partitionBy("shingle")
-    inc = inc.select("*", F.min("class").over(block).alias("hub"), F.max("class").over(block).alias("last"))
-    inc = materialize(inc.where("hub < last").drop("last"))  # blocks of one class are dropped
-    sizes = inc.where("class = hub").select("hub", F.col("n").alias("n_a")).distinct()
-    stars = inc.where("class <> hub").select("hub", F.col("class").alias("b"), F.col("n").alias("n_b")).distinct().join(sizes, "hub").where(_FITS)
-    stars = materialize(stars.select(F.col("hub").alias("a"), "b").distinct())
-    linked = materialize(_verified(stars, _set_table(docs, stars, repeats)).unionByName(_same_id(classes)))
-    comps = components(linked)
-    # the rest: pairs within a block whose components still differ
-    named = inc.join(comps, F.col("class") == F.col("node"), "left").select("shingle", "class", "n", F.coalesce("component", "class").alias("comp"))
+    sets = set_table(docs)
+    classes = materialize(sets.where("key is not null").groupBy("key", "ref", "n").agg(F.min("row").alias("class"), F.min("doc_id").alias("least")))
+    counts = materialize(shared_counts(sets))
+    kept = materialize(classes.join(counts, "ref").where("5 * shared >= 4 * n").select(F.col("class").alias("row")))
+    left = sets.join(small_side(kept), "row", "left_semi").select(F.col("row").alias("class"), "n", "set")
+    left = materialize(left, "uncompressed")
+    inc = prefixes(left)
+    comps = links(inc, left)
+    named = classes.join(comps, F.col("class") == F.col("node"), "left").select("key", F.coalesce("component", "class").alias("component"), "least")
     named = materialize(named)
-    mixed = named.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    named = materialize(named.join(mixed, "shingle"))
-    left = named.select("shingle", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-    right = named.select("shingle", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    rest = left.join(right, "shingle").where("c_a < c_b").where(_FITS).groupBy("a", "b", "n_a", "n_b").count().where(_ENOUGH).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, _set_table(docs, rest, repeats)))
-        comps = comps if more.isEmpty() else components(linked.unionByName(more))
-    found = comps.select(F.col("node").alias("class"), "component")
-    return classes.join(found, "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
+    lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    answer = materialize(named.join(lowest, "component").select("key", "component_id"))
+    out = materialize(sets.select("doc_id", "n", "key")).join(answer, "key", "left")
+    discard(sets, classes, counts, kept, left, inc, named)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

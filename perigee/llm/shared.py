@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,12 +20,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The folder made for a local session without spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+#: Where recording() is in force: the paths that materialize() has written and discard() has not deleted.
+_RECORDED: list[set[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the session names none."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or the warehouse where that is unset.
+
+    Only a session in one process (local[...]), where driver and executors are the same machine, gets a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="perigee-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            folder = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="perigee-"))
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/perigee-scratch"
     return folder.rstrip("/")
 
 
@@ -32,7 +45,52 @@ def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/perigee-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for paths in _RECORDED:
+        paths.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._perigee_path = path
+    return out
+
+
+def delete(spark: SparkSession, paths) -> None:
+    for p in list(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for recorded in _RECORDED:
+            recorded.discard(p)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for these tables; nothing that is still to run may read them."""
+    for t in tables:
+        delete(t.sparkSession, [t._perigee_path])
+
+
+@contextlib.contextmanager
+def recording():
+    """Gives the set of paths that materialize() writes inside and that are still there."""
+    paths: set[str] = set()
+    _RECORDED.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDED.remove(paths)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores added until df has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """df, written, with a column `name` that no two rows share; the number of a row stays what it is."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), compression)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -119,7 +177,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node in edges (a, b): component is the smallest node reachable.
 
     In each round every node hooks onto its smallest neighbour, parents are followed twice, and the edges are
-    contracted; at least half of the nodes that still have edges vanish. Only edge tables are shuffled.
+    contracted. In two rounds at least half of the nodes that still have edges vanish: a node onto which none hooks in
+    the first has a neighbour that went to a smaller one, so it hooks itself in the second. Only edge tables are shuffled.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = materialize(edges)
@@ -130,9 +189,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")))
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        first = parent
         for _ in range(2):
             parent = parent.join(up, "parent").select("node", F.col("above").alias("parent"))
         parent = materialize(parent)
+        discard(first)
+        before = labels
         if labels is None:
             labels = parent.select("node", F.col("parent").alias("component"))
         else:
@@ -141,7 +203,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = materialize(labels)
         a, b = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = edges.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        edges = materialize(moved.where("a < b").distinct())
+        old, edges = edges, materialize(moved.where("a < b").distinct())
+        discard(old, parent, *([before] if before is not None else []))
     else:
         raise RuntimeError("components did not settle")
     if labels is None:
