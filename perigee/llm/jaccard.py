@@ -3,7 +3,7 @@
 Two documents link when the Jaccard likeness of their sets of five-word shingles is at least 0.8. A set of n shingles can
 only link with one that shares at least t = ceil(0.8 n) of its shingles. The steps, all exact:
 
-1. The set of every document is written once. Equal sets are one class, so copies make no pairs.
+1. Equal sets are one class, told by a digest, so copies make no pairs.
 2. The incidence matrix is dealt into blocks by shingle. Each block counts the shingles that sets of two or more classes
    hold, and each class adds up how many of its own are among them. A class with fewer than t cannot link and goes; of
    ordinary texts few are left. A task first counts within itself, so a shingle of very many documents is one entry a task.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, components, discard, materialize, shingle_hashes, small_side, tidy, words_of
 
 #: Incidences of one block of step 2, and those that a task counts together before it deals them out.
-BLOCK_INCIDENCES, TASK_INCIDENCES = 3_000_000, 2_000_000
+BLOCK_INCIDENCES, TASK_INCIDENCES = 1_500_000, 1_000_000
+#: Bytes of a shingle within its block and of a set, by which step 2 tells them apart: together 64 bits.
+ENTRY, REF = 3, 5
 #: Sizes of linked sets differ by a factor of at most 1.25, so they lie in the same band of size or in neighbouring ones.
 BAND = 1.25
 
@@ -45,24 +47,51 @@ def _binaries(data: np.ndarray, sizes) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, key, ref, set), written: row tells rows apart, key is a digest of the set (null if empty), ref 64 bits of it;
-    set holds the sorted shingle hashes as 64-bit numbers."""
+def _sets(docs: DataFrame, per_batch, schema: str) -> DataFrame:
+    """mapInArrow over (doc_id, text) where per_batch gets the ids, the shingle sets, their digests (null if empty) and 40 bits of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingle_hashes(words_of(t), table) for t in part.column(2).to_pylist()]
+                sets = [shingle_hashes(words_of(t), table) for t in part.column(1).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                refs = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
-                n = [len(s) for s in sets]
-                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(refs, pa.int64()), _binaries(np.concatenate(sets), n)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "key", "ref", "set"])
+                yield per_batch(part.column(0), sets, keys, [max(1, int.from_bytes(k[:REF], "little")) if k else None for k in keys])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(tidy(run), "row bigint, doc_id bigint, n bigint, key binary, ref bigint, set binary"), "uncompressed")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), schema)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, key, ref), written: the size, the digest and the ref of the set of every document."""
+
+    def narrow(ids, sets, keys, refs):
+        return pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(refs, pa.int64())], ["doc_id", "n", "key", "ref"])
+
+    return materialize(_sets(docs, narrow, "doc_id bigint, n bigint, key binary, ref bigint"))
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """(key, n, set): the sorted shingle hashes of every document that has any, as 64-bit numbers."""
+
+    def whole(ids, sets, keys, refs):
+        n = [len(s) for s in sets]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), _binaries(np.concatenate(sets), n)], ["key", "n", "set"])
+
+    return _sets(docs, whole, "key binary, n bigint, set binary").where("key is not null")
+
+
+def _packed(numbers: np.ndarray, width: int) -> np.ndarray:
+    """The `width` low-order bytes of each number, as one entry each."""
+    raw = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return np.ascontiguousarray(raw).view(f"V{width}").ravel()
+
+
+def _unpacked(data: pa.Scalar, width: int) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -70,81 +99,67 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def _task_blocks(refs: np.ndarray, sets: list[np.ndarray], blocks: int, turn: int) -> pa.RecordBatch:
-    """One row a block with entries (32 bits of the shingle, ref; ref 0: held by several sets here), and one of counts."""
+def _task_blocks(refs: np.ndarray, sets: list[np.ndarray], blocks: int) -> pa.RecordBatch:
+    """A row for each block with entries (part of the shingle, ref; ref 0: held by several sets here), and one of the shingles that
+    each set shares here."""
     refs, first = np.unique(refs, return_index=True)  # copies count once
     sets = [sets[i] for i in first]
-    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(flat)
     flat, of = flat[order], of[order]
     at = _runs(flat)
     starts, many = at[:-1], np.diff(at) > 1
     here = np.bincount(of[np.repeat(many, np.diff(at))], minlength=len(refs))
-    flat, ref = flat[starts], np.where(many, 0, refs[of[starts]])
+    flat, ref = flat[starts], np.where(many, np.uint64(0), refs[of[starts]])
     block = ((flat >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
     order = np.argsort(block, kind="stable")
-    flat, ref, sizes = flat[order].astype(np.uint32), ref[order], np.bincount(block, minlength=blocks)
-    used = np.flatnonzero(sizes)
-    counted = np.flatnonzero(here)
-    n = len(used) + 1
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.append(used, turn % blocks).astype(np.int32)),
-            _binaries(np.concatenate([flat, here[counted].astype(np.uint32)]), np.append(sizes[used], len(counted))),
-            _binaries(np.concatenate([ref, refs[counted]]), np.append(sizes[used], len(counted))),
-            pa.array([False] * (n - 1) + [True]),
-        ],
-        ["block", "entries", "refs", "counts"],
-    )
-
-
-def shared_counts(sets: DataFrame) -> DataFrame:
-    """(ref, shared): how many shingles of a set at least one other set holds; never too few.
-
-    Shingles of a block are told apart by 32 bits, sets by 64; a clash counts a shingle as shared that is not.
+    sizes = np.bincount(block, minlength=blocks)
+    used, counted = np.flatnonzero(sizes), np.flatnonzero(here)
+    sizes = np.append(sizes[used], len(counted))
+    entries = np.concatenate([_packed(flat[order], ENTRY), _packed(np.minimum(here[counted], 256**ENTRY - 1), ENTRY)])
+    rows = [pa.array(np.append(used, int(refs[0]) % blocks).astype(np.int32)), _binaries(entries, sizes), _binaries(np.concatenate([_packed(ref[order], REF), _packed(refs[counted], REF)]), sizes), pa.array([False] * len(used) + [True])]
+    return pa.RecordBatch.from_arrays(rows, ["block", "entries", "refs", "counts"])
+
+
+def shared_counts(docs: DataFrame, total: int) -> DataFrame:
+    """(ref, shared): how many shingles of a set at least one other set holds, or more; never too few. total: the sizes of all sets.
+
+    Shingles of a block are told apart by ENTRY bytes and sets by REF bytes. A clash counts a shingle as shared that is not.
     """
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_INCIDENCES))
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_INCIDENCES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, held, size, turn = [], [], 0, 0
+        table, refs, held, size = WordHashes(), [], [], 0
         for batch in batches:
-            for ref, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                refs.append(ref)
-                held.append(np.frombuffer(s.as_buffer(), np.uint64))
-                size += len(held[-1])
+            for text in batch.column(0):
+                s = shingle_hashes(words_of(text.as_py()), table)
+                if len(s):
+                    refs.append(max(1, int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:REF], "little")))
+                    held.append(s)
+                    size += len(s)
                 if size >= TASK_INCIDENCES:
-                    yield _task_blocks(np.array(refs, np.int64), held, blocks, refs[0] + turn)
-                    refs, held, size, turn = [], [], 0, turn + 1
+                    yield _task_blocks(np.array(refs, np.uint64), held, blocks)
+                    refs, held, size = [], [], 0
         if size:
-            yield _task_blocks(np.array(refs, np.int64), held, blocks, refs[0] + turn)
+            yield _task_blocks(np.array(refs, np.uint64), held, blocks)
 
     def count(table: pa.Table) -> pa.Table:
-        entries, refs, done = [], [], []
+        keys, out = [], []
         for e, r, counts in zip(table.column("entries"), table.column("refs"), table.column("counts").to_pylist(), strict=True):
-            pair = (np.frombuffer(e.as_buffer(), np.uint32), np.frombuffer(r.as_buffer(), np.int64))
             if counts:
-                done.append(pair)
+                out.append((_unpacked(r, REF), _unpacked(e, ENTRY)))
             else:
-                entries.append(pair[0])
-                refs.append(pair[1])
-        out = done
-        if entries:
-            ref = np.concatenate(refs)
-            key = np.concatenate(entries).astype(np.uint64) << np.uint64(32) | ref.astype(np.uint64) & np.uint64(0xFFFFFFFF)
-            order = np.argsort(key)
-            key, ref = key[order], ref[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])  # a copy in another task is the same set
-            ref, entry = ref[new], key[new] >> np.uint64(32)
+                keys.append(_unpacked(e, ENTRY) << np.uint64(8 * REF) | _unpacked(r, REF))
+        if keys:
+            key = np.unique(np.concatenate(keys))  # a copy in another task is the same set
+            entry, ref = key >> np.uint64(8 * REF), key & np.uint64(256**REF - 1)
             at = _runs(entry)
-            lone = np.diff(at) == 1
-            several = ~lone | (ref[at[:-1]] == 0)
+            several = (np.diff(at) > 1) | (ref[at[:-1]] == 0)
             found, n = np.unique(ref[np.repeat(several, np.diff(at))], return_counts=True)
-            out = [*done, (n[found != 0], found[found != 0])]
-        return pa.table({"ref": pa.array(np.concatenate([r for _, r in out]), pa.int64()), "shared": pa.array(np.concatenate([n for n, _ in out]), pa.int64())})
+            out.append((found[found != 0], n[found != 0]))
+        return pa.table({"ref": pa.array(np.concatenate([r for r, _ in out]).astype(np.int64)), "shared": pa.array(np.concatenate([n for _, n in out]).astype(np.int64))})
 
-    dealt = sets.where("key is not null").select("ref", "set").mapInArrow(tidy(deal), "block int, entries binary, refs binary, counts boolean")
+    dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(deal), "block int, entries binary, refs binary, counts boolean")
     parts = dealt.groupBy("block").applyInArrow(count, "ref bigint, shared bigint")
     return parts.groupBy("ref").agg(F.sum("shared").alias("shared"))
 
@@ -233,20 +248,20 @@ def join(docs: DataFrame) -> DataFrame:
     do, rows of one doc_id with unlike texts only if these link. A null doc_id counts after all others; a component of none
     but null ones has null. An empty table gives no rows; other columns are ignored. Shingles are told apart by 64-bit hashes.
     """
-    sets = set_table(docs)
-    classes = materialize(sets.where("key is not null").groupBy("key", "ref", "n").agg(F.min("row").alias("class"), F.min("doc_id").alias("least")))
-    counts = materialize(shared_counts(sets))
-    kept = materialize(classes.join(counts, "ref").where("5 * shared >= 4 * n").select(F.col("class").alias("row")))
-    left = sets.join(small_side(kept), "row", "left_semi").select(F.col("row").alias("class"), "n", "set")
-    left = materialize(left, "uncompressed")
+    docs = docs.select("doc_id", "text")
+    rows = digests(docs)
+    classes = rows.where("key is not null").groupBy("key", "ref", "n").agg(F.min("doc_id").alias("least"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = materialize(classes.join(shared_counts(docs, total), "ref").where(f"5 * shared >= 4 * n or n >= {256**ENTRY}").select("key", "class"))
+    left = materialize(_whole(docs).join(small_side(kept), "key").select("class", "n", "set").dropDuplicates(["class"]), "uncompressed")
     inc = prefixes(left)
     comps = links(inc, left)
-    named = classes.join(comps, F.col("class") == F.col("node"), "left").select("key", F.coalesce("component", "class").alias("component"), "least")
-    named = materialize(named)
+    named = materialize(classes.join(comps, F.col("class") == F.col("node"), "left").select("key", F.coalesce("component", "class").alias("component"), "least"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = materialize(named.join(lowest, "component").select("key", "component_id"))
-    out = materialize(sets.select("doc_id", "n", "key")).join(answer, "key", "left")
-    discard(sets, classes, counts, kept, left, inc, named)
+    discard(classes, kept, left, inc, named)
+    out = rows.join(answer, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
