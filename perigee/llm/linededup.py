@@ -1,13 +1,15 @@
-"""Line dedup by a log-template tree.
+"""Line dedup by a log-template tree of fixed depth.
 
-A line's path in the tree is its token count, then its LEAD leading tokens, with every token that holds a digit
-generalised to <*>. Below that a line of GENERAL tokens or more has, besides its exact template, BLOCKS templates in each
-of which one run of at most a fifth of its tokens, none of them leading, is a variable field. A template that recurs
-across groups of near copies is dropped from all documents.
+A line goes down three levels: its token count, its leading token, and the rest of it. Every token that holds a digit is
+generalised to <*>. At the third level a line lies in several nodes: its exact rest, and the rest with one or two of its
+stretches as variable fields. A line of GENERAL tokens or more has four stretches, alike in length, any two of which may
+vary; so two fields, or one across a border, are generalised, and at least half of the line stays. In a shorter line any
+one token after the first may vary. A template that recurs across groups of near copies is dropped from all documents.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,17 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LIKENESS, SHINGLE, TABLE_ENTRIES, WordHashes, components, materialize, mix, small_side, tidy
+from .shared import LIKENESS, SHINGLE, TABLE_ENTRIES, WordHashes, components, discard, free_names, materialize, mix, numbered, small_side, tidy
 
-#: Leading tokens kept in every template, the tokens from which a variable field is allowed, and the number of runs.
-LEAD, GENERAL, BLOCKS = 3, 10, 5
+#: The tokens from which two of STRETCHES stretches may vary, and those from which one token may.
+GENERAL, STRETCHES, SINGLE = 8, 4, 3
 #: Groups of near copies in which a template must recur, and the fewest tokens of a line that may be dropped.
-RECURS, LEAST_TOKENS = 3, 3
+RECURS, LEAST_TOKENS = 3, 1
 #: Minima of a document's signature and those of one band. Of two documents of likeness 0.8, all but one pair in 4,000 share a band.
 MINIMA, BAND = 64, 4
 #: The most signatures that are broadcast.
 SENT_SIGNATURES = 50_000
-_RUNS = 7
 
 
 class _TokenHashes(dict):
@@ -46,26 +47,33 @@ _DIGIT = re.compile(rb"[0-9]")
 def template_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of all templates of lines of the given sizes, whose token hashes follow each other in tokens.
 
-    A key is a sum of the hashes, each times a factor of its place, so a run of variable tokens is taken out by
-    subtraction. Lines of fewer than LEAST_TOKENS tokens have none.
+    A key is a sum of the hashes, each times a factor of its place, so variable tokens are taken out by subtraction; it
+    depends on the token count and, as the first token is never taken out, on the leading token.
     """
     ends = np.cumsum(sizes)
     starts = ends - sizes
     factors = mix(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64)) | np.uint64(1)
     terms = tokens * factors[np.arange(len(tokens)) - np.repeat(starts, sizes)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    line = np.flatnonzero(sizes >= LEAST_TOKENS)
     total = sums[ends] - sums[starts]
     salt = mix(sizes.astype(np.uint64) + np.uint64(1))
+    line = np.flatnonzero(sizes >= LEAST_TOKENS)
     lines, keys = [line], [mix(total[line] + salt[line])]
-    for run in range(_RUNS):
-        width = np.maximum(sizes // BLOCKS, 1)
-        first = starts + LEAD + run * width
-        line = np.flatnonzero((sizes >= GENERAL) & (first < ends))
-        first = first[line]
-        out = sums[np.minimum(first + width[line], ends[line])] - sums[first]
+
+    def add(line: np.ndarray, out: np.ndarray, form: int) -> None:
         lines.append(line)
-        keys.append(mix(total[line] - out + salt[line] * np.uint64(2 * run + 3)))
+        keys.append(mix(total[line] - out + salt[line] * np.uint64(2 * form + 3)))
+
+    least = max(SINGLE, LEAST_TOKENS)
+    for place in range(1, GENERAL - 1):
+        line = np.flatnonzero((sizes >= least) & (sizes < GENERAL) & (sizes > place))
+        at = starts[line] + place
+        add(line, sums[at + 1] - sums[at], place)
+    line = np.flatnonzero(sizes >= max(GENERAL, LEAST_TOKENS))
+    borders = [starts[line] + 1 + (sizes[line] - 1) * k // STRETCHES for k in range(STRETCHES + 1)]
+    parts = [sums[borders[k + 1]] - sums[borders[k]] for k in range(STRETCHES)]
+    for form, (i, j) in enumerate(itertools.combinations(range(STRETCHES), 2)):
+        add(line, parts[i] + parts[j], GENERAL + form)
     return np.concatenate(lines), np.concatenate(keys)
 
 
@@ -140,46 +148,54 @@ def near_copies(signed: DataFrame) -> DataFrame:
     rows = materialize(signed.select("node", F.explode(F.array(*bands)).alias("band")))
     least = materialize(rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
     pairs = materialize(rows.join(small_side(least), "band").where("node <> least").select("node", "least").distinct())
-    heads = materialize(signed.select(F.col("node").alias("least"), F.col("sig").alias("b")).join(small_side(materialize(pairs.select("least").distinct())), "least"))
-    pairs = pairs.join(small_side(heads, SENT_SIGNATURES), "least").join(signed.select("node", F.col("sig").alias("a")), "node")
+    tops = materialize(pairs.select("least").distinct())
+    heads = materialize(signed.select(F.col("node").alias("least"), F.col("sig").alias("b")).join(small_side(tops), "least"))
+    both = pairs.join(small_side(heads, SENT_SIGNATURES), "least").join(signed.select("node", F.col("sig").alias("a")), "node")
     same = sum(F.when(F.substring("a", 4 * k + 1, 4) == F.substring("b", 4 * k + 1, 4), 1).otherwise(0) for k in range(MINIMA))
-    return components(pairs.where(same >= LIKENESS * MINIMA).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    out = components(both.where(same >= LIKENESS * MINIMA).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    discard(rows, least, pairs, tops, heads)
+    return out
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(rid, dropped): numbers of the lines, from 0, that go from each document with a recurring template."""
+    """(rid, dropped), written: numbers of the lines, from 0, that go from each document (rid, text) with a recurring template."""
     made = materialize(_keys(docs))
     keys = made.where("sig is null").drop("sig")
-    near = materialize(near_copies(materialize(made.where("sig is not null").groupBy("node").agg(F.min("sig").alias("sig")))))
+    signed = materialize(made.where("sig is not null").groupBy("node").agg(F.min("sig").alias("sig")))
+    near = materialize(near_copies(signed))
     often = materialize(keys.groupBy("key").agg(F.sum("first").alias("n")).where(F.col("n") >= RECURS).select("key"))
     found = materialize(keys.join(small_side(often), "key"))
+    discard(made, signed)
     grouped = found.where("first = 1").join(small_side(near), "node", "left").select("key", F.coalesce("component", "node").alias("copies")).distinct()
-    real = grouped.groupBy("key").count().where(F.col("count") >= RECURS).select("key")
-    gone = found.join(small_side(materialize(real)), "key")
-    return gone.groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    real = materialize(grouped.groupBy("key").count().where(F.col("count") >= RECURS).select("key"))
+    gone = materialize(found.join(small_side(real), "key").groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("dropped")))
+    discard(near, often, found, real)
+    return gone
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without its recurring lines, with n_lines and dropped (line numbers from 0); n_chars is of the new text.
 
-    Lines end at a line feed. Documents are first put into groups of near copies: five-token shingles of a likeness of 0.8
-    or more, estimated from MINIMA minima, and what such pairs connect. A template counts once a group, whatever share of a
-    document is found elsewhere: copies of a document do not make its own lines recurring, so they are left whole for a
-    later stage, but lose lines that recur in other groups. Lines of fewer than three tokens stay. A null text stays null, an empty one empty; a text that loses
-    all its lines becomes empty. Equal rows are copies and fare alike. Other columns stay as they are; an
-    empty table gives no rows. Lines with digits in different places are alike if all else is.
+    Lines end at a line feed; tokens are what blanks separate, in their own case. Documents are first put into groups of
+    near copies: five-token shingles of a likeness of 0.8 or more, estimated from MINIMA minima, and what such pairs connect.
+    A template counts once a group, whatever share of a document is found elsewhere: copies of a document do not make its own
+    lines recurring, so they are left whole for a later stage, but lose lines that recur in other groups. Empty and blank
+    lines stay. A null text stays null, an empty one empty; a text that loses all its lines becomes empty. Every row counts
+    by itself: equal rows are copies and fare alike. Columns of docs stay as they are; where it has an n_lines or dropped of
+    its own, the new one gets an underscore. An empty table gives no rows. Very long texts and lines are taken whole.
     """
-    named = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    gone = materialize(dropped_lines(named.select(F.col("_rid").alias("rid"), "text"))).select(F.col("rid").alias("_rid"), F.col("dropped").alias("_dropped"))
-    rows = named.join(gone, "_rid", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept)
+    number, cut, lines_name, dropped_name = (*free_names(docs, "row", "cut"), *free_names(docs, "n_lines", "dropped"))
+    named = numbered(docs, number)
+    gone = dropped_lines(named.select(F.col(number).alias("rid"), "text")).select(F.col("rid").alias(number), F.col("dropped").alias(cut))
+    rows = named.join(gone.hint("merge"), number, "left")  # one plan at every size
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)
     columns = [text.alias(c) if c == "text" else F.coalesce(F.char_length(text), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return rows.select(*columns, lines.alias("_n_lines"), F.coalesce("_dropped", F.array().cast("array<int>")).alias("_dropped"))
+    return rows.select(*columns, lines.alias(lines_name), F.coalesce(cut, F.array().cast("array<int>")).alias(dropped_name))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped, and the text that is left."""
     rows = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_dropped").alias("n_dropped"), F.col("_dropped").alias("dropped"), "text")
+    return rows.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", "text")
