@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import TABLE_ENTRIES, materialize, tidy
+from .shared import TABLE_ENTRIES, materialize, small_side, tidy
 
 #: Tokens of a sequence, the width of a length class (a length counts as the class's upper end), and the id that ends a document.
 LENGTH, GRID, END_ID = 2048, 8, 1
-#: Rows of one block of ranks.
-BLOCK_ROWS = 250_000
 _SPECIAL = "<|endoftext|>"
 
 
@@ -98,10 +96,15 @@ def default_encoder() -> tuple[str, str, str]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: tuple[str, str, str], length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens): full pieces of `length` ids and one remainder a document; ids are little-endian 32-bit numbers."""
+    """(doc_id, start, length, ids, doc_tokens, class, part, place): full pieces of `length` ids and one remainder a document.
+
+    ids are little-endian 32-bit numbers. place ranks the pieces of a class within their partition, part, from 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(*tokenizer), END_ID.to_bytes(4, "little")
+        from pyspark import TaskContext
+
+        encode, end, part_id, seen = Encoder(*tokenizer), END_ID.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -111,12 +114,14 @@ def pieces_of(docs: DataFrame, tokenizer: tuple[str, str, str], length: int = LE
                     n = len(ids) // 4
                     for start in range(0, n, length):
                         piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, len(piece) // 4, piece, n))
-                names = ["doc_id", "start", "length", "ids", "doc_tokens"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+                        kind = -(-(len(piece) // 4) // GRID)
+                        place = seen[kind] = seen.get(kind, -1) + 1
+                        rows.append((doc_id, start, len(piece) // 4, piece, n, kind, part_id, place))
+                names = ["doc_id", "start", "length", "ids", "doc_tokens", "class", "part", "place"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, class int, part int, place bigint")
 
 
 def _price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -186,14 +191,16 @@ def plan(counts: dict[int, int], room: int, gap: float = 0.001, rounds: int = 30
     return made + [(np.array(list(held)), list(held.values()), 1) for _, held in bins]
 
 
-def _ranked(pieces: DataFrame, blocks: int) -> DataFrame:
-    """pieces with `rank`, from 0 without gaps within each class; ordered block by block, so no class lies in one task."""
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
-    counts = pieces.groupBy("class", "block").count()
-    before = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("class", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids", "length", "doc_tokens")) - 1
-    return pieces.withColumn("place", place).join(starts, ["class", "block"]).withColumn("rank", F.col("first") + F.col("place")).drop("first", "place", "block")
+def _ranked(pieces: DataFrame) -> DataFrame:
+    """pieces (written) with `rank`, from 0 without gaps within each class: the pieces of earlier partitions come first.
+
+    The ids stay where they are: only counts by class and partition are shuffled, and these are met by a broadcast while
+    they are at most BROADCAST_ROWS.
+    """
+    counts = pieces.groupBy("class", "part").count()
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select("class", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
+    return pieces.join(small_side(starts), ["class", "part"]).withColumn("rank", F.col("first") + F.col("place")).drop("first", "place", "part")
 
 
 def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, length: int = LENGTH) -> DataFrame:
@@ -203,10 +210,9 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, length:
     sequence, joined by offset, are its content; what is left up to `length` is padding, the lengths are its boundaries.
     A null or empty text has the end id alone. A text longer than `length` ids is cut into full pieces and a remainder,
     so each id lies in exactly one piece. Equal rows are interchangeable, and each is packed. An empty table gives no
-    rows; other columns are ignored. The driver sees the histogram of at most length / GRID classes and the plan of it.
+    rows; other columns are ignored. The ids are written once and shuffled once, to their sequence. The driver sees the histogram of at most length / GRID classes and the plan of it.
     """
-    pieces = pieces_of(docs, tokenizer or default_encoder(), length)
-    pieces = materialize(pieces.withColumn("class", F.ceil(F.col("length") / GRID).cast("int")))
+    pieces = materialize(pieces_of(docs, tokenizer or default_encoder(), length), "zstd")
     counts = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}
     patterns = plan(counts, length // GRID)
     slots, sequence, used = [], 0, dict.fromkeys(counts, 0)
@@ -216,9 +222,8 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str, str] | None = None, length:
             used[c] += k * times
         sequence += times
     table = pieces.sparkSession.createDataFrame(slots, "class int, low bigint, high bigint, many int, first_sequence bigint, pattern int")
-    blocks = max(8, -(-sum(counts.values()) // BLOCK_ROWS))
     # the plan has at most a few patterns a class, whatever the input
-    placed = _ranked(pieces, blocks).join(F.broadcast(table), "class").where("low <= rank and rank < high")
+    placed = _ranked(pieces).join(F.broadcast(table), "class").where("low <= rank and rank < high")
     placed = placed.withColumn("sequence_id", F.col("first_sequence") + F.floor((F.col("rank") - F.col("low")) / F.col("many")).cast("bigint"))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "class", "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")
