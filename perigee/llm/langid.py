@@ -31,33 +31,35 @@ def _sigmoid_of_minus(x: np.ndarray) -> np.ndarray:
 
 
 def new_net(languages: int) -> dict[str, np.ndarray]:
-    """For both directions: what each byte adds to the gate and to the candidate (f, n), recurrent weights of both (u, c);
-    then the output layer. A unit has one gate, which both resets and updates it."""
+    """For both directions: what each byte adds to the update and reset gates (f) and to the candidate (n), recurrent weights
+    of the gates (u) and of the candidate (c); then the output layer."""
     rng = np.random.default_rng(SEED)
     draw = lambda *shape, by: rng.normal(0, by, shape).astype(np.float32)
     h = UNITS
-    return {"f": draw(2, 256, h, by=0.5), "n": draw(2, 256, h, by=0.5), "u": draw(2, h, h, by=1 / h**0.5), "c": draw(2, h, h, by=1 / h**0.5), "o": draw(2 * h, languages, by=1 / h**0.5), "b": np.zeros(languages, np.float32)}
+    return {"f": draw(2, 256, 2 * h, by=0.5), "n": draw(2, 256, h, by=0.5), "u": draw(2, h, 2 * h, by=1 / h**0.5), "c": draw(2, h, h, by=1 / h**0.5), "o": draw(2 * h, languages, by=1 / h**0.5), "b": np.zeros(languages, np.float32)}
 
 
 def states(net: dict[str, np.ndarray], d: int, data: np.ndarray, keep: list | None = None) -> np.ndarray:
     """The states of direction d at every byte of data (time, batch), in the order of data."""
     steps, n = data.shape
-    out, state = np.empty((steps, n, UNITS), np.float32), np.zeros((n, UNITS), np.float32)
+    h = UNITS
+    out, state = np.empty((steps, n, h), np.float32), np.zeros((n, h), np.float32)
     f, u, c, u2 = -net["f"][d], -net["u"][d], -2 * net["c"][d], -2 * net["n"][d]
     for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-        gate = f.take(data[t], axis=0)
-        gate += state @ u
-        _sigmoid_of_minus(gate)
+        gates = f.take(data[t], axis=0)
+        gates += state @ u
+        _sigmoid_of_minus(gates)
+        update, reset = gates[:, :h], gates[:, h:]
         new = u2.take(data[t], axis=0)
-        new += (gate * state) @ c
+        new += (reset * state) @ c
         _sigmoid_of_minus(new)  # tanh(x) = 2 sigmoid(2x) - 1
         new += new
         new -= 1
         if keep is not None:
-            keep.append((t, state, gate, new))
+            keep.append((t, state, gates, new))
         here = out[t]
         np.subtract(new, state, out=here)
-        here *= gate
+        here *= update
         here += state
         state = here
     return out
@@ -90,16 +92,17 @@ def gradients(net: dict[str, np.ndarray], data: np.ndarray, labels: np.ndarray)
         grad["o"][d * h : (d + 1) * h] = np.einsum("tbh,tbl->hl", outs[d], dl)
         flow = np.zeros_like(outs[d][0])
         back = dl @ net["o"][d * h : (d + 1) * h].T
-        for t, state, gate, new in reversed(kept[d]):
+        for t, state, gates, new in reversed(kept[d]):
+            update, reset = gates[:, :h], gates[:, h:]
             flow = flow + back[t]
-            d_new = flow * gate * (1 - new * new)
+            d_new = flow * update * (1 - new * new)
             d_held = d_new @ net["c"][d].T
-            d_gate = (flow * (new - state) + d_held * state) * gate * (1 - gate)
-            grad["c"][d] += (gate * state).T @ d_new
-            grad["u"][d] += state.T @ d_gate
-            np.add.at(grad["f"][d], data[t], d_gate)
+            d_gates = np.concatenate([flow * (new - state), d_held * state], axis=1) * gates * (1 - gates)
+            grad["c"][d] += (reset * state).T @ d_new
+            grad["u"][d] += state.T @ d_gates
+            np.add.at(grad["f"][d], data[t], d_gates)
             np.add.at(grad["n"][d], data[t], d_new)
-            flow = flow * (1 - gate) + d_held * gate + d_gate @ net["u"][d].T
+            flow = flow * (1 - update) + d_held * reset + d_gates @ net["u"][d].T
     return loss, grad
 
 
@@ -150,25 +153,39 @@ def document_probabilities(net: dict[str, np.ndarray], texts: list[bytes]) -> np
     return sums / np.maximum(counts, 1)[:, None]
 
 
+def training_sample(docs: DataFrame, fit_docs: int) -> list[tuple[str, str]]:
+    """(lang, text) of at most fit_docs different labelled documents of each language outside the held-out fold, those of the
+    least hash. The hashes are chosen first, by a threshold from counts and then exactly; only chosen texts reach the driver."""
+    held = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
+    known = docs.where(~held & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
+    known = known.select("lang", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("at"), "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()}
+    if not sizes:
+        return []
+    place = F.pmod("at", F.lit(1 << 30))
+    share = {k: min(1.0, (1.3 * fit_docs + 50) / n) for k, n in sizes.items()}
+    under = F.coalesce(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))])[F.col("lang")], F.lit(0))
+    few = known.where(place < under).select("lang", place.alias("place"), "at").distinct()
+    chosen = sorted((r["lang"], r["place"], r["at"]) for r in few.collect())
+    chosen = [(k, at) for k in sizes for at in [x[2] for x in chosen if x[0] == k][:fit_docs]]
+    table = docs.sparkSession.createDataFrame(chosen, "lang string, at bigint")
+    texts = known.join(F.broadcast(table), ["lang", "at"]).groupBy("lang", "at").agg(F.min("text").alias("text"))  # at most fit_docs a language
+    return [(r["lang"], r["text"]) for r in texts.orderBy("lang", "at").collect()]
+
+
 def predict(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
-    The network learns from at most fit_docs documents of each language outside the held-out fold, those of the least
-    hash of doc_id. score is the mean probability of the predicted language. A null or empty text, or one without a
-    letter, is und with score 0; so is every text if no labelled document is left to learn from. Equal texts, repeated
-    rows included, get equal predictions; ties go to the language first in order. An empty table gives no rows; other
-    columns are ignored. Very long texts are read whole, in segments. Nothing but the training sample is shuffled.
+    The network learns from at most fit_docs documents of each language outside the held-out fold. score is the mean
+    probability of the predicted language. A null or empty text, or one without a letter, is und with score 0; so is
+    every text if no labelled document is left to learn from. Equal texts, repeated rows included, get equal predictions;
+    ties go to the language first in order. An empty table gives no rows; other columns are ignored. Very long texts are
+    read whole, in segments. Nothing but the training sample is shuffled.
     """
     held = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
-    known = docs.where(~held & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    texts, labels = [], []
-    for k, lang in enumerate(languages):
-        rows = known.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id", F.lit(SEED)).alias("at"), "text")
-        got = [r["text"].encode() for r in rows.orderBy("at", "doc_id", "text").limit(fit_docs).collect()]
-        texts += got
-        labels += [k] * len(got)
-    net = fit(texts, np.array(labels), len(languages)) if languages else None
+    sample = training_sample(docs, fit_docs)
+    languages = sorted({k for k, _ in sample})
+    net = fit([t.encode("utf-8", "replace") for _, t in sample], np.array([languages.index(k) for k, _ in sample]), len(languages)) if languages else None
     sent = docs.sparkSession.sparkContext.broadcast((net, languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
