@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
 Every context word has a fixed sparse random vector. A word's vector is the sum of those of the words within WINDOW of it
-over the whole corpus (random indexing); words share BUCKETS rows by hash, so the table has one size whatever the corpus.
+over the whole corpus (random indexing). The VOCABULARY most frequent words of the corpus have a vector each; rarer ones,
+of which a document can say little, share BUCKETS vectors by hash. So the table that tasks hold has a bounded size.
 A document is the mean and the spread of its words' vectors. A network of two layers, trained in numpy, gives a logit,
 and a temperature fitted on rows kept out of training makes it a calibrated probability.
 """
@@ -9,18 +10,21 @@ and a temperature fitted on rows kept out of training makes it a calibrated prob
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TABLE_ENTRIES, crc_bucket, materialize, mix, small_side, tidy
+from .shared import TABLE_ENTRIES, crc_bucket, discard, free_names, materialize, mix, small_side, tidy
 
-#: Rows and columns of the word table, context classes, and the window to each side.
-BUCKETS, DIM, CONTEXTS, WINDOW = 4096, 48, 512, 2
+#: Words with a vector of their own, vectors that the others share, length of a vector, context classes, and the window to each side.
+VOCABULARY, BUCKETS, DIM, CONTEXTS, WINDOW = 50_000, 4096, 48, 512, 2
+#: Entries of a context's vector that are not zero, and the fewest times that a word of the vocabulary occurs.
+MARKS, LEAST_SEEN = 4, 5
 #: The most labelled rows that the network is fitted on, hidden units, and the score from which a document is accepted.
 FIT_ROWS, HIDDEN, ACCEPT = 20_000, 32, 0.3
 FOLDS, SEED = 5, 7
@@ -28,7 +32,12 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 
 
 class _Tokens(dict):
-    """The bucket of a token. Words count in lower case; words of capitals are one token, and numbers another."""
+    """The row of a token in the word table, or without a vocabulary its hash. Words count in lower case; words of capitals are
+    one token, and numbers another."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        super().__init__()
+        self.vocabulary = vocabulary
 
     def __missing__(self, token: str) -> int:
         if len(self) >= TABLE_ENTRIES:
@@ -37,7 +46,12 @@ class _Tokens(dict):
             word = "\x02" if len(token) > 1 and token.isupper() else token.lower()
         else:
             word = "\x03" if token[0].isdigit() else token
-        value = self[token] = xxhash.xxh64_intdigest(word) % BUCKETS
+        value = xxhash.xxh64_intdigest(word) >> 1
+        if self.vocabulary is not None:
+            at = int(np.searchsorted(self.vocabulary, value))
+            known = at < len(self.vocabulary) and self.vocabulary[at] == value
+            value = at if known else len(self.vocabulary) + value % BUCKETS
+        self[token] = value
         return value
 
 
@@ -46,12 +60,10 @@ def tokens_of(text: str, table: _Tokens) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, found), np.int64, len(found))
 
 
-def context_vectors() -> np.ndarray:
-    """CONTEXTS sparse ternary rows."""
-    rng, out = np.random.default_rng(SEED), np.zeros((CONTEXTS, DIM))
-    for row in out:
-        row[rng.choice(DIM, 4, replace=False)] = [1, 1, -1, -1]
-    return out
+def context_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the entries of CONTEXTS sparse ternary vectors."""
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(DIM, MARKS, replace=False) for _ in range(CONTEXTS)]), np.tile([1, -1], MARKS // 2)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int):
@@ -60,16 +72,52 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int):
             yield batch.slice(at, 200), batch.slice(at, 200).column(column).to_pylist()
 
 
-def word_table(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x DIM: the random-indexing vectors of all words of all documents, each row of length one.
+def vocabulary_of(docs: DataFrame) -> np.ndarray:
+    """The sorted hashes of the most frequent words of all documents: as many words as fit VOCABULARY, all of a frequency or none.
+
+    Tasks count their own words and Spark adds up. The driver sees the counts of frequencies, up to VOCABULARY, and the words chosen.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, counts = _Tokens(), Counter()
+
+        def rows():
+            words, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+
+        for _, texts in _texts(batches, 0):
+            found, n = np.unique(np.concatenate([tokens_of(t, table) for t in texts]), return_counts=True)
+            for word, k in zip(found.tolist(), n.tolist(), strict=True):
+                counts[word] += k
+            if len(counts) >= 4 * TABLE_ENTRIES:
+                yield rows()
+        yield rows()
+
+    found = docs.where("text is not null").select("text").mapInArrow(tidy(run), "word bigint, n bigint")
+    words = materialize(found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN))
+    frequency = F.least(F.col("n"), F.lit(VOCABULARY))  # at most so many different values
+    least, room = VOCABULARY + 1, VOCABULARY
+    for r in sorted(words.groupBy(frequency.alias("n")).count().collect(), reverse=True):
+        if r["count"] > room:
+            break
+        least, room = r["n"], room - r["count"]
+    out = np.sort(words.where(frequency >= least).select("word").toArrow().column("word").to_numpy())
+    discard(words)
+    return out
+
+
+def word_table(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """The random-indexing vectors of the vocabulary's words, then of the BUCKETS; each row of length one.
 
     Each task adds up its own table; the sums, of one size, are added by Spark and reach the driver once.
     """
+    rows, sent = len(vocabulary) + BUCKETS, docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = _Tokens(), np.zeros(BUCKETS * CONTEXTS, np.float32)
-        classes = (mix(np.arange(BUCKETS, dtype=np.uint64)) % np.uint64(CONTEXTS)).astype(np.int64)
-        none = True
+        table, sums = _Tokens(sent.value), np.zeros(rows * DIM, np.int64)
+        places, signs = context_vectors()
+        classes = (mix(np.arange(rows, dtype=np.uint64)) % np.uint64(CONTEXTS)).astype(np.int64)
         for _, texts in _texts(batches, 0):
             parts = []
             for text in texts:
@@ -79,31 +127,31 @@ def word_table(docs: DataFrame) -> np.ndarray:
                 a, b = flat[:-d], flat[d:]
                 ok = (a >= 0) & (b >= 0)
                 a, b = a[ok], b[ok]
-                for x, y in ((a, b), (b, a)):
-                    at, n = np.unique(x * CONTEXTS + classes[y], return_counts=True)
-                    counts[at] += n
-            none = False
-        if not none:
-            vectors = counts.reshape(BUCKETS, CONTEXTS).astype(np.float64) @ context_vectors()
-            used = np.flatnonzero(np.abs(vectors).sum(axis=1))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(vectors[used].ravel()), DIM).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), lists], ["bucket", "vector"])
-
-    sums = docs.where("text is not null").select("text").mapInArrow(tidy(run), "bucket int, vector array<double>")
-    added = sums.groupBy("bucket").agg(*[F.sum(F.get("vector", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
-    got, out = added.toArrow(), np.zeros((BUCKETS, DIM))
+                for x, y in ((a * DIM, classes[b]), (b * DIM, classes[a])):
+                    for place, sign in zip(places.T, signs.tolist(), strict=True):
+                        np.add.at(sums, x + place[y], sign)
+        vectors = sums.reshape(rows, DIM)
+        used = np.flatnonzero(np.abs(vectors).sum(axis=1))
+        for at in range(0, len(used), 5000):
+            part = used[at : at + 5000]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(vectors[part].ravel().astype(np.int32)), DIM).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), lists], ["row", "vector"])
+
+    found = docs.where("text is not null").select("text").mapInArrow(tidy(run), "row int, vector array<int>")
+    added = found.groupBy("row").agg(*[F.sum(F.get("vector", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
+    got, out = added.toArrow(), np.zeros((rows, DIM))
     if got.num_rows:
-        out[got.column("bucket").to_numpy()] = np.stack([got.column(f"v{i}").to_numpy() for i in range(DIM)], axis=1)
+        out[got.column("row").to_numpy()] = np.stack([got.column(f"v{i}").to_numpy() for i in range(DIM)], axis=1)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, words: np.ndarray) -> DataFrame:
+def pooled(docs: DataFrame, vocabulary: np.ndarray, words: np.ndarray) -> DataFrame:
     """docs (all columns but text) with vector: mean and spread of the word vectors; zeros for a text without tokens."""
     kept = [c for c in docs.columns if c != "text"]
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vectors = _Tokens(), sent.value
+        table, vectors = _Tokens(sent.value[0]), sent.value[1]
         for part, texts in _texts(batches, len(kept)):
             out = np.zeros((len(texts), 2 * DIM), np.float32)
             for row, text in zip(out, texts, strict=True):
@@ -157,22 +205,22 @@ def probability(x: np.ndarray, net: dict[str, np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, rid, held_out, score, predicted of every row of docs; rid is a hash of doc_id and text.
-
-    Word vectors come from all texts. The network learns from at most fit_rows labelled rows outside the held-out fold,
-    those of the least hash. A null text counts as empty; texts without tokens get the score of a zero vector. With no
-    labelled row, or labels of one kind, the score is their mean (0.5 with none). Equal texts get equal scores. A
-    doc_id with several labels is learnt with each. An empty table gives no rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("text", F.lit("")).alias("text"))  # as in keep_good
-    rows = materialize(pooled(docs, word_table(docs)))
-    held: Column = crc_bucket(F.col("doc_id"), FOLDS) == 0
-    known = labels.select("doc_id", "quality").where("quality is not null")
-    learn = rows.where(~held).join(known, "doc_id").select("vector", "quality", F.xxhash64("doc_id", F.lit(SEED)).alias("at"), "rid")
-    got = learn.orderBy("at", "rid", "quality").limit(fit_rows).select("vector", "quality").toArrow()
-    y = got.column("quality").to_numpy().astype(float) if got.num_rows else np.zeros(0)
+def _scores(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """The columns of docs (doc_id, others, text) but text, with score."""
+    spark, own = docs.sparkSession, docs.columns[:-1]
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    vocabulary = vocabulary_of(docs)
+    rows = materialize(pooled(docs, vocabulary, word_table(docs, vocabulary)))
+    known = labels.select(F.col("doc_id").alias("_of"), F.col("quality").alias("_quality")).where("_quality is not null")
+    learn = rows.where(crc_bucket(F.col("doc_id"), FOLDS) != 0).join(known, F.col("doc_id") == F.col("_of"))
+    learn = learn.select("vector", "_quality", F.xxhash64("doc_id", F.lit(SEED)).alias("_at"))
+    # a threshold of the hash leaves a few more rows than are wanted, so that no task or driver sorts more than that
+    n = learn.count()
+    share = 1.2 * fit_rows / max(n, 1)
+    if share < 1:
+        learn = learn.where(F.pmod("_at", F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = learn.orderBy(F.pmod("_at", F.lit(1 << 30)), "_at", "_quality").limit(fit_rows).select("vector", "_quality").toArrow()
+    y = got.column("_quality").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     net, flat = None, float(y.mean()) if len(y) else 0.5
     if 0 < y.sum() < len(y):
         net = fit(np.stack(got.column("vector").to_numpy(zero_copy_only=False)).astype(float), y)
@@ -182,20 +230,38 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
         net, flat = sent.value
         for batch in batches:
             n = batch.num_rows
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * DIM).astype(float)
+            x = batch.column(len(own)).flatten().to_numpy(zero_copy_only=False).reshape(n, 2 * DIM).astype(float)
             score = probability(x, net) if net else np.full(n, flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["doc_id", "rid", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*own, "score"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.select(*own, "vector").mapInArrow(tidy(run), f"{schema}, score double")
+
+
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs.
+
+    Word vectors come from all texts. The network learns from at most fit_rows labelled rows outside the held-out fold,
+    those of the least hash. A null text counts as empty; texts without tokens get the score of a zero vector. With no
+    labelled row, or labels of one kind, the score is their mean (0.5 with none). Equal texts get equal scores. A
+    doc_id with several labels is learnt with each, a null one with none. An empty table gives no rows; very long texts are
+    read whole; other columns are ignored.
+    """
+    out = _scores(docs.select("doc_id", "text"), labels, fit_rows)
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", F.when(F.col("score") >= ACCEPT, 1).otherwise(0).alias("predicted"))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "rid", "vector").mapInArrow(tidy(run), f"doc_id {kind}, rid bigint, score double")
-    return out.select("doc_id", "rid", held.alias("held_out"), "score", F.when(F.col("score") >= ACCEPT, 1).otherwise(0).alias("predicted"))
 
+def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs, all columns as they are, that the classifier accepts.
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that the classifier accepts."""
-    bad = materialize(scored(docs, labels).where("predicted = 0").select(F.col("rid").alias("_rid")).distinct())
-    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(small_side(bad), "_rid", "left_anti").drop("_rid")
+    A row is known by two hashes of doc_id and text, so repeated rows fare alike. Null and empty texts are judged by the
+    score of a zero vector. An empty table gives no rows.
+    """
+    a, b = free_names(docs, "hash_a", "hash_b")
+    named = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64("text", F.lit(1), "doc_id")})
+    bad = materialize(_scores(named.select("doc_id", a, b, "text"), labels, fit_rows).where(F.col("score") < ACCEPT).select(a, b).distinct())
+    return named.join(small_side(bad), [a, b], "left_anti").select(*docs.columns)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
