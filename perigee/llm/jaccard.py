@@ -126,7 +126,9 @@ def shared_counts(docs: DataFrame, total: int) -> DataFrame:
 
     Shingles of a block are told apart by ENTRY bytes and sets by REF bytes. A clash counts a shingle as shared that is not.
     """
-    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_INCIDENCES))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, -(-total // BLOCK_INCIDENCES))
+    parts = max(parts, blocks // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, refs, held, size = WordHashes(), [], [], 0
@@ -157,11 +159,20 @@ def shared_counts(docs: DataFrame, total: int) -> DataFrame:
             several = (np.diff(at) > 1) | (ref[at[:-1]] == 0)
             found, n = np.unique(ref[np.repeat(several, np.diff(at))], return_counts=True)
             out.append((found[found != 0], n[found != 0]))
-        return pa.table({"ref": pa.array(np.concatenate([r for r, _ in out]).astype(np.int64)), "shared": pa.array(np.concatenate([n for _, n in out]).astype(np.int64))})
+        ref, n = np.concatenate([r for r, _ in out]), np.concatenate([n for _, n in out]).astype(np.int64)
+        part = (ref % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        used, sizes = np.unique(part, return_counts=True)
+        return pa.table({"part": pa.array(used, pa.int32()), "refs": _binaries(ref[order].astype(np.int64), sizes), "shared": _binaries(n[order], sizes)})
+
+    def add(table: pa.Table) -> pa.Table:
+        ref, n = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]) for c in ("refs", "shared"))
+        found, at = np.unique(ref, return_inverse=True)
+        return pa.table({"ref": pa.array(found), "shared": pa.array(np.bincount(at, weights=n).astype(np.int64))})
 
     dealt = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(deal), "block int, entries binary, refs binary, counts boolean")
-    parts = dealt.groupBy("block").applyInArrow(count, "ref bigint, shared bigint")
-    return parts.groupBy("ref").agg(F.sum("shared").alias("shared"))
+    counted = dealt.groupBy("block").applyInArrow(count, "part int, refs binary, shared binary")
+    return counted.groupBy("part").applyInArrow(add, "ref bigint, shared bigint")
 
 
 def _incidences(left: DataFrame) -> DataFrame:
