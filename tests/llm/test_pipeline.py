@@ -1,12 +1,12 @@
 """The pipeline against brute force, on a small fixture with copies, repeated rows and null ids."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
 from perigee.llm import packing
-from test_operators import brute_components
+from test_operators import brute_components, brute_dropped
 
 FOOT = "all rights reserved here"
 
@@ -28,13 +28,9 @@ def groups_of(texts):
 
 
 def brute(rows, items):
-    """Labels of one kind accept all rows; lines have no digits; passages are planted word for word."""
-    where, copies = defaultdict(set), groups_of([t for _, t in rows])
-    for i, (_, t) in enumerate(rows):
-        for line in (t or "").split("\n"):
-            where[line].add(copies[i])
-    stays = lambda line: len(line.split()) < 3 or len(where[line]) < 3
-    rows = [(k, t and "\n".join(filter(stays, t.split("\n")))) for k, t in rows]
+    """Labels of one kind accept all rows; passages are planted word for word."""
+    dropped = brute_dropped(rows)
+    rows = [(k, t and "\n".join(line for n, line in enumerate(t.split("\n")) if n not in dropped[i])) for i, (k, t) in enumerate(rows)]
     first = {}
     for i, part in groups_of([t for _, t in rows]).items():
         place = (rows[i][0] is None, rows[i][0], i)
@@ -59,3 +55,25 @@ def test_pipeline(spark, tmp_path):
     assert Counter((r["doc_id"], r["start"], bytes(r["ids"])) for r in got) == want
     kept = Counter(k for k, start, _ in want.elements() if start == 0)
     assert kept == Counter([1, 2, 3, 4, 5, 6, None, 10, 11, 12, 12, 13])
+
+
+NAMES = ["row", "row_", "at", "part", "place", "first", "n", "cut", "hash_a", "hash_b", "score", "vector", "class", "key", "node", "component_id", "dropped", "n_lines", "item_id", "_rid", "_quality"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Every stage but the last returns its input's columns, untouched, whatever they are called; and takes an empty table."""
+    rows, items = fixture()
+    extra = ", ".join(f"{c} string" for c in NAMES)
+    df = spark.createDataFrame([(k, t, "en", "x", len(t or ""), *[f"{c}{i}" for c in NAMES]) for i, (k, t) in enumerate(rows)], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(1, 14)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = {r["row"]: r for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.schema.names == df.schema.names, name
+        for r in out.collect():
+            assert all(r[c] == whole[r["row"]][c] for c in ["doc_id", "lang", "source", *NAMES]), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+    got = {r["row"] for r in corpus_pipeline.drop_leaks(spark, df, str(tmp_path)).collect()}
+    assert set(whole) - got == {r for r, x in whole.items() if any(t in (x["text"] or "") for _, t in items)}
+    assert corpus_pipeline.pack(spark, df.limit(0), str(tmp_path)).count() == 0
