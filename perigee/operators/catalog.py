@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -58,8 +58,11 @@ def point_details(points: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def as_of_elements(history: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each asked (norad_id, t_iso) the record of the latest epoch not after it."""
-    both = asked.join(history.where("tle_epoch <> ''"), "norad_id").where("tle_epoch <= t_iso")
-    return both.groupBy("norad_id", "t_iso").agg(F.max_by(F.struct("tle_epoch", "name"), F.struct("tle_epoch", "grp_ord", "part", "rec_no")).alias("r")).select("norad_id", "t_iso", "r.*")
-
-
+    """For each asked (norad_id, t_iso) the record of the latest epoch not after it; none, no row.
+
+    Records and instants are put in one order of time within an object, so no product of the two is formed.
+    """
+    rows = history.where("tle_epoch <> ''").select("norad_id", F.col("tle_epoch").alias("t_iso"), F.lit(0).alias("asked"), "grp_ord", "part", "rec_no", F.struct("tle_epoch", "name").alias("r"))
+    both = rows.unionByName(asked.select("norad_id", "t_iso", F.lit(1).alias("asked")), allowMissingColumns=True)
+    order = Window.partitionBy("norad_id").orderBy("t_iso", "asked", "grp_ord", "part", "rec_no").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("r", F.last("r", ignorenulls=True).over(order)).where("asked = 1 and r is not null").select("norad_id", "t_iso", "r.*")

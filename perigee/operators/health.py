@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 STATUSES = ["Healthy", "Warning", "Critical"]
+CLASSES = ["LEO", "MEO", "GEO", "Debris"]
 
 
 def latest(telemetry: DataFrame) -> DataFrame:
@@ -24,9 +25,12 @@ def fleet_join(objects: DataFrame, readings: DataFrame) -> DataFrame:
 def assess(rows: DataFrame, thresholds: DataFrame, as_of_us: Column) -> DataFrame:
     """The cascade over rows of (norad_id, is_debris, lat, lon, alt predicted; tel_us, o_lat, o_lon, o_alt or null).
 
-    thresholds has one row a class, so it is broadcast. A test on a value that is no number is false.
+    Of thresholds at most one row for each of the four classes is taken, so it is broadcast; in a class without one, tests against
+    thresholds are false. A test on a value that is no number is false.
     """
-    rows = rows.withColumn("orbit_class", C.orbit_class(F.col("alt"), F.col("is_debris"))).join(F.broadcast(thresholds), "orbit_class")
+    limits = ["warn_km", "crit_km", "warn_age_s", "crit_age_s"]
+    four = thresholds.where(F.col("orbit_class").isin(CLASSES)).groupBy("orbit_class").agg(F.min(F.struct(*limits)).alias("t")).select("orbit_class", "t.*")
+    rows = rows.withColumn("orbit_class", C.orbit_class(F.col("alt"), F.col("is_debris"))).join(F.broadcast(four), "orbit_class", "left")
     number = lambda c: ~F.isnan(c)
     rows = rows.withColumn("age_s", C.age_seconds(as_of_us, F.col("tel_us"))).withColumn("deviation_km", C.distance_km(tuple(map(F.col, ("lat", "lon", "alt"))), tuple(map(F.col, ("o_lat", "o_lon", "o_alt")))))
     age, dev = F.col("age_s"), F.col("deviation_km")
@@ -42,13 +46,17 @@ def assess(rows: DataFrame, thresholds: DataFrame, as_of_us: Column) -> DataFram
     status = F.when(F.col("reason") == "ok", "Healthy").when(F.col("reason").endswith("warning"), "Warning").otherwise("Critical")
     observed = F.when(F.col("tel_us").isNotNull(), F.struct(F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"), F.col("o_alt").alias("alt_km")))
     predicted = F.struct("lat", "lon", F.col("alt").alias("alt_km"))
-    return rows.select("norad_id", "orbit_class", status.alias("status"), "reason", "age_s", "deviation_km", predicted.alias("predicted"), observed.alias("observed"))
+    kept = [c for c in ("tick_us",) if c in rows.columns]
+    return rows.select(*kept, "norad_id", "orbit_class", status.alias("status"), "reason", "age_s", "deviation_km", predicted.alias("predicted"), observed.alias("observed"))
 
 
-def summary(health: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """total, healthy, warning, critical, health_percent in one pass; one row on no input unless grouped."""
+def summary(health: DataFrame, by: list[str] | None = None, total: bool = False) -> DataFrame:
+    """total, healthy, warning, critical, health_percent in one pass; one row on no input unless grouped. With total, a row
+    over all groups, whose group columns are null, is added."""
     counts = [F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]]
-    rows = health.groupBy(*by).agg(*counts) if by else health.agg(*counts)
+    rows = (health.rollup(*by) if total else health.groupBy(*by)).agg(*counts) if by else health.agg(*counts)
+    if by and total:  # no subtotals in between
+        rows = health.groupBy(*by).agg(*counts).unionByName(health.agg(*counts, *[F.lit(None).cast(health.schema[c].dataType).alias(c) for c in by])) if len(by) > 1 else rows
     return rows.withColumn("health_percent", F.when(F.col("total") > 0, F.col("healthy") / F.col("total") * 100).otherwise(0.0))
 
 
@@ -59,10 +67,37 @@ def distribution(health: DataFrame) -> DataFrame:
     return rows.where("value > 0").select("status", "value", C.half_up(F.col("value") / F.col("total") * 100).cast("bigint").alias("percent"))
 
 
-def by_tick(telemetry: DataFrame, step_s: int = 30) -> DataFrame:
-    """Readings, objects seen and the last reading in each tumbling window of event time."""
-    tick = F.window(F.timestamp_micros("tel_us"), f"{step_s} seconds")["start"]
-    return telemetry.groupBy(F.unix_micros(tick).alias("tick_us")).agg(F.count("*").alias("readings"), F.count_distinct("norad_id").alias("objects"), F.max("tel_us").alias("last_us"))
+def readings_by_tick(objects: DataFrame, telemetry: DataFrame, first_us: int, last_us: int, step_us: int = 30_000_000) -> DataFrame:
+    """Every object at every tick from first_us to last_us, with its last reading up to the tick, or none.
+
+    A reading holds from the first tick not before it to the one before the next reading's, so each reading, sorted within its
+    object, gives its own ticks: no product of ticks and readings is formed. Of equal times the larger event_id holds.
+    """
+    tick = F.greatest(F.lit(0), F.ceil((F.col("tel_us") - first_us) / step_us)).cast("bigint")
+    own = [c for c in telemetry.columns if c != "norad_id"]
+    last = telemetry.where(F.col("tel_us").isNotNull() & (F.col("tel_us") <= last_us)).select("norad_id", tick.alias("from"), F.struct(*own).alias("r"))
+    last = last.groupBy("norad_id", "from").agg(F.max_by("r", F.struct("r.tel_us", "r.event_id")).alias("r"))
+    none = objects.select("norad_id", F.lit(0).cast("bigint").alias("from"), F.lit(None).cast(last.schema["r"].dataType).alias("r"))
+    rows = last.unionByName(none)
+    order = Window.partitionBy("norad_id").orderBy("from", F.col("r").isNotNull())
+    ticks = (last_us - first_us) // step_us + 1
+    rows = rows.withColumn("to", F.lead("from", 1, ticks).over(order) - 1).where("to >= `from`")
+    rows = rows.select("norad_id", "r.*", F.explode(F.sequence("from", "to")).alias("k")).withColumn("tick_us", F.lit(first_us) + F.col("k") * step_us).drop("k")
+    return objects.join(rows, "norad_id")
+
+
+def by_tick(objects: DataFrame, telemetry: DataFrame, observed, thresholds: DataFrame, first_us: int, last_us: int, step_us: int = 30_000_000) -> DataFrame:
+    """(tick_us, total, healthy, warning, critical, health_percent): the fleet's summary at every tick.
+
+    observed turns rows of objects with their readings into rows for assess, keeping tick_us.
+    """
+    rows = observed(readings_by_tick(objects, telemetry, first_us, last_us, step_us))
+    return summary(assess(rows, thresholds, F.col("tick_us")), ["tick_us"])
+
+
+def valid(points: DataFrame) -> DataFrame:
+    """Points but those of a failed prediction, which are exactly (0, 0, 0)."""
+    return points.where("not (lat = 0 and lon = 0 and alt = 0)")
 
 
 def history(points: DataFrame, keep: int = 50) -> DataFrame:

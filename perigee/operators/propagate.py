@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -33,11 +33,22 @@ def _ready(catalog: DataFrame) -> DataFrame:
     return elements(catalog).withColumn("epoch_us", F.unix_micros(F.try_to_timestamp("tle_epoch"))).drop("tle_epoch")
 
 
-def ephemeris(catalog: DataFrame, ticks_us: list[int]) -> DataFrame:
+def _settled(out: DataFrame, on_fail: str) -> DataFrame:
+    """Rows of failed objects with null numbers, zeros, or not at all."""
+    numbers = _OUT[2:-1]
+    if on_fail == "drop":
+        return out.where("prop_ok")
+    if on_fail not in ("null", "zero"):
+        raise ValueError("on_fail is null, zero or drop")
+    other = F.lit(None if on_fail == "null" else 0.0).cast("double")
+    return out.withColumns({c: F.when(F.col("prop_ok"), F.col(c)).otherwise(other) for c in numbers})
+
+
+def ephemeris(catalog: DataFrame, ticks_us: list[int], on_fail: str = "null") -> DataFrame:
     """Every object at every instant. The instants travel with the function: no cross join is shuffled.
 
-    An object that cannot be propagated has prop_ok false and null numbers. Filter the catalogue first: predicates do
-    not go through this step.
+    An object that cannot be propagated has prop_ok false and, by on_fail, null numbers, zeros, or no row. Filter the
+    catalogue first: predicates do not go through this step. The catalogue is spread first, as a feed has few files.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,26 +59,55 @@ def ephemeris(catalog: DataFrame, ticks_us: list[int]) -> DataFrame:
                 wide = part.loc[part.index.repeat(len(ticks_us))]
                 yield _states(wide, np.tile(np.array(ticks_us, float), len(part)))
 
-    out = _ready(catalog).mapInPandas(run, SCHEMA)
-    return out.select("norad_id", "ts_us", *[F.when(F.col("prop_ok"), F.col(c)).alias(c) for c in _OUT[2:-1]], "prop_ok")
+    return _settled(_ready(catalog).repartition("norad_id").mapInPandas(run, SCHEMA), on_fail)
 
 
-def predict_at(rows: DataFrame) -> DataFrame:
-    """The same for catalogue rows with an instant each, in ts_us."""
+def predict_at(rows: DataFrame, on_fail: str = "null") -> DataFrame:
+    """Catalogue rows with an instant each, in ts_us: their other columns, but l1, l2 and tle_epoch, and the state then."""
+    own = [c for c in rows.columns if c not in ("l1", "l2", "tle_epoch")]
+    kept = [c for c in own if c not in ("norad_id", "ts_us")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield _states(p, p["ts_us"].to_numpy(float))
+            out = _states(p, p["ts_us"].to_numpy(float))
+            out[kept] = p[kept].to_numpy(object)
+            yield out
+
+    # the elements of a row travel with all of its columns
+    named = rows.select("l1", "l2", "tle_epoch", F.struct(*own).alias("norad_id"))
+    at = elements(named).select("norad_id.*", "bstar", "incl_deg", "node_deg", "ecc", "argp_deg", "mean_deg", "rev_day", F.unix_micros(F.try_to_timestamp("tle_epoch")).alias("epoch_us"))
+    schema = ", ".join([SCHEMA, *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]])
+    return _settled(at.mapInPandas(run, schema), on_fail)
+
+
+def write_positions(catalog: DataFrame, ticks_us: list[int], path: str) -> None:
+    """The positions table: every object at every instant, in folders by date."""
+    rows = ephemeris(catalog, ticks_us).withColumn("date", F.to_date(F.timestamp_micros("ts_us")))
+    rows.write.mode("overwrite").partitionBy("date").parquet(path)
+
+
+def read_positions(spark: SparkSession, path: str, first_us: int | None = None, last_us: int | None = None) -> DataFrame:
+    """The positions table from first_us to last_us, both ends included; folders of other dates are not read."""
+    rows = spark.read.schema(f"{SCHEMA}, date date").parquet(path)
+    for us, keep in ((first_us, lambda c, v: c >= v), (last_us, lambda c, v: c <= v)):
+        if us is not None:
+            rows = rows.where(keep(F.col("date"), F.to_date(F.timestamp_micros(F.lit(us)))) & keep(F.col("ts_us"), F.lit(us)))
+    return rows
+
+
+def position_at(table: DataFrame, norad_id: int, tick, time: str = "ts_us") -> DataFrame:
+    """The stored position of one object at one instant."""
+    return table.where((F.col("norad_id") == norad_id) & (F.col(time) == tick))
+
 
-    e = rows.select("norad_id", "l1", "l2", "tle_epoch", "ts_us")
-    at = elements(e.withColumn("norad_id", F.struct("norad_id", "ts_us"))).select(F.col("norad_id.norad_id").alias("norad_id"), F.col("norad_id.ts_us").alias("ts_us"), "bstar", "incl_deg", "node_deg", "ecc", "argp_deg", "mean_deg", "rev_day", F.unix_micros(F.try_to_timestamp("tle_epoch")).alias("epoch_us"))
-    out = at.mapInPandas(run, SCHEMA)
-    return out.select("norad_id", "ts_us", *[F.when(F.col("prop_ok"), F.col(c)).alias(c) for c in _OUT[2:-1]], "prop_ok")
+def positions_since(table: DataFrame, norad_id: int, since, time: str = "ts_us") -> DataFrame:
+    """The stored positions of one object after an instant."""
+    return table.where((F.col("norad_id") == norad_id) & (F.col(time) > since))
 
 
 def positions(catalog: DataFrame, as_of_us: int) -> DataFrame:
     """The fleet at one instant, failures dropped."""
-    return ephemeris(catalog, [as_of_us]).where("prop_ok")
+    return ephemeris(catalog, [as_of_us], "drop")
 
 
 def with_speed(states: DataFrame) -> DataFrame:

@@ -9,13 +9,17 @@ from ..functions import columns as C
 
 #: The greatest relative speed in km/s for which a cell edge is laid out.
 MAX_SPEED = 16.0
+#: The most observers that are broadcast.
+SENT_OBSERVERS = 1000
+#: A cell and half of its neighbours: of any two neighbouring cells one has the other among these.
+_FORWARD = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
 
 
 def overhead(points: DataFrame, observers: DataFrame) -> DataFrame:
     """(obs_id, norad_id, zenith_deg): points within radius_deg of an observer's zenith, on a sphere.
 
-    observers is a small table given by the caller, at most some hundreds of rows, and is broadcast; with more the
-    join goes over latitude bands of ten degrees, since the ground range is bounded by the zenith angle.
+    The ground range is bounded by the zenith angle, so the two meet in bands of latitude of ten degrees. Up to
+    SENT_OBSERVERS observers are broadcast; with more, both sides are shuffled by band.
     """
     o, p = C.ecef(F.col("o_lat"), F.col("o_lon"), F.col("o_alt")), C.ecef(F.col("lat"), F.col("lon"), F.col("alt"))
     observers = observers.select("obs_id", "o_lat", "radius_deg", *[x.alias(n) for x, n in zip(o, ("ox", "oy", "oz"), strict=True)])
@@ -24,36 +28,47 @@ def overhead(points: DataFrame, observers: DataFrame) -> DataFrame:
     up = F.sqrt(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy") + F.col("oz") * F.col("oz"))
     cosine = (dx * F.col("ox") + dy * F.col("oy") + dz * F.col("oz")) / (up * F.sqrt(dx * dx + dy * dy + dz * dz))
     zenith = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    if observers.count() <= 1000:
-        both = points.crossJoin(F.broadcast(observers))
-    else:
-        band = lambda c: F.floor(c / 10).cast("int")
-        both = points.withColumn("band", band(F.col("lat"))).join(observers.withColumn("band", F.explode(F.sequence(band(F.col("o_lat") - F.col("radius_deg")), band(F.col("o_lat") + F.col("radius_deg"))))), "band")
+    band = lambda c: F.floor(c / 10).cast("int")
+    few = observers.count() <= SENT_OBSERVERS
+    observers = observers.withColumn("band", F.explode(F.sequence(band(F.col("o_lat") - F.col("radius_deg")), band(F.col("o_lat") + F.col("radius_deg")))))
+    both = points.withColumn("band", band(F.col("lat"))).join(F.broadcast(observers) if few else observers, "band")
     return both.select("obs_id", "norad_id", zenith.alias("zenith_deg"), "radius_deg").where("zenith_deg <= radius_deg").drop("radius_deg")
 
 
 def screen(states: DataFrame, distance_km: float = 5.0, step_s: float = 10.0) -> DataFrame:
     """(tick, a, b, miss_km, t_offset): pairs a < b whose least distance within half a step of the tick is small.
 
-    Between ticks motion is linear. Space is cut in cells of edge D + top speed x half a step, each state of one side goes to its
-    cell and its neighbours, and the join is on the cell: all pairs are never made.
+    Between ticks motion is linear. Space is cut in cells of edge D + top speed x half a step. Each state of one side goes to its own
+    cell and to the neighbours on one side of it, so two states meet once, and the join is on the cell: all pairs are never made.
+    A pair whose distance along one axis is too great for its speed along it is told before the distance is worked out.
     """
-    edge = distance_km + MAX_SPEED * step_s / 2
+    edge, half = distance_km + MAX_SPEED * step_s / 2, step_s / 2
+    names = ("x", "y", "z", "vx", "vy", "vz")
     cell = lambda c: F.floor(F.col(c) / edge).cast("int")
-    s = states.select("norad_id", "tick", "x", "y", "z", "vx", "vy", "vz", *[cell(c).alias(f"c{c}") for c in "xyz"])
-    a = s.select("tick", "cx", "cy", "cz", F.col("norad_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "z", "vx", "vy", "vz")])
-    b = s.select("tick", F.col("norad_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "z", "vx", "vy", "vz")], *[f"c{c}" for c in "xyz"])
+    s = states.select("tick", "norad_id", *names, *[cell(c).alias(f"c{c}") for c in "xyz"])
+    a = s.select("tick", "cx", "cy", "cz", F.col("norad_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", f, strict=True)]) for f in _FORWARD]))
+    b = s.select("tick", F.col("norad_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names], "cx", "cy", "cz", moves.alias("m"))
+    b = b.select("tick", "b", *[f"b_{c}" for c in names], *[(F.col(f"c{c}") + F.col("m")[c]).alias(f"c{c}") for c in "xyz"], ((F.col("m.x") == 0) & (F.col("m.y") == 0) & (F.col("m.z") == 0)).alias("own"))
+    both = a.join(b, ["tick", "cx", "cy", "cz"]).where("a <> b and (a < b or not own)")
     for c in "xyz":
-        b = b.withColumn(f"c{c}", F.explode(F.array(F.col(f"c{c}") - 1, F.col(f"c{c}"), F.col(f"c{c}") + 1)))
-    d = {c: F.col(f"b_{c}") - F.col(f"a_{c}") for c in ("x", "y", "z", "vx", "vy", "vz")}
-    both = a.join(b, ["tick", "cx", "cy", "cz"]).where("a < b").select("tick", "a", "b", *[v.alias(f"d{k}") for k, v in d.items()])
+        both = both.where(F.expr(f"abs(b_{c} - a_{c}) <= {distance_km} + abs(b_v{c} - a_v{c}) * {half}"))
+    both = both.select("tick", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.expr(f"if(a < b, b_{c} - a_{c}, a_{c} - b_{c})").alias(f"d{c}") for c in names])
     vv = F.expr("dvx * dvx + dvy * dvy + dvz * dvz")
-    t = F.when(vv == 0, 0.0).otherwise(F.greatest(F.lit(-step_s / 2), F.least(F.lit(step_s / 2), -F.expr("dx * dvx + dy * dvy + dz * dvz") / vv)))
+    t = F.when(vv == 0, 0.0).otherwise(F.greatest(F.lit(-half), F.least(F.lit(half), -F.expr("dx * dvx + dy * dvy + dz * dvz") / vv)))
     both = both.withColumn("t_offset", t)
     miss = F.expr("sqrt((dx + dvx * t_offset) * (dx + dvx * t_offset) + (dy + dvy * t_offset) * (dy + dvy * t_offset) + (dz + dvz * t_offset) * (dz + dvz * t_offset))")
     return both.select("tick", "a", "b", miss.alias("miss_km"), "t_offset").where(F.col("miss_km") <= distance_km)
 
 
+def conjunctions_between(states: DataFrame, first_tick: int, last_tick: int, distance_km: float = 5.0, step_s: float = 10.0) -> DataFrame:
+    """The encounters within a range of ticks, both ends included, with the closest approach of each inside the range.
+
+    The range is cut out of the states, below the cell join.
+    """
+    return encounters(screen(states.where(F.col("tick").between(first_tick, last_tick)), distance_km, step_s))
+
+
 def encounters(hits: DataFrame) -> DataFrame:
     """One row for each run of consecutive ticks of a pair: its first tick, its least distance and that tick."""
     w = Window.partitionBy("a", "b").orderBy("tick")

@@ -10,6 +10,7 @@ from ..operators import catalog as cat
 from ..operators import health as H
 from ..operators import propagate as P
 from ..operators import screening as S
+from ..sources import feeds, scratch
 from ..sources import fixtures as X
 
 QUERIES, SQL = {}, {}
@@ -50,16 +51,36 @@ hits AS (SELECT tick, a, b, sqrt((dx + dvx * t) ** 2 + (dy + dvy * t) ** 2 + (dz
 close AS (SELECT * FROM hits WHERE miss <= 5),
 isl AS (SELECT *, tick - row_number() OVER (PARTITION BY a, b ORDER BY tick) AS g FROM close),
 enc AS (SELECT a, b, min(tick) AS first_tick, count(*) AS ticks, min(miss) AS miss, arg_min(tick, miss) AS tca_tick FROM isl GROUP BY a, b, g),
-percents AS (SELECT tel_us // 30000000 * 30000000 AS tick_us, max(dalt) AS value FROM tel_fx GROUP BY 1)"""
+near AS (SELECT * FROM close WHERE tick BETWEEN 1 AND 3),
+isl_near AS (SELECT *, tick - row_number() OVER (PARTITION BY a, b ORDER BY tick) AS g FROM near),
+enc_near AS (SELECT a, b, min(miss) AS miss, arg_min(tick, miss) AS tca_tick FROM isl_near GROUP BY a, b, g),
+ticks AS (SELECT {X.FIRST_TICK} + 30000000 * CAST(k AS BIGINT) AS tick_us FROM (SELECT unnest(range(({X.AS_OF} - {X.FIRST_TICK}) // 30000000 + 1)) AS k)),
+last_reading AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY norad_id, tel_us ORDER BY event_id DESC) AS rn FROM tel_fx) WHERE rn = 1),
+tick_fleet AS (SELECT o.tick_us, o.norad_id, o.is_debris, o.lat, o.lon, o.alt, l.tel_us, o.lat + l.dlat AS o_lat, o.lon + l.dlon AS o_lon, o.alt + l.dalt AS o_alt
+  FROM (SELECT * FROM pos_fx, ticks) o ASOF LEFT JOIN last_reading l ON o.norad_id = l.norad_id AND o.tick_us >= l.tel_us),
+tick_rated AS (SELECT f.*, crit_km, warn_km, warn_age_s, crit_age_s, (tick_us - tel_us) / 1000000.0::DOUBLE AS age_s, {_dist_sql()} AS deviation_km FROM (SELECT *, {CLASS} AS orbit_class FROM tick_fleet) f JOIN thresholds USING (orbit_class)),
+tick_status AS (SELECT tick_us, CASE WHEN tel_us IS NULL OR age_s > crit_age_s OR deviation_km >= crit_km THEN 'Critical' WHEN deviation_km >= warn_km OR age_s >= warn_age_s THEN 'Warning' ELSE 'Healthy' END AS status FROM tick_rated),
+percents AS (SELECT tick_us, count(*) AS total, count_if(status = 'Healthy') AS healthy, count_if(status = 'Warning') AS warning, count_if(status = 'Critical') AS critical, count_if(status = 'Healthy') / count(*) * 100 AS value FROM tick_status GROUP BY tick_us)"""
 
 
 def _catalog(spark, d) -> DataFrame:
     return cat.parse(cat.records(X.tle_text_fx(spark, d)), X.GROUPS)
 
 
+def _observed(rows: DataFrame) -> DataFrame:
+    """Objects with their reading, whose offsets are added to the predicted position."""
+    return rows.withColumns({f"o_{c}": F.col(c) + F.col(f"d{c}") for c in ("lat", "lon", "alt")})
+
+
 def _fleet(spark, d) -> DataFrame:
-    rows = H.fleet_join(X.pos_fx(spark, d), H.latest(X.tel_fx(spark, d)))
-    return rows.select("norad_id", "is_debris", "lat", "lon", "alt", "event_id", "tel_us", (F.col("lat") + F.col("dlat")).alias("o_lat"), (F.col("lon") + F.col("dlon")).alias("o_lon"), (F.col("alt") + F.col("dalt")).alias("o_alt"))
+    return _observed(H.fleet_join(X.pos_fx(spark, d), H.latest(X.tel_fx(spark, d)))).select("norad_id", "is_debris", "lat", "lon", "alt", "event_id", "tel_us", "o_lat", "o_lon", "o_alt")
+
+
+def _feed(spark, d) -> DataFrame:
+    """The feed, written as files in folders by group, and scanned."""
+    path = scratch.fresh(spark)
+    X.tle_text_fx(spark, d).repartition("grp", "part").select("grp", "body").write.partitionBy("grp").text(path)
+    return feeds.tle_scan(spark, path, X.GROUPS)
 
 
 def _health(spark, d) -> DataFrame:
@@ -75,15 +96,34 @@ def fleet_summary(spark: SparkSession, d: str) -> DataFrame:
     return H.summary(_health(spark, d)).withColumn("health_percent", F.round("health_percent", 6))
 
 
-@query("SELECT grp, rec_no // 1000 AS part, count(*) AS n_records, CAST(sum(length(name) + length(l1) + length(l2) + 3) - 1 AS BIGINT) AS chars FROM tle_fx GROUP BY 1, 2")
+@query("SELECT grp, count(*) AS n_records, CAST(sum(length(name) + length(l1) + length(l2) + 3) AS BIGINT) AS chars FROM tle_fx GROUP BY 1")
 def tle_scan(spark, d):
-    rows = X.tle_text_fx(spark, d).where(F.col("grp").isin(X.GROUPS))
-    return rows.select("grp", F.col("part").cast("bigint").alias("part"), F.floor((F.size(F.split("body", "\n"))) / 3).cast("bigint").alias("n_records"), F.length("body").cast("bigint").alias("chars"))
+    rows = _feed(spark, d).groupBy("grp").agg(F.sum(F.size(F.split("body", "\n")) - 1).alias("lines"), F.sum(F.length("body")).alias("chars"))
+    return rows.select("grp", F.floor(F.col("lines") / 3).cast("bigint").alias("n_records"), "chars")
+
 
+@query("SELECT norad_id, name, tle_epoch, grp FROM catalog")
+def catalog_of_files(spark, d):
+    return cat.parse(cat.records(_feed(spark, d)), X.GROUPS).select("norad_id", "name", "tle_epoch", "grp")
 
-@query("SELECT event_id, norad_id, tel_us, round(dlat, 9) AS dlat, round(dlon, 9) AS dlon, round(dalt, 9) AS dalt FROM tel_fx")
+
+def _readings(spark, d) -> DataFrame:
+    """Telemetry, written as a reader finds it, and scanned. An object's position is taken from pos_fx."""
+    path = scratch.fresh(spark)
+    rows = _observed(X.tel_fx(spark, d).join(X.pos_fx(spark, d), "norad_id"))
+    rows.select("event_id", "norad_id", F.timestamp_micros("tel_us").alias("ts"), F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"), F.col("o_alt").alias("alt_km")).write.parquet(path)
+    return feeds.telemetry_scan(spark, path)
+
+
+@query("SELECT event_id, norad_id, tel_us, round(lat + dlat, 6) AS o_lat, round(lon + dlon, 6) AS o_lon, round(alt + dalt, 6) AS o_alt FROM tel_fx JOIN pos_fx USING (norad_id)")
 def telemetry_scan(spark, d):
-    return X.tel_fx(spark, d).select("event_id", "norad_id", "tel_us", *[F.round(c, 9).alias(c) for c in ("dlat", "dlon", "dalt")])
+    return _readings(spark, d).select("event_id", "norad_id", "tel_us", *[F.round(c, 6).alias(c) for c in ("o_lat", "o_lon", "o_alt")])
+
+
+@query("SELECT norad_id, orbit_class, status, reason FROM health")
+def health_of_files(spark, d):
+    rows = H.fleet_join(X.pos_fx(spark, d), H.latest(_readings(spark, d)))
+    return H.assess(rows, X.thresholds(spark), F.lit(X.AS_OF)).select("norad_id", "orbit_class", "status", "reason")
 
 
 @query("SELECT grp, line FROM tle_fx, LATERAL (SELECT unnest([name, l1, l2]) AS line)")
@@ -126,9 +166,12 @@ def tle_elements(spark, d):
     return cat.elements(_catalog(spark, d)).drop("tle_epoch").withColumn("bstar", F.round("bstar", 9))
 
 
-@query("SELECT norad_id, lat, lon, alt FROM pos_fx WHERE NOT (lat = 0 AND lon = 0 AND alt = 0)")
+_FAILED = "SELECT norad_id, if(norad_id % 97 = 5, 0.0D, lat) AS lat, if(norad_id % 97 = 5, 0.0D, lon) AS lon, if(norad_id % 97 = 5 or norad_id % 89 = 7, 0.0D, alt) AS alt FROM {pos}"
+
+
+@query("SELECT norad_id, lat, lon, CASE WHEN norad_id % 89 = 7 THEN 0 ELSE alt END AS alt FROM pos_fx WHERE norad_id % 97 <> 5")
 def valid_positions(spark, d):
-    return X.pos_fx(spark, d).where("not (lat = 0 and lon = 0 and alt = 0)").select("norad_id", "lat", "lon", "alt")
+    return H.valid(spark.sql(_FAILED, pos=X.pos_fx(spark, d)))
 
 
 @query(f"SELECT norad_id, alt FROM pos_fx WHERE {CLASS} IN ('LEO', 'Debris')")
@@ -229,13 +272,17 @@ def health_distribution(spark, d):
     return H.distribution(_health(spark, d))
 
 
-@query("SELECT orbit_class, count(*) AS total, count_if(status = 'Healthy') AS healthy, count_if(status = 'Warning') AS warning, count_if(status = 'Critical') AS critical, round(count_if(status = 'Healthy') / count(*) * 100, 6) AS health_percent FROM health GROUP BY orbit_class")
+@query("SELECT orbit_class, count(*) AS total, count_if(status = 'Healthy') AS healthy, count_if(status = 'Warning') AS warning, count_if(status = 'Critical') AS critical, round(count_if(status = 'Healthy') / count(*) * 100, 6) AS health_percent FROM health GROUP BY ROLLUP (orbit_class)")
 def fleet_summary_by_class(spark, d):
-    return H.summary(_health(spark, d), ["orbit_class"]).withColumn("health_percent", F.round("health_percent", 6))
+    return H.summary(_health(spark, d), ["orbit_class"], total=True).withColumn("health_percent", F.round("health_percent", 6))
+
+
+def _ticks(spark, d) -> DataFrame:
+    return H.by_tick(X.pos_fx(spark, d), X.tel_fx(spark, d), _observed, X.thresholds(spark), X.FIRST_TICK, X.AS_OF)
 
 
 def _points(spark, d) -> DataFrame:
-    return X.tel_fx(spark, d).select((F.floor(F.col("tel_us") / 30000000) * 30000000).cast("bigint").alias("tick_us"), F.col("dalt").alias("value"))
+    return _ticks(spark, d).select("tick_us", F.col("health_percent").alias("value"))
 
 
 @query("SELECT tick_us, round(value, 6) AS value FROM percents ORDER BY tick_us DESC LIMIT 50")
@@ -253,9 +300,9 @@ def latest_telemetry(spark, d):
     return H.latest(X.tel_fx(spark, d)).select("norad_id", "event_id", "tel_us")
 
 
-@query("SELECT tel_us // 30000000 * 30000000 AS tick_us, count(*) AS readings, count(DISTINCT norad_id) AS objects, max(tel_us) AS last_us FROM tel_fx GROUP BY 1")
+@query("SELECT tick_us, total, healthy, warning, critical, round(value, 6) AS health_percent FROM percents")
 def health_by_tick(spark, d):
-    return H.by_tick(X.tel_fx(spark, d))
+    return _ticks(spark, d).withColumn("health_percent", F.round("health_percent", 6))
 
 
 @query("SELECT norad_id, event_id, tel_us, last_value(dalt IGNORE NULLS) OVER (PARTITION BY norad_id ORDER BY tel_us, event_id ROWS UNBOUNDED PRECEDING) AS dalt_so_far FROM tel_fx")
@@ -270,7 +317,21 @@ def satellites(spark, d):
 
 @query("SELECT norad_id, tick, round(x, 6) AS x FROM xyz_fx WHERE norad_id = 7 AND tick > 1")
 def positions_since(spark, d):
-    return X.xyz_fx(spark, d).where("norad_id = 7 and tick > 1").select("norad_id", "tick", F.round("x", 6).alias("x"))
+    return P.positions_since(X.xyz_fx(spark, d), 7, 1, "tick").select("norad_id", "tick", F.round("x", 6).alias("x"))
+
+
+@query("SELECT norad_id, tick, round(x, 6) AS x FROM xyz_fx WHERE norad_id = 7 AND tick = 2")
+def position_at(spark, d):
+    return P.position_at(X.xyz_fx(spark, d), 7, 2, "tick").select("norad_id", "tick", F.round("x", 6).alias("x"))
+
+
+@query(f"SELECT CAST(d AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n, count(DISTINCT norad_id) AS objects FROM catalog, (VALUES (DATE '2024-01-01'), (DATE '2024-01-02'), (DATE '2024-01-02')) t(d) GROUP BY 1")
+def positions_table(spark, d):
+    """Five instants on four dates, written; the first and the last are cut off by the range that is read."""
+    path, hours = scratch.fresh(spark), [X.AS_OF + 3_600_000_000 * h for h in (-2, 0, 24, 30, 72)]
+    P.write_positions(_catalog(spark, d), hours, path)
+    rows = P.read_positions(spark, path, hours[1], hours[3])
+    return rows.groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.count_distinct("norad_id").alias("objects"))
 
 
 @query("SELECT norad_id, t_iso, arg_max(tle_epoch, tle_epoch) AS tle_epoch, arg_max(name, tle_epoch) AS name FROM catalog, (SELECT '2023-11-30T00:00:00.000Z' AS t_iso UNION ALL SELECT '1999-01-01T00:00:00.000Z') WHERE tle_epoch <> '' AND tle_epoch <= t_iso GROUP BY norad_id, t_iso")
@@ -290,9 +351,9 @@ def conjunctions(spark, d):
     return S.encounters(_hits(spark, d)).withColumn("miss_km", F.round("miss_km", 6))
 
 
-@query("SELECT a, b, tca_tick, round(miss, 6) AS miss_km FROM enc WHERE tca_tick BETWEEN 1 AND 3")
+@query("SELECT a, b, tca_tick, round(miss, 6) AS miss_km FROM enc_near")
 def conjunctions_range(spark, d):
-    return S.encounters(_hits(spark, d)).where("tca_tick between 1 and 3").select("a", "b", "tca_tick", F.round("miss_km", 6).alias("miss_km"))
+    return S.conjunctions_between(X.xyz_fx(spark, d), 1, 3).select("a", "b", "tca_tick", F.round("miss_km", 6).alias("miss_km"))
 
 
 @query("SELECT 'health' AS kind, norad_id AS a, CAST(NULL AS BIGINT) AS b, reason AS detail FROM health WHERE status = 'Critical' UNION ALL SELECT 'conjunction', a, b, 'high' FROM enc WHERE miss < 1")
@@ -334,9 +395,7 @@ def satellite_details(spark, d):
 @query()
 def fleet_health_sgp4(spark, d):
     """The whole chain: each object predicted at its own reading's time, or now, and rated against the reading."""
-    c = cat.current(_catalog(spark, d))
-    read = H.latest(X.tel_fx(spark, d))
-    at = P.predict_at(c.join(read.select("norad_id", "tel_us"), "norad_id", "left").select("norad_id", "l1", "l2", "tle_epoch", F.coalesce("tel_us", F.lit(X.AS_OF)).alias("ts_us")))
-    p = at.select("norad_id", *[F.coalesce(a, F.lit(0.0)).alias(b) for a, b in (("lat", "lat"), ("lon", "lon"), ("alt_km", "alt"))]).join(c.select("norad_id", "is_debris"), "norad_id")
-    rows = p.join(read, "norad_id", "left").select("norad_id", "is_debris", "lat", "lon", "alt", "tel_us", (F.col("lat") + F.col("dlat")).alias("o_lat"), (F.col("lon") + F.col("dlon")).alias("o_lon"), (F.col("alt") + F.col("dalt")).alias("o_alt"))
-    return H.assess(rows, X.thresholds(spark), F.lit(X.AS_OF)).select("norad_id", "orbit_class", "status", "reason")
+    c = cat.current(_catalog(spark, d)).select("norad_id", "l1", "l2", "tle_epoch", "is_debris")
+    rows = H.fleet_join(c, H.latest(X.tel_fx(spark, d))).withColumn("ts_us", F.coalesce("tel_us", F.lit(X.AS_OF)))
+    at = P.predict_at(rows, on_fail="zero").withColumnRenamed("alt_km", "alt")
+    return H.assess(_observed(at), X.thresholds(spark), F.lit(X.AS_OF)).select("norad_id", "orbit_class", "status", "reason")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Groups read when none is asked for, in load order.
 DEFAULT_GROUPS = ["visual", "1999-025", "iridium-33-debris"]
@@ -12,16 +11,20 @@ TELEMETRY = "event_id bigint, norad_id bigint, ts timestamp, lat double, lon dou
 
 
 def tle_scan(spark: SparkSession, path: str, groups: list[str] | None = None, format: str = "tle") -> DataFrame:
-    """(grp, body) of the files under path/grp=<name>/; a group that is not there is left out. Only tle is read."""
+    """(grp, part, body), one row a file, of the files under path/grp=<name>/; part is the file's name, by which files are ordered.
+
+    A group that is not there is left out, and folders of other groups are not read. Only tle is read.
+    """
     if format != "tle":
         raise ValueError("only the tle format is read")
-    rows = spark.read.option("wholetext", True).text(path, recursiveFileLookup=False)
-    return rows.where(F.col("grp").isin(list(groups or DEFAULT_GROUPS))).select("grp", F.col("value").alias("body"))
+    rows = spark.read.schema("value string, grp string").text(path, wholetext=True)
+    return rows.where(F.col("grp").isin(list(groups or DEFAULT_GROUPS))).select("grp", F.col("_metadata.file_name").alias("part"), F.col("value").alias("body"))
 
 
 def telemetry_scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(T._parse_datatype_string(TELEMETRY)).parquet(path)
+    """(event_id, norad_id, tel_us, o_lat, o_lon, o_alt): readings as the health operators take them, from Parquet of TELEMETRY."""
+    rows = (spark.readStream if stream else spark.read).schema(TELEMETRY).parquet(path)
+    return rows.select("event_id", "norad_id", F.unix_micros("ts").alias("tel_us"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("alt_km").alias("o_alt"))
 
 
 def publish(df: DataFrame, path: str, partition: str | None = None) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: 2024-01-01T01:00:00Z in microseconds.
 AS_OF = 1704070800000000
+#: An hour before, the first tick of the fleet's history.
+FIRST_TICK = AS_OF - 3600 * 1_000_000
 GROUPS = ["active", "1999-025", "iridium-33-debris"]
 
 TLE = """SELECT c_custkey AS rec_no,
