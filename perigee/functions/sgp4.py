@@ -1,13 +1,14 @@
-"""Near-Earth SGP4 (Hoots and Roehrich 1980; Vallado et al. 2006, AIAA 2006-6753), over arrays of objects and times.
+"""SGP4 (Hoots and Roehrich 1980; Vallado et al. 2006, AIAA 2006-6753), over arrays of objects and times.
 
-Gravity constants are those of WGS-72. Periods of 225 minutes or more need the deep-space terms, which are not built:
-such objects come back as failed, never with a wrong position.
+Gravity constants are those of WGS-72. Periods of 225 minutes or more get the deep-space terms of sdp4.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from . import sdp4
+
 #: WGS-72.
 MU, RADIUS, J2, J3, J4 = 398600.8, 6378.135, 0.001082616, -0.00000253881, -0.00000165597
 XKE = 60.0 / np.sqrt(RADIUS**3 / MU)
@@ -15,13 +16,20 @@ XKE = 60.0 / np.sqrt(RADIUS**3 / MU)
 A84, F84 = 6378.137, 1 / 298.257223563
 
 
-def propagate(minutes, bstar, ecc, incl, node, argp, mean, no_kozai):
+#: Minutes of a period from which an object is in deep space.
+DEEP = 225.0
+
+
+def propagate(minutes, bstar, ecc, incl, node, argp, mean, no_kozai, epoch_jd):
     """TEME position (km), velocity (km/s) and whether it went well; angles in radians, no_kozai in radians a minute."""
     with np.errstate(all="ignore"):
-        return _propagate(*np.broadcast_arrays(*(np.asarray(x, float) for x in (minutes, bstar, ecc, incl, node, argp, mean, no_kozai))))
+        given = np.broadcast_arrays(*(np.asarray(x, float) for x in (minutes, bstar, ecc, incl, node, argp, mean, no_kozai, epoch_jd)))
+        position, velocity, ok = _propagate(*(np.atleast_1d(x) for x in given))
+    shape = given[0].shape
+    return [x.reshape(shape) for x in position], [x.reshape(shape) for x in velocity], ok.reshape(shape)
 
 
-def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai):
+def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai, epoch_jd):
     k2, cosi, sini = J2 / 2, np.cos(i0), np.sin(i0)
     theta2 = cosi * cosi
     x3m1, x1m, x7m1 = 3 * theta2 - 1, 1 - theta2, 7 * theta2 - 1
@@ -64,10 +72,9 @@ def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai):
     wcof = bstar * c3 * np.cos(w0)
     mcof = np.where(e0 > 1e-4, -2 / 3 * coef * bstar / np.where(eeta != 0, eeta, 1), 0.0)
     nodecf = 3.5 * beta2 * h1 * c1
-    lcof = -0.25 * (J3 / J2) * sini * (3 + 5 * cosi) / np.where(np.abs(1 + cosi) > 1.5e-12, 1 + cosi, 1.5e-12)
-    aycof = -0.5 * (J3 / J2) * sini
     delmo = (1 + eta * np.cos(m0)) ** 3
-    simple = perigee_er < 220 / RADIUS + 1
+    deep = (2 * np.pi / n0 >= DEEP) & (e0 < 1)
+    simple = (perigee_er < 220 / RADIUS + 1) | deep
     d2 = 4 * ao * xi * c1 * c1
     temp = d2 * xi * c1 / 3
     d3 = (17 * ao + s4) * temp
@@ -84,12 +91,26 @@ def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai):
     tempa = tempa - np.where(simple, 0.0, d2 * t**2 + d3 * t**3 + d4 * t**4)
     tempe = tempe + np.where(simple, 0.0, bstar * c5 * (np.sin(m2) - np.sin(m0)))
     templ = templ + np.where(simple, 0.0, l3 * t**3 + t**4 * (l4 + t * l5))
-    am = a * tempa * tempa
+    e, inc, n, ok = e0.copy(), i0.copy(), n0.copy(), np.ones(len(t), bool)
+    far = np.flatnonzero(deep)
+    if len(far):
+        own = lambda *x: [y[far] for y in x]
+        terms = sdp4.start(*own(epoch_jd, e0, i0, node0, w0, m0, n0), own(mdot, wdot, nodedot), sidereal, XKE)
+        e[far], inc[far], node[far], w[far], m2[far], n[far], ok[far] = sdp4.secular(terms, *own(t, e, inc, node, w, m2))
+    am = (XKE / n) ** (2 / 3) * tempa * tempa
     n = XKE / am**1.5
-    e = e0 - tempe
-    ok = (e < 1) & (e > -0.001) & (am > 0.95) & (2 * np.pi / n_kozai < 225) & (e0 < 1) & (n0 > 0)
+    e = e - tempe
+    ok &= (e < 1) & (e > -0.001) & (am > 0.95) & (e0 < 1) & (n0 > 0)
     e = np.maximum(e, 1e-6)
     m2 = m2 + n0 * templ
+    if len(far):
+        e[far], inc[far], node[far], w[far], m2[far] = sdp4.periodic(terms, *own(t, e, inc, node, w, m2))
+        ok &= (e >= 0) & (e <= 1)
+        cosi, sini = np.cos(inc), np.sin(inc)
+        theta2 = cosi * cosi
+        x3m1, x1m, x7m1 = 3 * theta2 - 1, 1 - theta2, 7 * theta2 - 1
+    lcof = -0.25 * (J3 / J2) * sini * (3 + 5 * cosi) / np.where(np.abs(1 + cosi) > 1.5e-12, 1 + cosi, 1.5e-12)
+    aycof = -0.5 * (J3 / J2) * sini
     # long-period terms and Kepler's equation
     axn = e * np.cos(w)
     inv = 1 / (am * (1 - e * e))
@@ -114,7 +135,7 @@ def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai):
     q1, q2 = 0.5 * J2 / pl, 0.5 * J2 / pl / pl
     mr = r * (1 - 1.5 * q2 * betal * x3m1) + 0.5 * q1 * x1m * cos2u
     su = su - 0.25 * q2 * x7m1 * sin2u
-    nk, ik = node + 1.5 * q2 * cosi * sin2u, i0 + 1.5 * q2 * cosi * sini * cos2u
+    nk, ik = node + 1.5 * q2 * cosi * sin2u, inc + 1.5 * q2 * cosi * sini * cos2u
     mv, rv = rdot - n * q1 * x1m * sin2u / XKE, rvdot + n * q1 * (x1m * cos2u + 1.5 * x3m1) / XKE
     ok &= mr >= 1
     ss, cs, sn, cn, si, ci = np.sin(su), np.cos(su), np.sin(nk), np.cos(nk), np.sin(ik), np.cos(ik)

@@ -21,7 +21,7 @@ def _states(p: pd.DataFrame, ts_us: np.ndarray) -> pd.DataFrame:
     per_day = 2 * np.pi / 1440
     angle = lambda c: np.radians(p[c].to_numpy(float))
     minutes = (ts_us - p["epoch_us"].to_numpy(float)) / 60e6
-    r, v, ok = sgp4.propagate(minutes, p["bstar"], p["ecc"], angle("incl_deg"), angle("node_deg"), angle("argp_deg"), angle("mean_deg"), p["rev_day"].to_numpy(float) * per_day)
+    r, v, ok = sgp4.propagate(minutes, p["bstar"], p["ecc"], angle("incl_deg"), angle("node_deg"), angle("argp_deg"), angle("mean_deg"), p["rev_day"].to_numpy(float) * per_day, p["epoch_us"].to_numpy(float) / 86400e6 + 2440587.5)
     with np.errstate(all="ignore"):
         lat, lon, alt = sgp4.geodetic(*r, sgp4.sidereal(ts_us / 86400e6 + 2440587.5))
     ok = ok & np.isfinite(lat + lon + alt)

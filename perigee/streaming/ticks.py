@@ -38,9 +38,21 @@ def health_query(telemetry: DataFrame, assess_batch, path: str, checkpoint: str,
     return latest_stream(telemetry).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def positions_query(spark: SparkSession, catalog: DataFrame, path: str, checkpoint: str, seconds: int = 10, **trigger):
-    """The whole catalogue's positions at each tick of a rate stream."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+def history(spark: SparkSession, path: str, keep: int = 50) -> DataFrame:
+    """The last `keep` points (tick_us, value) of the history that health_query writes under path."""
+    return health.history(spark.read.schema("tick_us bigint, value double, batch int").parquet(f"{path}/history"), keep)
+
+
+def clock(spark: SparkSession) -> DataFrame:
+    """A stream of instants, one a second."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select("timestamp")
+
+
+def positions_query(ticks: DataFrame, catalog: DataFrame, path: str, checkpoint: str, seconds: int = 10, **trigger):
+    """The whole catalogue's positions at the last instant of each batch of ticks (timestamp). A batch without one writes nothing.
+
+    The batch number is in the path, so a batch that runs twice, as after a restart, replaces itself.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
         at = batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from perigee.operators import health
+from perigee.operators import catalog, health, propagate
 from perigee.sources import fixtures
 from perigee.streaming import ticks
 
@@ -23,3 +23,39 @@ def test_replay_equals_batch(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out" / "health")).where(f"batch = {len(list((tmp_path / 'out' / 'health').iterdir())) - 1}")
     want = assess(health.latest(telemetry))
     assert sorted((r["norad_id"], r["reason"]) for r in out.collect()) == sorted((r["norad_id"], r["reason"]) for r in want.collect())
+
+
+def test_history_is_the_last_of_each_batch_after_a_restart(spark, tmp_path):
+    telemetry = fixtures.tel_fx(spark, "/root/testdata/sf0.001")
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    pos, limits = fixtures.pos_fx(spark, "/root/testdata/sf0.001"), fixtures.thresholds(spark)
+
+    def assess(latest):
+        rows = health.fleet_join(pos, latest)
+        rows = rows.withColumns({f"o_{c}": F.col(c) + F.col(f"d{c}") for c in ("lat", "lon", "alt")})
+        return health.assess(rows, limits, F.lit(fixtures.AS_OF))
+
+    # late readings come last; the query stops and starts again between the batches
+    early, late = telemetry.where("event_id % 3 <> 0"), telemetry.where("event_id % 3 = 0")
+    for part in (early.where("event_id % 2 = 0"), early.where("event_id % 2 = 1"), late):
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(telemetry.schema).parquet(src)
+        ticks.health_query(stream, assess, out, ckpt).awaitTermination(120)
+    points = ticks.history(spark, out).orderBy("tick_us").collect()
+    assert [r["tick_us"] for r in points] == [0, 1, 2]
+    want = health.summary(assess(health.latest(telemetry))).collect()[0]["health_percent"]
+    assert abs(points[-1]["value"] - want) < 1e-9
+    assert ticks.history(spark, out, 2).count() == 2
+
+
+def test_position_ticks(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    objects = catalog.parse(catalog.records(fixtures.tle_text_fx(spark, "/root/testdata/sf0.001")), fixtures.GROUPS)
+    for n in range(3):  # one instant a batch, with a restart after each
+        spark.range(1).select(F.timestamp_micros(F.lit(fixtures.AS_OF + 10_000_000 * n)).alias("timestamp")).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("timestamp timestamp").parquet(src)
+        ticks.positions_query(stream, objects, out, ckpt, availableNow=True).awaitTermination(120)
+    got = spark.read.parquet(out)
+    want = propagate.positions(objects, fixtures.AS_OF + 10_000_000)
+    assert {(r["batch"], r["ts_us"]) for r in got.select("batch", "ts_us").distinct().collect()} == {(n, fixtures.AS_OF + 10_000_000 * n) for n in range(3)}
+    assert sorted(r["norad_id"] for r in got.where("batch = 1").collect()) == sorted(r["norad_id"] for r in want.collect())
