@@ -93,8 +93,8 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.aggregate(steps, state, halve, lambda s: s["lo"]))
 
 
-def next_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """docs (doc_id and the carry columns) with next_<c> of the document that follows in descending doc_id.
+def next_documents(docs: DataFrame, carry: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """docs (doc_id and the carry columns, and those derived from these) with next_<c> of the document that follows in descending doc_id.
 
     After the last comes the first again. Equal doc_ids are ordered by the first carry column, descending, nulls
     last. Rows are dealt into ranges of doc_id; each range also gets the head of the range below, so nothing is
@@ -115,6 +115,7 @@ def next_documents(docs: DataFrame, carry: list[str]) -> DataFrame:
         sentinels = first.select("doc_id", *[F.col("_s")[c].alias(c) for c in carry], F.col("_to").alias("_range"), F.lit(1).alias("_mark"))
     rows = docs.withColumn("_mark", F.lit(0))
     rows = rows.unionByName(sentinels) if sentinels is not None else rows
+    rows, carry = rows.withColumns(derived or {}), [*carry, *(derived or {})]
     from pyspark.sql import Window
 
     order = Window.partitionBy("_range").orderBy("_mark", F.col("doc_id").desc_nulls_last(), F.col(carry[0]).desc_nulls_last())
@@ -129,7 +130,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     document is its own next one; an empty table gives no rows. Texts are shuffled once, to meet the next document.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = next_documents(docs.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"])
+    rows = next_documents(docs, ["text"], {"fingerprint": fingerprint(F.col("text"))})
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
