@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import free_names, materialize
 
 SHARDS, SEED, LAW = 24, 20240117, "rows"
 #: Rows of a logical partition, and the fewest and most partitions: the matrix has at most MOST x shards numbers.
@@ -69,15 +69,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     The rows themselves are shuffled, texts included: once to their partition, once to their shard and block; they come
     block by block, in the order of their slots. size and text_crc32 are those of the text that arrives. A null text has
     size 8 and the crc32 of no bytes. Documents of equal text are rows like any other and are spread independently;
-    repeated rows are interchangeable, and each gets a slot of its own. An empty table gives no rows. The driver sees one
+    repeated rows are interchangeable, and each gets a slot of its own. Where docs has a column of the name of a new one, the
+    new one gets an underscore. An empty table gives no rows. The driver sees one
     count a partition and one count a block.
     """
     spark = docs.sparkSession
     size, crc = _measures("text")
     parts = min(MOST, max(FEWEST, -(-docs.count() // PARTITION_ROWS)))
-    rows = docs.withColumns({"_size": size, "_crc": crc, "_row": F.xxhash64(*docs.columns)})
-    rows = rows.withColumns({"_key1": F.xxhash64("doc_id", "_size", "_crc", F.lit(seed)), "_key2": F.xxhash64(F.lit(seed + 1), "_crc", "_size", "doc_id"), "_part": F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(parts)).cast("int")})
-    within = Window.partitionBy("_part").orderBy("_key1", "doc_id", "_size", "_crc", "_row")
+    # the caller's columns travel as one, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), size.alias("_size"), crc.alias("_crc"), F.xxhash64(*docs.columns).alias("_row"))
+    rows = rows.withColumns({"_key1": F.xxhash64("id", "_size", "_crc", F.lit(seed)), "_key2": F.xxhash64(F.lit(seed + 1), "_crc", "_size", "id"), "_part": F.pmod(F.xxhash64("id", "_size", "_crc", F.lit(seed + 2)), F.lit(parts)).cast("int")})
+    within = Window.partitionBy("_part").orderBy("_key1", "id", "_size", "_crc", "_row")
     rows = materialize(rows.withColumn("_place", F.row_number().over(within)), "zstd")
     sizes = dict(rows.groupBy("_part").count().collect())
     n = sum(sizes.values())
@@ -86,7 +88,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     dealt = rows.join(F.broadcast(ends), "_part")  # at most MOST rows
     dealt = dealt.withColumn("_shard", F.size(F.filter("_ends", lambda e: e < F.col("_place"))).cast("int")).drop("_ends", "_place", "_part", "_key1")
     placed = _slots(dealt, shards, max(1, -(-n // (shards * PARTITION_ROWS))), max(8, FEWEST // shards))
-    return placed.select(*docs.columns, size.alias("size"), crc.alias("text_crc32"), F.lit(LAW).alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = _measures("doc.text")
+    new = [size, crc, F.lit(LAW), F.col("_shard"), F.col("_slot"), F.lit(None).cast("int")]
+    names = free_names(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return placed.select("doc.*", *[c.alias(n) for c, n in zip(new, names, strict=True)])
 
 
 def _slots(dealt: DataFrame, shards: int, blocks: int, least: int) -> DataFrame:
@@ -102,7 +107,7 @@ def _slots(dealt: DataFrame, shards: int, blocks: int, least: int) -> DataFrame:
             starts.append((s, b, at))
             at += counts.get((s, b), 0)
     starts = dealt.sparkSession.createDataFrame(starts, "_shard int, _block int, _start bigint")
-    place = F.row_number().over(Window.partitionBy("_shard", "_block").orderBy("_order", "_key2", "doc_id", "_size", "_crc", "_row")) - 1
+    place = F.row_number().over(Window.partitionBy("_shard", "_block").orderBy("_order", "_key2", "id", "_size", "_crc", "_row")) - 1
     out = dealt.withColumn("_at", place).join(F.broadcast(starts) if shards * blocks <= 1_000_000 else starts, ["_shard", "_block"])
     return out.withColumn("_slot", (F.col("_start") + F.col("_at")).cast("bigint"))
 
