@@ -1,4 +1,7 @@
-"""Secret scans: an Aho-Corasick prefilter, regular expressions anchored at its hits, and embedded checksums."""
+"""Secret scans: an Aho-Corasick prefilter, regular expressions anchored at its hits, and embedded checksums.
+
+Runs of hexadecimal digits have no keyword, so they alone are sought over the whole text.
+"""
 
 from __future__ import annotations
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh
+
 #: Words of a shingle, and the likeness from which two documents count as near copies.
 SHINGLE, LIKENESS = 5, 0.8
 #: A table of at most this many narrow rows may be broadcast; beyond it Spark joins by a shuffle.
@@ -20,30 +20,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: The folder made for a local session without spark.checkpoint.dir, by application.
-_OWN: dict[str, str] = {}
 #: Where recording() is in force: the paths that materialize() has written and discard() has not deleted.
 _RECORDED: list[set[str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or the warehouse where that is unset.
-
-    Only a session in one process (local[...]), where driver and executors are the same machine, gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-        if master == "local" or master.startswith("local["):
-            folder = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="perigee-"))
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/perigee-scratch"
-    return folder.rstrip("/")
-
-
 def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/perigee-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path, compression=compression)
     for paths in _RECORDED:
         paths.add(path)

@@ -360,3 +360,98 @@ def test_sharding_moves_rows(spark, small, edge):
         assert all(r["size"] == len((r["text"] or "").encode()) + 8 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode()) for r in whole.collect())
     slots = lambda d: sorted((r["shard"], r["slot"], r["doc_id"]) for r in sharding.shard(d).collect())
     assert slots(small[0]) == slots(small[0].repartition(7))
+
+
+def test_added_columns_do_not_clash(spark):
+    """A caller's columns come back as they are from the operators that add some."""
+    names = ["size", "slot", "doc", "id", "_size", "_row", "_part", "_shard", "dropped", "n_lines", "row", "cut", "hash_a", "_rid", "_dropped", "_n_lines", "component_id", "class", "key"]
+    rows = [(i % 3 or None, f"text {i} of some words\nfoot line" if i else None, *[f"{c}{i}" for c in names]) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(2)
+    want = Counter(tuple(r[c] for c in ["doc_id", *names]) for r in df.collect())
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "quite another text that is in none of the documents")], "item_id long, text string")
+    for made in (sharding.shard(df), linededup.dedup(df), quality.keep_good(df, none), decontam.decontaminate(df, items)):
+        assert len(set(made.columns)) == len(made.columns)
+        assert Counter(tuple(r[c] for c in ["doc_id", *names]) for r in made.select("doc_id", *names).collect()) == want
+    assert "size_" in sharding.shard(df).columns and "dropped_" in linededup.dedup(df).columns
+    for made, n in ((jaccard.join(df), "component_id"), (fingerprints.fingerprint_report(df), "near_next"), (secrets.scan(df), "spans"), (packing.pack(df), "offset")):
+        assert n in made.columns and made.count() == len(rows)
+
+
+def test_quality_without_labels(spark, edge):
+    one = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
+    none = one.limit(0)
+    assert {r["score"] for r in quality.scored(edge, none).collect()} == {0.5}
+    assert {r["score"] for r in quality.scored(edge, one).collect()} == {1.0}
+    assert {r["score"] for r in quality.scored(edge, one.selectExpr("doc_id", "0 as quality")).collect()} == {0.0}
+    assert quality.keep_good(edge, one.selectExpr("doc_id", "0 as quality")).count() == 0 and quality.keep_good(edge, one).count() == len(EDGE)
+
+
+def test_vocabulary(spark):
+    text = " ".join(f"often{i} often{i}" for i in range(40)) + " seldom"
+    docs = spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string")
+    found = quality.vocabulary_of(docs)
+    table = quality._Tokens()
+    assert set(found.tolist()) == {table["often"], table["7"]}  # a number is one token, a word another; seldom occurs four times
+    rows = quality._Tokens(found)
+    assert sorted([rows["often"], rows["12"]]) == [0, 1] and rows["seldom"] >= 2
+
+
+def test_languages_of_an_empty_table_and_ties(spark, edge):
+    assert langid.predict(empty(spark)).count() == 0
+    rows = [(i, f"{w} " * 30, lang) for i, (w, lang) in enumerate([("alpha beta", "x"), ("gamma delta", "y")] * 40)]
+    df = spark.createDataFrame([*rows, *rows, (500, "", "x"), (501, None, None), (502, "12 !", "y")], "doc_id long, text string, lang string")
+    sample = langid.training_sample(df, 8)
+    assert Counter(k for k, _ in sample) == {"x": 8, "y": 8}
+    got = {r["doc_id"]: r for r in langid.predict(df, 8).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows) and {got[i]["lang_pred"] for i in (500, 501, 502)} == {"und"}
+    assert all(got[i]["score"] == 0 for i in (500, 501, 502))
+
+
+def test_url_edges(spark):
+    rules = spark.createDataFrame([("a.com", "/x/", "allow"), ("A.com", "/x/", "block"), ("b.com", "/", "allow")], "host string, path string, verdict string")
+    long = "http://b.com/" + "y/" * 20_000
+    urls = ["http://a.com/x/1", "http://a.com/x/1", long, None, "http://c.com/"]
+    got = [(r["url"], r["rule"], r["verdict"]) for r in urlfilter.judge(spark.createDataFrame([(u, u) for u in urls], "page_id string, url string"), rules).selectExpr("page_id url", "rule", "verdict").collect()]
+    assert Counter(got) == Counter([("http://a.com/x/1", "a.com/x/", "block")] * 2 + [(long, "b.com/", "allow"), (None, None, "allow"), ("http://c.com/", None, "allow")])
+    assert urlfilter.judge(spark.createDataFrame([], "page_id string, url string"), rules).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(spark.createDataFrame([("p", long)], "page_id string, url string"), rules.limit(0)).collect()} == {"allow"}
+
+
+def test_sharding_is_uniform_and_holds_a_hot_id(spark):
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, 7, id) doc_id", "if(id % 2 = 0, 'same', concat('t', id)) text")
+    got = sharding.shard(df).collect()
+    by = Counter(r["shard"] for r in got)
+    assert set(by.values()) == {250} and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(250)) for s in by)
+    # rows of each half of the ids fall to every shard alike: chi-square with 23 degrees of freedom
+    half = Counter(r["shard"] for r in got if r["doc_id"] < 3000 and r["doc_id"] != 7)
+    mean = sum(half.values()) / 24
+    assert sum((half[s] - mean) ** 2 for s in range(24)) / mean < 50
+
+
+def test_fingerprints_of_ties(spark):
+    rows = [(5, "one two three four five six"), (5, "one two three four five six"), (5, None), (None, "seven"), (9, "")]
+    got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 5 and len({r["fingerprint"] for r in got if r["n_chars"] == 27}) == 1 and all(0 <= r["near_next"] <= 1 for r in got)
+
+
+def test_jaccard_of_common_passages_and_large_groups(spark):
+    """A passage that many documents share links none of them; a large group of copies and one of near copies do."""
+    make = lambda seed, n: " ".join("".join(w) for w in np.random.default_rng(seed).choice(list("abcdefghijklmnop"), (n, 6)))
+    passage, base = make(1, 40), make(2, 120).split()
+    rows = [(i, f"{make(100 + i, 60)} {passage}") for i in range(60)] + [(100 + i, f"{passage} {make(7, 30)}") for i in range(60)]
+    rng = np.random.default_rng(4)
+    for i in range(60):
+        w = list(base)
+        for p in rng.choice(len(w), rng.integers(0, 4), replace=False):
+            w[p] = f"edit{i}"
+        rows.append((200 + i, " ".join(w)))
+    rows += [(None, passage), (300, passage.upper()), (300, "other words than those of the row before it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect())
+    numbered = brute_components([(i, t) for i, (_, t) in enumerate(rows)])
+    groups = defaultdict(list)
+    for i, (_, top) in numbered.items():
+        groups[top].append(rows[i][0])
+    low = {top: min((k for k in ids if k is not None), default=None) for top, ids in groups.items()}
+    assert got == Counter((rows[i][0], n, low[top]) for i, (n, top) in numbered.items())
