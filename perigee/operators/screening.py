@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-#: The greatest relative speed in km/s for which a cell edge is laid out.
-MAX_SPEED = 16.0
 #: The most observers that are broadcast.
 SENT_OBSERVERS = 1000
 #: A cell and half of its neighbours: of any two neighbouring cells one has the other among these.
@@ -38,13 +36,15 @@ def overhead(points: DataFrame, observers: DataFrame) -> DataFrame:
 def screen(states: DataFrame, distance_km: float = 5.0, step_s: float = 10.0) -> DataFrame:
     """(tick, a, b, miss_km, t_offset): pairs a < b whose least distance within half a step of the tick is small.
 
-    Between ticks motion is linear. Space is cut in cells of edge D + top speed x half a step. Each state of one side goes to its own
-    cell and to the neighbours on one side of it, so two states meet once, and the join is on the cell: all pairs are never made.
+    Between ticks motion is linear. Space is cut in cells: along each axis the edge is D + half a step at twice the top speed of
+    any state along it, so that close states lie in neighbouring cells. Each state of one side goes to its own cell and to the
+    neighbours on one side of it, so two states meet once, and the join is on the cell: all pairs are never made.
     A pair whose distance along one axis is too great for its speed along it is told before the distance is worked out.
     """
-    edge, half = distance_km + MAX_SPEED * step_s / 2, step_s / 2
+    half = step_s / 2
     names = ("x", "y", "z", "vx", "vy", "vz")
-    cell = lambda c: F.floor(F.col(c) / edge).cast("int")
+    top = states.agg(*[F.coalesce(F.max(F.abs(f"v{c}")), F.lit(0.0)).alias(c) for c in "xyz"]).first()
+    cell = lambda c: F.floor(F.col(c) / (distance_km + 2 * top[c] * half)).cast("int")
     s = states.select("tick", "norad_id", *names, *[cell(c).alias(f"c{c}") for c in "xyz"])
     a = s.select("tick", "cx", "cy", "cz", F.col("norad_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
     moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", f, strict=True)]) for f in _FORWARD]))
