@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import WordHashes, components, discard, materialize, shingle_hashes, small_side, tidy, words_of
 
 #: Incidences of one block of step 2, and those that a task counts together before it deals them out.
-BLOCK_INCIDENCES, TASK_INCIDENCES = 1_500_000, 1_000_000
+BLOCK_INCIDENCES, TASK_INCIDENCES = 1_500_000, 500_000
 #: Bytes of a shingle within its block and of a set, by which step 2 tells them apart: together 64 bits.
 ENTRY, REF = 3, 5
 #: Sizes of linked sets differ by a factor of at most 1.25, so they lie in the same band of size or in neighbouring ones.
@@ -53,8 +53,8 @@ def _sets(docs: DataFrame, per_batch, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 sets = [shingle_hashes(words_of(t), table) for t in part.column(1).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield per_batch(part.column(0), sets, keys, [max(1, int.from_bytes(k[:REF], "little")) if k else None for k in keys])
