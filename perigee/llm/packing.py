@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import TABLE_ENTRIES, materialize, small_side, tidy
+from .shared import materialize, small_side, tidy
 
 #: Tokens of a sequence, the width of a length class (a length counts as the class's upper end), and the id that ends a document.
 LENGTH, GRID, END_ID = 2048, 8, 1
 _SPECIAL = "<|endoftext|>"
+#: Encoded stretches that a task keeps, some 60 MB.
+CHUNKS = 300_000
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -42,7 +44,7 @@ class _Chunks(dict):
         self.encode = encode
 
     def __missing__(self, chunk: str):
-        if len(self) >= TABLE_ENTRIES:
+        if len(self) >= CHUNKS:
             self.clear()
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             value = None
