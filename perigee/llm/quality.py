@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import TABLE_ENTRIES, crc_bucket, discard, free_names, materialize, mix, small_side, tidy
+from .shared import crc_bucket, discard, free_names, materialize, mix, small_side, tidy
 
 #: Words with a vector of their own, vectors that the others share, length of a vector, context classes, and the window to each side.
 VOCABULARY, BUCKETS, DIM, CONTEXTS, WINDOW = 50_000, 4096, 48, 512, 2
@@ -28,6 +28,8 @@ MARKS, LEAST_SEEN = 4, 5
 #: The most labelled rows that the network is fitted on, hidden units, and the score from which a document is accepted.
 FIT_ROWS, HIDDEN, ACCEPT = 20_000, 32, 0.3
 FOLDS, SEED = 5, 7
+#: Tokens whose rows, and words whose counts, a task keeps.
+TOKENS = 250_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 
 
@@ -37,20 +39,18 @@ class _Tokens(dict):
 
     def __init__(self, vocabulary: np.ndarray | None = None):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.rows = None if vocabulary is None else {word: row for row, word in enumerate(vocabulary.tolist())}
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= TABLE_ENTRIES:
+        if len(self) >= TOKENS:
             self.clear()
         if token[0].isalpha():
             word = "\x02" if len(token) > 1 and token.isupper() else token.lower()
         else:
             word = "\x03" if token[0].isdigit() else token
         value = xxhash.xxh64_intdigest(word) >> 1
-        if self.vocabulary is not None:
-            at = int(np.searchsorted(self.vocabulary, value))
-            known = at < len(self.vocabulary) and self.vocabulary[at] == value
-            value = at if known else len(self.vocabulary) + value % BUCKETS
+        if self.rows is not None:
+            value = self.rows.get(value, len(self.rows) + value % BUCKETS)
         self[token] = value
         return value
 
@@ -90,7 +90,7 @@ def vocabulary_of(docs: DataFrame) -> np.ndarray:
             found, n = np.unique(np.concatenate([tokens_of(t, table) for t in texts]), return_counts=True)
             for word, k in zip(found.tolist(), n.tolist(), strict=True):
                 counts[word] += k
-            if len(counts) >= 4 * TABLE_ENTRIES:
+            if len(counts) >= TOKENS:
                 yield rows()
         yield rows()
 
