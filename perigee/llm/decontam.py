@@ -131,8 +131,9 @@ def distances_within(patterns: list[str], of: np.ndarray, texts: list[str]) -> n
     for w in np.unique(words[words <= MOST_WORDS]).tolist():
         group = np.flatnonzero(words == w)
         group = group[np.argsort([len(texts[i]) for i in group], kind="stable")]
-        for lo in range(0, len(group), VERIFIED):
-            part = group[lo : lo + VERIFIED]
+        step = max(256, 4 * VERIFIED // max(4, w))  # long patterns in smaller batches
+        for lo in range(0, len(group), step):
+            part = group[lo : lo + step]
             out[part] = _batch(patterns, of[part], [texts[i] for i in part.tolist()], w)
     return out
 
