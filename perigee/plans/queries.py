@@ -161,7 +161,7 @@ def catalog(spark, d):
     return _catalog(spark, d).select("norad_id", "name", "l1", "l2", "inclination", "tle_epoch", "is_debris", "grp", "grp_ord")
 
 
-@query("SELECT norad_id, 0.00001::DOUBLE AS bstar, inclination AS incl_deg, CAST(trim(substr(l2, 18, 8)) AS DOUBLE) AS node_deg, 0.001::DOUBLE AS ecc, CAST(trim(substr(l2, 35, 8)) AS DOUBLE) AS argp_deg, CAST(trim(substr(l2, 44, 8)) AS DOUBLE) AS mean_deg, CAST(trim(substr(l2, 53, 11)) AS DOUBLE) AS rev_day FROM catalog")
+@query("SELECT norad_id, round(CAST(replace(substr(l1, 54, 6), ' ', '') AS DOUBLE) * 0.00001::DOUBLE * power(10.0, CAST(replace(substr(l1, 60, 2), ' ', '') AS DOUBLE)), 9) AS bstar, inclination AS incl_deg, CAST(trim(substr(l2, 18, 8)) AS DOUBLE) AS node_deg, CAST('0.' || trim(substr(l2, 27, 7)) AS DOUBLE) AS ecc, CAST(trim(substr(l2, 35, 8)) AS DOUBLE) AS argp_deg, CAST(trim(substr(l2, 44, 8)) AS DOUBLE) AS mean_deg, CAST(trim(substr(l2, 53, 11)) AS DOUBLE) AS rev_day FROM catalog")
 def tle_elements(spark, d):
     return cat.elements(_catalog(spark, d)).drop("tle_epoch").withColumn("bstar", F.round("bstar", 9))
 

@@ -42,3 +42,13 @@ def test_search(spark):
     assert catalog.search(rows, "  ").count() == 0
     assert [r["norad_id"] for r in catalog.search(rows, "SAT").collect()] == list(range(20))
     assert {r["norad_id"] for r in catalog.search(rows, "7").collect()} == {7, 17, 27}
+
+
+def test_elements_with_implied_points(spark):
+    l1 = "1 25544U 98067A   06173.50000000  .00002182  00000-0 {} 0  9990"
+    l2 = "2 25544  51.6416 247.4627 {} 130.5360 325.0288 15.72125391563537"
+    cases = [(" 28098-4", "1859667", 2.8098e-5, 0.1859667), ("-11606-4", "0006703", -1.1606e-5, 0.0006703), (" 14311-1", "7318036", 0.014311, 0.7318036), (" 00000-0", "0000000", 0.0, 0.0), (" 12345+0", "xxxxxxx", 0.12345, None)]
+    rows = spark.createDataFrame([(i, "", l1.format(b), l2.format(e)) for i, (b, e, _, _) in enumerate(cases)], "norad_id int, tle_epoch string, l1 string, l2 string")
+    for r, (_, _, drag, ecc) in zip(catalog.elements(rows).orderBy("norad_id").collect(), cases, strict=True):
+        assert math.isclose(r["bstar"], drag, abs_tol=1e-12) and r["ecc"] == ecc
+        assert (r["incl_deg"], r["node_deg"], r["argp_deg"], r["mean_deg"], r["rev_day"]) == (51.6416, 247.4627, 130.536, 325.0288, 15.72125391)
