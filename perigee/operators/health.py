@@ -9,6 +9,8 @@ from ..functions import columns as C
 
 STATUSES = ["Healthy", "Warning", "Critical"]
 CLASSES = ["LEO", "MEO", "GEO", "Debris"]
+#: A reading older than the largest critical age cannot change a status, so readings need not be waited for longer.
+WATERMARK_S = 43_200
 
 
 def latest(telemetry: DataFrame) -> DataFrame:
@@ -22,25 +24,35 @@ def fleet_join(objects: DataFrame, readings: DataFrame) -> DataFrame:
     return objects.join(readings, "norad_id", "left")
 
 
-def assess(rows: DataFrame, thresholds: DataFrame, as_of_us: Column) -> DataFrame:
-    """The cascade over rows of (norad_id, is_debris, lat, lon, alt predicted; tel_us, o_lat, o_lon, o_alt or null).
+def rated(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """rows of (is_debris, lat, lon, alt predicted; o_lat, o_lon, o_alt) with orbit_class, the limits of the class and deviation_km.
 
-    Of thresholds at most one row for each of the four classes is taken, so it is broadcast; in a class without one, tests against
-    thresholds are false. A test on a value that is no number is false.
+    Of thresholds at most one row for each of the four classes is taken, so it is broadcast; a class without one has null limits.
     """
     limits = ["warn_km", "crit_km", "warn_age_s", "crit_age_s"]
     four = thresholds.where(F.col("orbit_class").isin(CLASSES)).groupBy("orbit_class").agg(F.min(F.struct(*limits)).alias("t")).select("orbit_class", "t.*")
     rows = rows.withColumn("orbit_class", C.orbit_class(F.col("alt"), F.col("is_debris"))).join(F.broadcast(four), "orbit_class", "left")
-    number = lambda c: ~F.isnan(c)
-    rows = rows.withColumn("age_s", C.age_seconds(as_of_us, F.col("tel_us"))).withColumn("deviation_km", C.distance_km(tuple(map(F.col, ("lat", "lon", "alt"))), tuple(map(F.col, ("o_lat", "o_lon", "o_alt")))))
-    age, dev = F.col("age_s"), F.col("deviation_km")
+    return rows.withColumn("deviation_km", C.distance_km(tuple(map(F.col, ("lat", "lon", "alt"))), tuple(map(F.col, ("o_lat", "o_lon", "o_alt")))))
+
+
+def fresh_reason() -> Column:
+    """What the cascade gives for a rated reading of no age."""
+    dev = F.col("deviation_km")
+    return F.when(~F.isnan(dev) & (dev >= F.col("crit_km")), "large_deviation").when(~F.isnan(dev) & (dev >= F.col("warn_km")), "deviation_warning").otherwise("ok")
+
+
+def assess(rows: DataFrame, thresholds: DataFrame, as_of_us: Column) -> DataFrame:
+    """The cascade over rows of (norad_id, is_debris, lat, lon, alt predicted; tel_us, o_lat, o_lon, o_alt or null).
+
+    In a class without thresholds, tests against them are false. A test on a value that is no number is false.
+    """
+    rows = rated(rows, thresholds).withColumn("age_s", C.age_seconds(as_of_us, F.col("tel_us"))).withColumn("fresh", fresh_reason())
+    age, known = F.col("age_s"), ~F.isnan("age_s")
     reason = (
         F.when(F.col("tel_us").isNull(), "no_telemetry")
-        .when(number(age) & (age > F.col("crit_age_s")), "stale_telemetry")
-        .when(number(dev) & (dev >= F.col("crit_km")), "large_deviation")
-        .when(number(dev) & (dev >= F.col("warn_km")), "deviation_warning")
-        .when(number(age) & (age >= F.col("warn_age_s")), "stale_warning")
-        .otherwise("ok")
+        .when(known & (age > F.col("crit_age_s")), "stale_telemetry")
+        .when((F.col("fresh") == "ok") & known & (age >= F.col("warn_age_s")), "stale_warning")
+        .otherwise(F.col("fresh"))
     )
     rows = rows.withColumn("reason", reason)
     status = F.when(F.col("reason") == "ok", "Healthy").when(F.col("reason").endswith("warning"), "Warning").otherwise("Critical")

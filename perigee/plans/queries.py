@@ -12,6 +12,7 @@ from ..operators import propagate as P
 from ..operators import screening as S
 from ..sources import feeds, scratch
 from ..sources import fixtures as X
+from ..streaming import fleet as L
 
 QUERIES, SQL = {}, {}
 PI = "3.141592653589793"
@@ -399,3 +400,68 @@ def fleet_health_sgp4(spark, d):
     rows = H.fleet_join(c, H.latest(X.tel_fx(spark, d))).withColumn("ts_us", F.coalesce("tel_us", F.lit(X.AS_OF)))
     at = P.predict_at(rows, on_fail="zero").withColumnRenamed("alt_km", "alt")
     return H.assess(_observed(at), X.thresholds(spark), F.lit(X.AS_OF)).select("norad_id", "orbit_class", "status", "reason")
+
+
+def _arriving(spark, d, pieces: int) -> tuple[DataFrame, str]:
+    """Telemetry as files that a stream finds one by one; every file has readings of the whole hour. Also the folder."""
+    path = scratch.fresh(spark)
+    rows = X.tel_fx(spark, d)
+    for n in range(pieces):
+        rows.where(F.expr(f"pmod(hash(event_id), {pieces}) = {n}")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withColumn("ts", F.timestamp_micros("tel_us")), path
+
+
+def _clock(spark, path: str, us: int) -> DataFrame:
+    """A clock that has one instant."""
+    spark.range(1).select(F.timestamp_micros(F.lit(us)).alias("ts")).write.parquet(f"{path}/clock")
+    return spark.readStream.schema("ts timestamp").parquet(f"{path}/clock")
+
+
+def _tick_stream(spark, d) -> tuple[DataFrame, str]:
+    """The stream of health by tick over shuffled telemetry, run to its end; readings may be three hours late."""
+    telemetry, path = _arriving(spark, d, 3)
+    objects, late = X.pos_fx(spark, d), 10_800
+    rated = L.rated_readings(telemetry, objects, _observed, X.thresholds(spark))
+    rows = L.tick_health(rated, objects, X.FIRST_TICK, _clock(spark, path, X.AS_OF + late * 1_000_000), late_s=late)
+    L.log(rows, f"{path}/ticks", f"{path}/c1").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/ticks"), path
+
+
+@query("SELECT tick_us, total, healthy, warning, critical, round(value, 6) AS health_percent FROM percents")
+def health_tick_stream(spark, d):
+    """health_by_tick as a stream."""
+    return _tick_stream(spark, d)[0].select("tick_us", "total", "healthy", "warning", "critical", F.round("health_percent", 6).alias("health_percent"))
+
+
+@query("SELECT tick_us, strftime(make_timestamp(tick_us), '%H:%M') AS label, CAST(floor(value + 0.5) AS BIGINT) AS value FROM percents ORDER BY tick_us DESC LIMIT 20")
+def health_trend_stream(spark, d):
+    """The trend of the history that a stream keeps of the ticks of another."""
+    rows, path = _tick_stream(spark, d)
+    points = spark.readStream.schema(rows.schema).parquet(f"{path}/ticks").select("fleet", "tick_us", F.col("health_percent").alias("value"))
+    ring = L.history_ring(points)
+    L.keep_latest(ring, f"{path}/ring", f"{path}/c2").awaitTermination()
+    return H.trend(L.latest(spark, f"{path}/ring", "fleet string, points array<struct<tick_us:bigint,value:double>>").select(F.explode("points").alias("p")).select("p.*"))
+
+
+def _changes(spark, d) -> tuple[DataFrame, str]:
+    """The changes of status over shuffled telemetry, seen as it arrives; the watermark, a minute behind, goes on to AS_OF."""
+    telemetry, path = _arriving(spark, d, 3)
+    seen = telemetry.withColumn("ts", F.timestamp_micros(F.lit(X.AS_OF + 1_000_000)))
+    rated = L.rated_readings(seen, X.pos_fx(spark, d), _observed, X.thresholds(spark))
+    L.log(L.status_changes(rated, _clock(spark, path, X.AS_OF + 60_000_000), 60), f"{path}/changes", f"{path}/c1").awaitTermination()
+    return spark.read.schema(L.CHANGES).parquet(f"{path}/changes"), path
+
+
+@query("SELECT norad_id, reason FROM health WHERE reason <> 'no_telemetry'")
+def status_stream(spark, d):
+    """The last reason of every object that has one, from the stream of changes."""
+    return _changes(spark, d)[0].groupBy("norad_id").agg(F.max_by("new_reason", "seq").alias("reason"))
+
+
+@query("SELECT count(*) AS total, count_if(status = 'Healthy') AS healthy, count_if(status = 'Warning') AS warning, count_if(status = 'Critical') AS critical, round(count_if(status = 'Healthy') / count(*) * 100, 6) AS health_percent FROM health")
+def fleet_summary_stream(spark, d):
+    """The summary of a fleet, counted up and down from the changes of its objects."""
+    rows, path = _changes(spark, d)
+    total = X.pos_fx(spark, d).groupBy(F.lit("all").alias("fleet")).agg(F.count("*").alias("total"))
+    L.keep_latest(L.fleet_counts(spark.readStream.schema(rows.schema).parquet(f"{path}/changes"), total), f"{path}/counts", f"{path}/c2").awaitTermination()
+    return L.latest(spark, f"{path}/counts", L.COUNTS).select("total", "healthy", "warning", "critical", F.round("health_percent", 6).alias("health_percent"))

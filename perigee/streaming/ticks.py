@@ -1,47 +1,13 @@
-"""Streaming forms: telemetry to fleet health, position ticks, and the bounded history."""
+"""Position ticks: the whole catalogue at the instants of a clock."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import health, propagate
+from ..operators import propagate
 from ..sources.feeds import publish
 
-#: A reading older than the largest critical age cannot change a status, so that is the watermark.
-WATERMARK_S = 43_200
-
-
-def latest_stream(telemetry: DataFrame) -> DataFrame:
-    """The last reading of each object so far: state of one row an object; a late, older reading changes nothing."""
-    return health.latest(telemetry)
-
-
-def windowed(telemetry: DataFrame, step_s: int = 30) -> DataFrame:
-    """Readings in each window of event time, append mode, late data up to the watermark."""
-    rows = telemetry.withColumn("ts", F.timestamp_micros("tel_us")).withWatermark("ts", f"{WATERMARK_S} seconds")
-    return rows.groupBy(F.window("ts", f"{step_s} seconds").alias("w")).agg(F.count("*").alias("readings")).select(F.unix_micros(F.col("w.start")).alias("tick_us"), "readings")
-
-
-def health_query(telemetry: DataFrame, assess_batch, path: str, checkpoint: str, **trigger):
-    """Writes the health of the fleet for each batch of telemetry; assess_batch(latest) returns health rows.
-
-    The batch number is in the path, so a batch that runs twice replaces itself. A summary row is added to the history.
-    """
-
-    def each(batch: DataFrame, n: int) -> None:
-        rows = assess_batch(batch).persist()
-        publish(rows, f"{path}/health/batch={n}")
-        publish(health.summary(rows).where("total > 0").select(F.lit(n).cast("bigint").alias("tick_us"), F.col("health_percent").alias("value")), f"{path}/history/batch={n}")
-        rows.unpersist()
-
-    return latest_stream(telemetry).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def history(spark: SparkSession, path: str, keep: int = 50) -> DataFrame:
-    """The last `keep` points (tick_us, value) of the history that health_query writes under path."""
-    return health.history(spark.read.schema("tick_us bigint, value double, batch int").parquet(f"{path}/history"), keep)
-
 
 def clock(spark: SparkSession) -> DataFrame:
     """A stream of instants, one a second."""
