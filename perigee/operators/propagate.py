@@ -44,11 +44,12 @@ def _settled(out: DataFrame, on_fail: str) -> DataFrame:
     return out.withColumns({c: F.when(F.col("prop_ok"), F.col(c)).otherwise(other) for c in numbers})
 
 
-def ephemeris(catalog: DataFrame, ticks_us: list[int], on_fail: str = "null") -> DataFrame:
+def ephemeris(catalog: DataFrame, ticks_us: list[int], on_fail: str = "null", ordered: bool = False) -> DataFrame:
     """Every object at every instant. The instants travel with the function: no cross join is shuffled.
 
     An object that cannot be propagated has prop_ok false and, by on_fail, null numbers, zeros, or no row. Filter the
-    catalogue first: predicates do not go through this step. The catalogue is spread first, as a feed has few files.
+    catalogue first: predicates do not go through this step. The catalogue is spread first, as a feed has few files; with
+    ordered, by ranges of norad_id.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +60,8 @@ def ephemeris(catalog: DataFrame, ticks_us: list[int], on_fail: str = "null") ->
                 wide = part.loc[part.index.repeat(len(ticks_us))]
                 yield _states(wide, np.tile(np.array(ticks_us, float), len(part)))
 
-    return _settled(_ready(catalog).repartition("norad_id").mapInPandas(run, SCHEMA), on_fail)
+    ready = _ready(catalog)
+    return _settled((ready.repartitionByRange("norad_id") if ordered else ready.repartition("norad_id")).mapInPandas(run, SCHEMA), on_fail)
 
 
 def predict_at(rows: DataFrame, on_fail: str = "null") -> DataFrame:
@@ -81,9 +83,14 @@ def predict_at(rows: DataFrame, on_fail: str = "null") -> DataFrame:
 
 
 def write_positions(catalog: DataFrame, ticks_us: list[int], path: str) -> None:
-    """The positions table: every object at every instant, in folders by date."""
-    rows = ephemeris(catalog, ticks_us).withColumn("date", F.to_date(F.timestamp_micros("ts_us")))
-    rows.write.mode("overwrite").partitionBy("date").parquet(path)
+    """Writes every object at every instant to the positions table, in folders by date. Dates that are written are replaced as a
+    whole; others stay.
+
+    The catalogue is dealt by ranges of norad_id before it is propagated, and files are in order of norad_id, so that readers of
+    one object pass over the files and row groups of others.
+    """
+    rows = ephemeris(catalog, ticks_us, ordered=True).withColumn("date", F.to_date(F.timestamp_micros("ts_us")))
+    rows.sortWithinPartitions("date", "norad_id", "ts_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def read_positions(spark: SparkSession, path: str, first_us: int | None = None, last_us: int | None = None) -> DataFrame:

@@ -2,55 +2,128 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cells
 from ..functions import columns as C
 
 #: The most observers that are broadcast.
 SENT_OBSERVERS = 1000
-#: A cell and half of its neighbours: of any two neighbouring cells one has the other among these.
-_FORWARD = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+#: A cell and its neighbours; of any two neighbouring cells one has the other among those that are not before (0, 0, 0).
+_AROUND = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+#: Kilometres of a shell around the Earth.
+SHELL_KM = 20
+
+
+def _covers(observers: DataFrame, top_km: float) -> DataFrame:
+    """(obs_id, radius_deg, ox, oy, oz, level, face, i, j): the cells under which a point within radius_deg of an observer's zenith can be.
+
+    A point at the distance r of the Earth's centre that is seen at the zenith angle z from the distance o lies z - asin(o sin(z) / r)
+    away on the ground if z is up to 90 degrees, and less than z in any case; no point is farther than top_km.
+    """
+    own = observers.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                place = np.stack([part.column(own.index(c)).to_numpy(zero_copy_only=False) for c in ("ox", "oy", "oz")], axis=1)
+                far = np.linalg.norm(place, axis=1)
+                z = np.radians(np.minimum(part.column(own.index("radius_deg")).to_numpy(zero_copy_only=False), 180))
+                ground = np.where(z <= np.pi / 2, z - np.arcsin(np.minimum(1, far * np.sin(z) / max(top_km, 1e-9))), z)
+                ground = np.where((z <= np.pi / 2) & (far > top_km), 0, ground)  # it looks up from above them all
+                which, *cell = cells.cover(place / far[:, None], ground)
+                taken = part.take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([*taken.columns, *[pa.array(c, pa.int32()) for c in cell]], [*own, "level", "face", "i", "j"])
+
+    return observers.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observers.schema) + ", level int, face int, i int, j int")
 
 
 def overhead(points: DataFrame, observers: DataFrame) -> DataFrame:
     """(obs_id, norad_id, zenith_deg): points within radius_deg of an observer's zenith, on a sphere.
 
-    The ground range is bounded by the zenith angle, so the two meet in bands of latitude of ten degrees. Up to
-    SENT_OBSERVERS observers are broadcast; with more, both sides are shuffled by band.
+    The part of the sphere that an observer can see is covered by cells of several levels (functions.cells), and points meet
+    observers by cell: each point once for every level that covers use, at most one of whose cells holds it for one observer.
+    Up to SENT_OBSERVERS observers, some tens of thousands of cells, are broadcast; with more, both sides are shuffled by cell.
+    Points and observers with a coordinate that is null or no number, and observers with such a radius or a negative one, meet none.
     """
     o, p = C.ecef(F.col("o_lat"), F.col("o_lon"), F.col("o_alt")), C.ecef(F.col("lat"), F.col("lon"), F.col("alt"))
-    observers = observers.select("obs_id", "o_lat", "radius_deg", *[x.alias(n) for x, n in zip(o, ("ox", "oy", "oz"), strict=True)])
-    points = points.select("norad_id", "lat", "alt", *[x.alias(n) for x, n in zip(p, ("x", "y", "z"), strict=True)])
+    finite = lambda *names: F.expr(" and ".join(f"{c} is not null and abs({c}) < double('infinity')" for c in names))
+    observers = observers.select("obs_id", F.col("radius_deg").cast("double").alias("radius_deg"), *[x.alias(n) for x, n in zip(o, ("ox", "oy", "oz"), strict=True)])
+    observers = observers.where(finite("ox", "oy", "oz", "radius_deg")).where("radius_deg >= 0 and ox * ox + oy * oy + oz * oz > 0")
+    points = points.select("norad_id", *[x.alias(n) for x, n in zip(p, ("x", "y", "z"), strict=True)]).where(finite("x", "y", "z"))
+    top = points.agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).first()[0] or 0.0
+    few = observers.count() <= SENT_OBSERVERS
+    covers = _covers(observers, top * (1 + 1e-9))
+    levels = sorted(r["level"] for r in covers.select("level").distinct().collect())  # at most FINEST + 1
+    face, i, j = cells.cell_of(F.col("x"), F.col("y"), F.col("z"))
+    points = points.select("*", face.alias("face"), i.alias("fi"), j.alias("fj"))
+    points = points.select("norad_id", "x", "y", "z", "face", "fi", "fj", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    points = points.select("norad_id", "x", "y", "z", "face", "level", *[F.expr(f"shiftright(f{c}, {cells.FINEST} - level)").alias(c) for c in "ij"])
     dx, dy, dz = F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz")
     up = F.sqrt(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy") + F.col("oz") * F.col("oz"))
     cosine = (dx * F.col("ox") + dy * F.col("oy") + dz * F.col("oz")) / (up * F.sqrt(dx * dx + dy * dy + dz * dz))
     zenith = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
-    band = lambda c: F.floor(c / 10).cast("int")
-    few = observers.count() <= SENT_OBSERVERS
-    observers = observers.withColumn("band", F.explode(F.sequence(band(F.col("o_lat") - F.col("radius_deg")), band(F.col("o_lat") + F.col("radius_deg")))))
-    both = points.withColumn("band", band(F.col("lat"))).join(F.broadcast(observers) if few else observers, "band")
+    both = points.join(F.broadcast(covers) if few else covers, ["level", "face", "i", "j"])
     return both.select("obs_id", "norad_id", zenith.alias("zenith_deg"), "radius_deg").where("zenith_deg <= radius_deg").drop("radius_deg")
 
 
+def _candidates(rows: DataFrame, distance_km: float, kept: list[str], shells: bool = False) -> DataFrame:
+    """Pairs of rows (tick, norad_id, x, y, z and reaches rx, ry, rz) of one tick that may come within distance_km: along each axis a
+    row stays within its reach of its place. Columns: tick, and a_ and b_ before norad_id and each of kept; each pair once.
+
+    Space is cut in cells of several levels, whose edges double. A row goes to the level at which an edge is at least distance_km
+    and twice its reach, so rows that meet on the level of the one with the greater reach lie in neighbouring cells there. Each
+    row is a host on its own level, in its cell and its neighbours, and a guest on its own and each higher level in use, in the one
+    cell that holds it there. A few rows of great reach cost their own meetings only: the first edges are those that 99 of 100 rows
+    need. With shells, rows (low, high: their least and greatest distance from the Earth's centre) meet only where these
+    intervals, widened by distance_km, overlap; this is told by shells that join the cell in the key.
+    """
+    need = {c: distance_km + 2 * F.col(f"r{c}") for c in "xyz"}
+    base = rows.agg(*[F.percentile_approx(need[c], 0.99, 1000).alias(c) for c in "xyz"]).first()
+    edge = {c: max((base[c] or 0) * 1.05, 1e-6) for c in "xyz"}
+    level = F.greatest(*[F.ceil(F.log2(F.greatest(F.lit(1.0), need[c] / edge[c]))) for c in "xyz"], F.lit(0)).cast("int")
+    shell = lambda c: F.floor(F.col(c) / SHELL_KM).cast("int")
+    own = ["norad_id", *kept]
+    s = rows.select("tick", *own, *[F.floor(F.col(c) / edge[c]).alias(f"c{c}") for c in "xyz"], level.alias("level"), *([shell("low").alias("s0"), F.col("low").alias("low_"), F.col("high").alias("high_")] if shells else []))
+    used = sorted(r["level"] for r in s.select("level").distinct().collect())  # some tens at most
+    up = lambda c, n: F.shiftright(F.col(c), n) if isinstance(n, int) else F.expr(f"shiftright({c}, {n})")
+    extra = ["s0", "low_", "high_"] if shells else []
+    guest = s.select("*", F.explode(F.filter(F.array(*map(F.lit, used)), lambda n: n >= F.col("level"))).alias("on")) if used else s.withColumn("on", F.col("level"))
+    guest = guest.select("tick", F.col("on").alias("level"), F.col("level").alias("a_level"), *[up(f"c{c}", "on").alias(f"c{c}") for c in "xyz"], *[F.col(c).alias(f"a_{c}") for c in own + extra])
+    moves = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", f, strict=True)], F.lit(f >= (0, 0, 0)).alias("forward"), F.lit(f == (0, 0, 0)).alias("here")) for f in _AROUND])
+    lower = F.col("level") > (used[0] if used else 0)  # guests of lower levels come from all sides, those of its own from one
+    host = s.select("*", F.explode(F.filter(moves, lambda m: m["forward"] | lower)).alias("m"))
+    host = host.select("tick", "level", F.col("m.forward").alias("forward"), F.col("m.here").alias("here"), *[(up(f"c{c}", "level") + F.col("m")[c]).alias(f"c{c}") for c in "xyz"], *[F.col(c).alias(f"b_{c}") for c in own + extra])
+    keys = ["tick", "level", "cx", "cy", "cz"]
+    if shells:  # a pair is taken in the first shell that both are in
+        guest = guest.withColumn("shell", F.explode(F.sequence(F.col("a_s0"), shell("a_high_"))))
+        host = host.withColumn("b_s0", shell("b_low_") - F.lit(-(-int(distance_km + SHELL_KM) // SHELL_KM)))
+        host = host.withColumn("shell", F.explode(F.sequence(F.col("b_s0"), F.floor((F.col("b_high_") + distance_km) / SHELL_KM).cast("int"))))
+        keys.append("shell")
+    both = guest.join(host, keys).where("a_norad_id <> b_norad_id and (a_level < level or forward and (not here or a_norad_id < b_norad_id))")
+    if shells:
+        both = both.where("shell = greatest(a_s0, b_s0)").where(F.expr(f"a_low_ <= b_high_ + {distance_km} and b_low_ <= a_high_ + {distance_km}"))
+    return both.select("tick", *[f"{side}_{c}" for c in own for side in "ab"])
+
+
 def screen(states: DataFrame, distance_km: float = 5.0, step_s: float = 10.0) -> DataFrame:
     """(tick, a, b, miss_km, t_offset): pairs a < b whose least distance within half a step of the tick is small.
 
-    Between ticks motion is linear. Space is cut in cells: along each axis the edge is D + half a step at twice the top speed of
-    any state along it, so that close states lie in neighbouring cells. Each state of one side goes to its own cell and to the
-    neighbours on one side of it, so two states meet once, and the join is on the cell: all pairs are never made.
-    A pair whose distance along one axis is too great for its speed along it is told before the distance is worked out.
+    Between ticks motion is linear, so along each axis a state stays within half a step at its speed; pairs meet by _candidates.
+    A pair whose distance along one axis is too great for its speed along it is told before the distance is worked out. States with a
+    coordinate or speed that is null, infinite or no number are left out.
     """
     half = step_s / 2
     names = ("x", "y", "z", "vx", "vy", "vz")
-    top = states.agg(*[F.coalesce(F.max(F.abs(f"v{c}")), F.lit(0.0)).alias(c) for c in "xyz"]).first()
-    cell = lambda c: F.floor(F.col(c) / (distance_km + 2 * top[c] * half)).cast("int")
-    s = states.select("tick", "norad_id", *names, *[cell(c).alias(f"c{c}") for c in "xyz"])
-    a = s.select("tick", "cx", "cy", "cz", F.col("norad_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", f, strict=True)]) for f in _FORWARD]))
-    b = s.select("tick", F.col("norad_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names], "cx", "cy", "cz", moves.alias("m"))
-    b = b.select("tick", "b", *[f"b_{c}" for c in names], *[(F.col(f"c{c}") + F.col("m")[c]).alias(f"c{c}") for c in "xyz"], ((F.col("m.x") == 0) & (F.col("m.y") == 0) & (F.col("m.z") == 0)).alias("own"))
-    both = a.join(b, ["tick", "cx", "cy", "cz"]).where("a <> b and (a < b or not own)")
+    known = states.where(" and ".join(f"abs({c}) < double('infinity')" for c in names)).select("tick", "norad_id", *names)
+    both = _candidates(known.withColumns({f"r{c}": F.abs(f"v{c}") * half for c in "xyz"}), distance_km, list(names))
+    both = both.withColumnsRenamed({"a_norad_id": "a", "b_norad_id": "b"})
     for c in "xyz":
         both = both.where(F.expr(f"abs(b_{c} - a_{c}) <= {distance_km} + abs(b_v{c} - a_v{c}) * {half}"))
     both = both.select("tick", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.expr(f"if(a < b, b_{c} - a_{c}, a_{c} - b_{c})").alias(f"d{c}") for c in names])
@@ -61,6 +134,74 @@ def screen(states: DataFrame, distance_km: float = 5.0, step_s: float = 10.0) ->
     return both.select("tick", "a", "b", miss.alias("miss_km"), "t_offset").where(F.col("miss_km") <= distance_km)
 
 
+def _nearest(p: np.ndarray, v: np.ndarray, q: np.ndarray, w: np.ndarray, step_s: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least distance and its time in the step of relative motions from p at speed v to q at speed w, on cubics.
+
+    The range rate has at most five roots. It is looked at on 32 parts; in each where it rises through zero the root is
+    halved down to below a microsecond. The ends count, too.
+    """
+    a, b = (2 * (p - q) + step_s * (v + w)) / step_s**3, (3 * (q - p) - step_s * (2 * v + w)) / step_s**2
+    place = lambda t: p + t[:, None] * (v + t[:, None] * (b + t[:, None] * a))
+    rate = lambda t: (place(t) * (v + t[:, None] * (2 * b + 3 * t[:, None] * a))).sum(axis=1)
+    far = lambda t: np.linalg.norm(place(t), axis=1)
+    best_t, best = np.zeros(len(p)), far(np.zeros(len(p)))
+    marks = np.linspace(0, step_s, 33)
+    before = rate(np.full(len(p), marks[0]))
+    for low, high in zip(marks[:-1], marks[1:], strict=True):
+        after = rate(np.full(len(p), high))
+        rows = np.flatnonzero((before < 0) & (after >= 0))
+        if len(rows):
+            pick = lambda x, rows=rows: x[rows]
+            pp, vv, aa, bb = map(pick, (p, v, a, b))
+            lo, hi = np.full(len(rows), low), np.full(len(rows), high)
+            for _ in range(30):
+                t = (lo + hi) / 2
+                r = pp + t[:, None] * (vv + t[:, None] * (bb + t[:, None] * aa))
+                up = (r * (vv + t[:, None] * (2 * bb + 3 * t[:, None] * aa))).sum(axis=1) >= 0
+                lo, hi = np.where(up, lo, t), np.where(up, t, hi)
+            r = pp + hi[:, None] * (vv + hi[:, None] * (bb + hi[:, None] * aa))
+            d = np.linalg.norm(r, axis=1)
+            closer = d < best[rows]
+            best[rows[closer]], best_t[rows[closer]] = d[closer], hi[closer]
+        before = after
+    last = far(np.full(len(p), step_s))
+    return np.where(last < best, last, best), np.where(last < best, step_s, best_t)
+
+
+def screen_curved(states: DataFrame, distance_km: float = 5.0, step_s: float = 60.0) -> DataFrame:
+    """(tick, a, b, miss_km, t_offset): pairs a < b whose least distance between a tick and the next, t_offset seconds after the
+    tick, is small. Between ticks an object moves on the cubic that has its place and speed at both.
+
+    An object whose next tick is missing has no motion from there. The cubic lies in the hull of its four control points, which
+    bounds its reach along each axis and its distance from the Earth's centre: pairs whose shells do not overlap never meet, the
+    rest by _candidates. States that are null, infinite or no number are left out. At a minute's ticks the cubic is within a metre of
+    an orbit.
+    """
+    names = [f"{d}{c}" for d in ("p", "v", "q", "w") for c in "xyz"]
+    known = states.where(" and ".join(f"abs({c}) < double('infinity')" for c in ("x", "y", "z", "vx", "vy", "vz")))
+    after = Window.partitionBy("norad_id").orderBy("tick")
+    rows = known.select("tick", "norad_id", *[F.col(c).alias(f"p{c}") for c in "xyz"], *[f"v{c}" for c in "xyz"], F.lead("tick").over(after).alias("next"), *[F.lead(c).over(after).alias(n) for c, n in zip(("x", "y", "z", "vx", "vy", "vz"), names[6:], strict=True)])
+    rows = rows.where("next = tick + 1").drop("next")
+    points = [{c: F.col(f"p{c}") for c in "xyz"}, {c: F.col(f"p{c}") + F.col(f"v{c}") * step_s / 3 for c in "xyz"}, {c: F.col(f"q{c}") - F.col(f"w{c}") * step_s / 3 for c in "xyz"}, {c: F.col(f"q{c}") for c in "xyz"}]
+    norm = lambda p: F.sqrt(p["x"] * p["x"] + p["y"] * p["y"] + p["z"] * p["z"])
+    rows = rows.withColumns({c: (F.least(*[p[c] for p in points]) + F.greatest(*[p[c] for p in points])) / 2 for c in "xyz"} | {f"r{c}": (F.greatest(*[p[c] for p in points]) - F.least(*[p[c] for p in points])) / 2 for c in "xyz"})
+    length = F.greatest(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), F.lit(1e-9))
+    rows = rows.withColumns({"low": F.greatest(F.lit(0.0), F.least(*[(p["x"] * F.col("x") + p["y"] * F.col("y") + p["z"] * F.col("z")) / length for p in points])), "high": F.greatest(*[norm(p) for p in points])})
+    both = _candidates(rows, distance_km, names, shells=True)
+    columns = ["tick", "a_norad_id", "b_norad_id", *[f"{s}_{n}" for n in names for s in "ab"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda n, batch=batch: batch.column(columns.index(n)).to_numpy(zero_copy_only=False)
+            moves = [np.stack([get(f"b_{d}{c}") - get(f"a_{d}{c}") for c in "xyz"], axis=1) for d in "pvqw"]
+            miss, t = _nearest(*moves, step_s)
+            near = np.flatnonzero(miss <= distance_km)
+            a, b = get("a_norad_id")[near], get("b_norad_id")[near]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(near)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(miss[near]), pa.array(t[near])], ["tick", "a", "b", "miss_km", "t_offset"])
+
+    return both.select(*columns).mapInArrow(run, f"tick {states.schema['tick'].dataType.simpleString()}, a bigint, b bigint, miss_km double, t_offset double")
+
+
 def conjunctions_between(states: DataFrame, first_tick: int, last_tick: int, distance_km: float = 5.0, step_s: float = 10.0) -> DataFrame:
     """The encounters within a range of ticks, both ends included, with the closest approach of each inside the range.
 

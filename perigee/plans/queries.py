@@ -10,7 +10,7 @@ from ..operators import catalog as cat
 from ..operators import health as H
 from ..operators import propagate as P
 from ..operators import screening as S
-from ..sources import feeds, scratch
+from ..sources import feeds, scratch, stores
 from ..sources import fixtures as X
 from ..streaming import fleet as L
 
@@ -326,17 +326,51 @@ def position_at(spark, d):
     return P.position_at(X.xyz_fx(spark, d), 7, 2, "tick").select("norad_id", "tick", F.round("x", 6).alias("x"))
 
 
-@query(f"SELECT CAST(d AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n, count(DISTINCT norad_id) AS objects FROM catalog, (VALUES (DATE '2024-01-01'), (DATE '2024-01-02'), (DATE '2024-01-02')) t(d) GROUP BY 1")
+@query("SELECT CAST(d AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n, count(DISTINCT norad_id) AS objects, CAST(0 AS BIGINT) AS wrong FROM catalog, (VALUES (DATE '2024-01-01'), (DATE '2024-01-02'), (DATE '2024-01-02')) t(d) GROUP BY 1")
 def positions_table(spark, d):
-    """Five instants on four dates, written; the first and the last are cut off by the range that is read."""
+    """Five instants on four dates, written day by day, one day twice; the first and the last are cut off by the range that is
+    read. Stored places are held against those of the ephemeris."""
     path, hours = scratch.fresh(spark), [X.AS_OF + 3_600_000_000 * h for h in (-2, 0, 24, 30, 72)]
-    P.write_positions(_catalog(spark, d), hours, path)
+    c = _catalog(spark, d).where("norad_id is not null")
+    for ticks in (hours[2:3], hours[:1], hours[1:2], hours[4:], hours[2:4]):
+        P.write_positions(c, ticks, path)
     rows = P.read_positions(spark, path, hours[1], hours[3])
-    return rows.groupBy(F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"), F.count_distinct("norad_id").alias("objects"))
+    kept = ["x", "y", "z", "lat", "lon", "alt_km"]
+    made = P.ephemeris(c, hours[1:4]).groupBy("norad_id", "ts_us").agg(*[F.array_sort(F.collect_list(F.coalesce(F.round(k, 6), F.lit(-1e9)))).alias(f"m_{k}") for k in kept])  # a record or two of an object
+    held = rows.groupBy("norad_id", "ts_us").agg(F.first("date").alias("date"), F.count("*").alias("n"), *[F.array_sort(F.collect_list(F.coalesce(F.round(k, 6), F.lit(-1e9)))).alias(k) for k in kept])
+    both = held.join(made, ["norad_id", "ts_us"], "left").withColumn("same", F.expr(" and ".join(f"{k} <=> m_{k}" for k in kept)))
+    return both.groupBy(F.col("date").cast("string").alias("date")).agg(F.sum("n").alias("n"), F.count_distinct("norad_id").alias("objects"), F.count_if(~F.col("same")).alias("wrong"))
 
 
-@query("SELECT norad_id, t_iso, arg_max(tle_epoch, tle_epoch) AS tle_epoch, arg_max(name, tle_epoch) AS name FROM catalog, (SELECT '2023-11-30T00:00:00.000Z' AS t_iso UNION ALL SELECT '1999-01-01T00:00:00.000Z') WHERE tle_epoch <> '' AND tle_epoch <= t_iso GROUP BY norad_id, t_iso")
+def _history(spark, d) -> DataFrame:
+    """The element history: one half of the feed, then all of it twice."""
+    name, path = f"history_{scratch.fresh(spark)[-32:]}", scratch.fresh(spark)
+    stores.open_history(spark, name, path, 8)
+    c = _catalog(spark, d)
+    for rows in (c.where("rec_no % 2 = 0 and norad_id % 7 <> 0 and norad_id % 11 <> 0"), c, c):
+        stores.append_history(spark, name, rows, 8)
+    return spark.table(name)
+
+
+HELD = "(SELECT norad_id, tle_epoch, name, l1 FROM catalog WHERE tle_epoch <> '' QUALIFY row_number() OVER (PARTITION BY norad_id, tle_epoch ORDER BY grp_ord, rec_no) = 1)"
+ASKED = ("2023-11-30T00:00:00.000Z", "1999-01-01T00:00:00.000Z", "2024-11-15T12:00:00.000Z", "2022-12-01T00:00:00.000Z")
+
+
+@query(f"SELECT norad_id, tle_epoch, name FROM {HELD}")
+def tle_history(spark, d):
+    return _history(spark, d).select("norad_id", "tle_epoch", "name")
+
+
+@query("SELECT a.norad_id, t_iso, tle_epoch, name FROM (SELECT DISTINCT norad_id, t_iso FROM catalog, (VALUES " + ", ".join(f"('{t}')" for t in ASKED) + f") v(t_iso)) a ASOF JOIN {HELD} h ON a.norad_id = h.norad_id AND a.t_iso >= h.tle_epoch")
 def tle_asof(spark, d):
+    """The stored elements of every object as of four instants."""
+    asked = _catalog(spark, d).select("norad_id").distinct().select("norad_id", F.explode(F.array(*map(F.lit, ASKED))).alias("t_iso"))
+    return stores.history_as_of(_history(spark, d), asked, 8).select("norad_id", "t_iso", "tle_epoch", "name")
+
+
+@query("SELECT norad_id, t_iso, arg_max(tle_epoch, tle_epoch) AS tle_epoch, arg_max(name, tle_epoch) AS name FROM catalog, (SELECT '2023-11-30T00:00:00.000Z' AS t_iso UNION ALL SELECT '1999-01-01T00:00:00.000Z') WHERE tle_epoch <> '' AND tle_epoch <= t_iso GROUP BY norad_id, t_iso")
+def catalog_asof(spark, d):
+    """The elements of a feed, not stored, as of two instants."""
     c = _catalog(spark, d)
     asked = c.select("norad_id", F.explode(F.array(F.lit("2023-11-30T00:00:00.000Z"), F.lit("1999-01-01T00:00:00.000Z"))).alias("t_iso")).distinct()
     return cat.as_of_elements(c, asked).select("norad_id", "t_iso", "tle_epoch", "name")
@@ -368,6 +402,15 @@ def trends(spark, d):
     return rows.groupBy("hour", "orbit_class").agg(F.count("*").alias("n"))
 
 
+@query()
+def conjunctions_curved(spark, d):
+    """Encounters of all objects of the feed on their propagated orbits, at ticks of a minute over ten minutes, within 20 km."""
+    c = cat.current(_catalog(spark, d).where("norad_id is not null"))
+    states = P.ephemeris(c, [X.AS_OF + 60_000_000 * k for k in range(11)], "drop")
+    states = states.withColumn("tick", ((F.col("ts_us") - X.AS_OF) / 60_000_000).cast("int"))
+    return S.encounters(S.screen_curved(states, 20.0, 60.0)).withColumn("miss_km", F.round("miss_km", 3))
+
+
 @query("SELECT CASE WHEN miss < 1 THEN 'high' WHEN miss < 5 THEN 'medium' ELSE 'low' END AS risk, count(*) AS n FROM enc GROUP BY 1")
 def risk_distribution(spark, d):
     return S.encounters(_hits(spark, d)).groupBy(S.risk_band(F.col("miss_km")).alias("risk")).agg(F.count("*").alias("n"))
@@ -411,19 +454,22 @@ def _arriving(spark, d, pieces: int) -> tuple[DataFrame, str]:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withColumn("ts", F.timestamp_micros("tel_us")), path
 
 
-def _clock(spark, path: str, us: int) -> DataFrame:
-    """A clock that has one instant."""
-    spark.range(1).select(F.timestamp_micros(F.lit(us)).alias("ts")).write.parquet(f"{path}/clock")
+def _clock(spark, path: str, us: int | None) -> DataFrame:
+    """A clock that has one instant, or none yet."""
+    rows = spark.range(1 if us is not None else 0).select(F.timestamp_micros(F.lit(us or 0)).alias("ts"))
+    rows.write.mode("append").parquet(f"{path}/clock")
     return spark.readStream.schema("ts timestamp").parquet(f"{path}/clock")
 
 
 def _tick_stream(spark, d) -> tuple[DataFrame, str]:
-    """The stream of health by tick over shuffled telemetry, run to its end; readings may be three hours late."""
+    """The stream of health by tick over shuffled telemetry, of which readings may be three hours late; it is started again
+    when the clock has gone on beyond the last tick."""
     telemetry, path = _arriving(spark, d, 3)
     objects, late = X.pos_fx(spark, d), 10_800
     rated = L.rated_readings(telemetry, objects, _observed, X.thresholds(spark))
-    rows = L.tick_health(rated, objects, X.FIRST_TICK, _clock(spark, path, X.AS_OF + late * 1_000_000), late_s=late)
-    L.log(rows, f"{path}/ticks", f"{path}/c1").awaitTermination()
+    for us in (None, X.AS_OF + late * 1_000_000):
+        rows = L.tick_health(rated, objects, X.FIRST_TICK, _clock(spark, path, us), late_s=late)
+        L.log(rows, f"{path}/ticks", f"{path}/c1").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/ticks"), path
 
 

@@ -10,7 +10,7 @@ AS_OF = 1704070800000000
 FIRST_TICK = AS_OF - 3600 * 1_000_000
 GROUPS = ["active", "1999-025", "iridium-33-debris"]
 
-TLE = """SELECT c_custkey AS rec_no,
+_TLE = """SELECT c_custkey AS rec_no,
   CASE WHEN c_custkey % 3 = 0 THEN 'active' WHEN c_custkey % 3 = 1 THEN '1999-025' ELSE 'iridium-33-debris' END AS grp,
   CASE WHEN c_custkey % 10 = 0 THEN printf('COSMOS 2251 DEB %d', c_custkey) WHEN c_custkey % 10 = 1 THEN printf('Iridium %d', c_custkey)
        WHEN c_custkey % 10 = 2 THEN printf('FENGYUN 1C DEB %d', c_custkey) WHEN c_custkey % 10 = 3 THEN printf('SL-16 DEBRIS %d', c_custkey)
@@ -25,10 +25,16 @@ TLE = """SELECT c_custkey AS rec_no,
                            WHEN c_nationkey % 3 = 1 THEN CAST(12.25 AS DOUBLE) + CAST(c_custkey % 8 AS DOUBLE) / CAST(8 AS DOUBLE)
                            ELSE CAST(7 AS DOUBLE) + CAST(c_custkey % 8 AS DOUBLE) / CAST(8 AS DOUBLE) END), '000010') AS l2 FROM {customer}"""
 
+#: The records, and some objects again: in the first group under another name and a later epoch, and in a later part of their own
+#: group with an earlier epoch.
+TLE = f"""WITH base AS ({_TLE}) SELECT rec_no, grp, name, l1, l2 FROM base
+UNION ALL SELECT rec_no + 1000000, 'active', concat(name, ' (AGAIN)'), concat(substr(l1, 1, 18), '24', substr(l1, 21)), l2 FROM base WHERE rec_no % 7 = 0
+UNION ALL SELECT rec_no + 2000000, grp, concat(name, ' (BEFORE)'), concat(substr(l1, 1, 18), '22', substr(l1, 21)), l2 FROM base WHERE rec_no % 11 = 0"""
+
 TEL = """SELECT event_id, user_id * 10 + event_id % 10 AS norad_id,
   1704067200000000 + {micros} - (CASE WHEN (user_id * 10 + event_id % 10) % 20 = 13 OR (user_id * 10 + event_id % 10) % 20 = 12 THEN 7200000000 ELSE 0 END) AS tel_us,
   (value - CAST(50 AS DOUBLE)) / CAST(1000 AS DOUBLE) * (CASE WHEN (user_id * 10 + event_id % 10) % 20 = 17 THEN CAST(40 AS DOUBLE) WHEN event_id % 50 = 0 THEN CAST(5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS dlat,
-  CAST(event_id % 101 - 50 AS DOUBLE) / CAST(2000 AS DOUBLE) AS dlon, value / CAST(25 AS DOUBLE) AS dalt
+  CAST(event_id % 101 - 50 AS DOUBLE) / CAST(2000 AS DOUBLE) AS dlon, CASE WHEN event_id % 41 <> 3 THEN value / CAST(25 AS DOUBLE) END AS dalt
 FROM {events} WHERE (user_id * 10 + event_id % 10) % 20 <> 7"""
 SPARK_MICROS = "(unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) div 720"
 DUCK_MICROS = "(epoch_us(ts) - 1704067200000000) // 720"
@@ -36,7 +42,7 @@ DUCK_MICROS = "(epoch_us(ts) - 1704067200000000) // 720"
 POS = """SELECT rec_no AS norad_id, lower(name) LIKE '%debris%' OR lower(name) LIKE '%cosmos%' OR lower(name) LIKE '%iridium%' AS is_debris,
   CASE WHEN rec_no % 3 = 0 THEN CAST(550 AS DOUBLE) WHEN rec_no % 3 = 1 THEN CAST(1500 AS DOUBLE) ELSE CAST(5000 AS DOUBLE) END AS alt,
   CAST((rec_no * 37) % 1600 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(80 AS DOUBLE) AS lat,
-  CAST((rec_no * 73) % 3600 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(180 AS DOUBLE) AS lon FROM {tle_fx}"""
+  CAST((rec_no * 73) % 3600 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(180 AS DOUBLE) AS lon FROM {tle_fx} WHERE rec_no < 1000000"""
 
 XYZ = """SELECT k AS norad_id, tick, CAST((k * k * 31 + k * 7919) % 8009 AS DOUBLE) / CAST(10 AS DOUBLE) + CAST(10 * tick AS DOUBLE) * vx AS x,
   CAST((k * k * 17 + k * 6007) % 8011 AS DOUBLE) / CAST(10 AS DOUBLE) + CAST(10 * tick AS DOUBLE) * vy AS y,

@@ -65,3 +65,36 @@ def test_positions_table_by_date(spark, objects, tmp_path):
     assert {r["ts_us"] for r in rows.collect()} == {AS_OF + day, AS_OF + 3 * day // 2, AS_OF + 2 * day}
     assert "PartitionFilters: [isnotnull(date" in rows._jdf.queryExecution().toString()
     assert propagate.position_at(rows, 25544, AS_OF + day).count() == 1 and propagate.positions_since(rows, 25544, AS_OF + day).count() == 2
+
+
+def metric(df, node, name):
+    """The sum of a metric over the nodes of an executed plan whose name begins so."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        if p.nodeName().startswith(node) and p.metrics().contains(name):
+            found.append(p.metrics().apply(name).value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return sum(found)
+
+
+def test_days_stay_and_one_object_is_read_alone(spark, tmp_path):
+    """Days that are written one by one all stay, a day that is written again is replaced, and files hold ranges of objects."""
+    day, path = 86_400_000_000, str(tmp_path / "positions")
+    text = spark.createDataFrame([("active", 0, "\n".join(f"S{i}\n1 {i:05d}{OBJECTS[0][1][7:]}\n2 {i:05d}{OBJECTS[0][2][7:]}" for i in range(1, 2001)))], "grp string, part int, body string")
+    many = catalog.parse(catalog.records(text), ["active"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for ticks in ([AS_OF], [AS_OF + day], [AS_OF, AS_OF + 1]):
+            propagate.write_positions(many, ticks, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = propagate.read_positions(spark, path)
+    assert {(str(r["date"]), r["count"]) for r in rows.groupBy("date").count().collect()} == {("2006-06-23", 4000), ("2006-06-24", 2000)}
+    one = propagate.position_at(propagate.read_positions(spark, path, AS_OF, AS_OF), 700, AS_OF)
+    assert len(one.collect()) == 1
+    plan = one._jdf.queryExecution().toString()
+    assert "EqualTo(norad_id,700)" in plan and "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert metric(one, "Scan parquet", "numOutputRows") <= 4000 // 3  # of four ranges one is read
