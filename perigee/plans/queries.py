@@ -10,7 +10,7 @@ from ..operators import catalog as cat
 from ..operators import health as H
 from ..operators import propagate as P
 from ..operators import screening as S
-from ..sources import feeds, scratch, stores
+from ..sources import feeds, scratch, stores, tle
 from ..sources import fixtures as X
 from ..streaming import fleet as L
 
@@ -108,6 +108,30 @@ def catalog_of_files(spark, d):
     return cat.parse(cat.records(_feed(spark, d)), X.GROUPS).select("norad_id", "name", "tle_epoch", "grp")
 
 
+def _landed(spark, d) -> str:
+    """The folder of the feed as files in folders by group."""
+    path = scratch.fresh(spark)
+    X.tle_text_fx(spark, d).repartition("grp", "part").select("grp", "body").write.partitionBy("grp").text(path)
+    tle.register(spark)
+    return path
+
+
+@query("SELECT norad_id, name, tle_epoch, grp FROM catalog WHERE grp <> '1999-025'")
+def catalog_of_source(spark, d):
+    """Two groups of the feed by the data source, which opens no file of the third."""
+    rows = spark.read.format("tle").option("groups", ",".join(X.GROUPS)).load(_landed(spark, d)).where(F.col("grp").isin("active", "iridium-33-debris"))
+    return cat.parse(cat.records(rows), X.GROUPS).select("norad_id", "name", "tle_epoch", "grp")
+
+
+@query("SELECT norad_id, name, tle_epoch, grp FROM catalog")
+def catalog_stream(spark, d):
+    """The catalogue from a stream over the feed's files."""
+    path, out = _landed(spark, d), scratch.fresh(spark)
+    rows = cat.parse(cat.records(spark.readStream.format("tle").option("groups", ",".join(X.GROUPS)).load(path)), X.GROUPS)
+    L.log(rows, out, f"{out}-c").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select("norad_id", "name", "tle_epoch", "grp")
+
+
 def _readings(spark, d) -> DataFrame:
     """Telemetry, written as a reader finds it, and scanned. An object's position is taken from pos_fx."""
     path = scratch.fresh(spark)

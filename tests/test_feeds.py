@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perigee.operators import catalog, health, screening
-from perigee.sources import feeds, fixtures
+from perigee.sources import feeds, fixtures, tle
 
 RECORD = "{name}\r\n1 {id:05d}U 98067A   06173.50000000  .00002182  00000-0  20000-4 0  9990\r\n2 {id:05d}  51.6416 247.4627 0006703 130.5360 325.0288 15.72125391563537\r\n"
 
@@ -50,3 +50,39 @@ def test_many_observers_find_what_few_find(spark):
     many = few.unionByName(spark.range(1500).selectExpr("cast(id + 10 as int) obs_id", "-60D o_lat", "0D o_lon", "0D o_alt", "0.001D radius_deg"))
     rows = lambda o: sorted((r["obs_id"], r["norad_id"], round(r["zenith_deg"], 9)) for r in screening.overhead(points, o).where("obs_id < 10").collect())
     assert rows(few) == rows(many) and len(rows(few)) > 0
+
+
+def test_the_tle_format_is_a_source_and_a_stream(spark, tmp_path):
+    def land(group, name, *ids):
+        folder = tmp_path / "feed" / f"grp={group}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f".{name}").write_text("".join(RECORD.format(name=f"SAT {i} é", id=i) for i in ids), encoding="utf-8")
+        (folder / f".{name}").rename(folder / name)
+
+    land("visual", "b.txt", 3)
+    land("visual", "a.txt", 1, 2)
+    land("1999-025", "x.txt", 4)
+    land("other", "x.txt", 9)
+    tle.register(spark)
+    path = str(tmp_path / "feed")
+    rows = lambda df: sorted(map(tuple, catalog.parse(catalog.records(df), feeds.DEFAULT_GROUPS).collect()))
+    read = spark.read.format("tle").load(path)
+    assert rows(read) == rows(feeds.tle_scan(spark, path)) and read.count() == 3
+    assert read.rdd.getNumPartitions() == 3
+    # what a filter on the group leaves out is not read: it makes no partition
+    one = read.where("grp = '1999-025'")
+    assert one.rdd.getNumPartitions() == 1 and [r["part"] for r in one.collect()] == ["x.txt"]
+    assert read.where("grp in ('visual', 'no such')").rdd.getNumPartitions() == 2 and read.where("grp = 'other'").count() == 0
+    assert [r["grp"] for r in spark.read.format("tle").option("groups", "other, missing").load(path).collect()] == ["other"]
+    with pytest.raises(Exception, match="only the tle format"):
+        spark.read.format("tle").option("format", "json").load(path).count()
+
+    def run():
+        stream = catalog.parse(catalog.records(spark.readStream.format("tle").load(path)), feeds.DEFAULT_GROUPS)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(map(tuple, spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()))
+
+    assert run() == rows(feeds.tle_scan(spark, path))
+    land("visual", "aa.txt", 5)  # a name before those that have been read
+    land("iridium-33-debris", "z.txt", 6, 7)
+    assert run() == run() == rows(feeds.tle_scan(spark, path)) and len(run()) == 7

@@ -105,7 +105,7 @@ def test_screening_with_fast_states_equals_brute_force(spark, odd):
     states = lines(400, rng)
     for k, v in enumerate(odd):  # they fly through the crowd
         states[k, 3:] = np.array([v, v / 7, -v / 9])
-        states[k, :3] = states[50 + k, :3] - states[k, 3:] * 2
+        states[k, :3] = states[50 + k, :3] + (states[50 + k, 3:] - states[k, 3:]) * 2
     got = {(r["a"], r["b"]) for r in screening.screen(table(spark, states)).collect()}
     want = brute(states, 5.0, 5.0)
     assert got == want and len(want) > 30
