@@ -24,11 +24,25 @@ def propagate(minutes, bstar, ecc, incl, node, argp, mean, no_kozai, epoch_jd):
     """TEME position (km), velocity (km/s) and whether it went well; angles in radians, no_kozai in radians a minute."""
     with np.errstate(all="ignore"):
         given = np.broadcast_arrays(*(np.asarray(x, float) for x in (minutes, bstar, ecc, incl, node, argp, mean, no_kozai, epoch_jd)))
-        position, velocity, ok = _propagate(*(np.atleast_1d(x) for x in given))
+        position, velocity, ok = _propagate(*(np.ravel(x) for x in given))
     shape = given[0].shape
     return [x.reshape(shape) for x in position], [x.reshape(shape) for x in velocity], ok.reshape(shape)
 
 
+def propagate_grid(minutes, *elements):
+    """As propagate, for objects (elements, one number each) at several times (minutes, a row an object): elements are initialised
+    once an object. Those that may be in deep space are worked out time by time."""
+    minutes, elements = np.asarray(minutes, float), [np.asarray(x, float) for x in elements]
+    position, velocity, ok = np.full((3, *minutes.shape), np.nan), np.full((3, *minutes.shape), np.nan), np.zeros(minutes.shape, bool)
+    with np.errstate(all="ignore"):
+        near = 2 * np.pi / elements[6] < 0.98 * DEEP
+        if near.any():
+            position[:, near], velocity[:, near], ok[near] = _propagate(minutes[near], *[x[near, None] for x in elements])
+        if not near.all():
+            position[:, ~near], velocity[:, ~near], ok[~near] = propagate(minutes[~near], *[x[~near, None] for x in elements])
+    return list(position), list(velocity), ok
+
+
 def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai, epoch_jd):
     k2, cosi, sini = J2 / 2, np.cos(i0), np.sin(i0)
     theta2 = cosi * cosi
@@ -91,7 +105,7 @@ def _propagate(t, bstar, e0, i0, node0, w0, m0, n_kozai, epoch_jd):
     tempa = tempa - np.where(simple, 0.0, d2 * t**2 + d3 * t**3 + d4 * t**4)
     tempe = tempe + np.where(simple, 0.0, bstar * c5 * (np.sin(m2) - np.sin(m0)))
     templ = templ + np.where(simple, 0.0, l3 * t**3 + t**4 * (l4 + t * l5))
-    e, inc, n, ok = e0.copy(), i0.copy(), n0.copy(), np.ones(len(t), bool)
+    e, inc, n, ok = e0.copy(), i0.copy(), n0.copy(), np.ones(t.shape, bool)
     far = np.flatnonzero(deep)
     if len(far):
         own = lambda *x: [y[far] for y in x]

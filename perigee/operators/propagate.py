@@ -18,15 +18,16 @@ _OUT = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _states(p: pd.DataFrame, ts_us: np.ndarray) -> pd.DataFrame:
+    """The states of objects p at instants, a row of ts_us for each; those of one object follow each other."""
     per_day = 2 * np.pi / 1440
     angle = lambda c: np.radians(p[c].to_numpy(float))
-    minutes = (ts_us - p["epoch_us"].to_numpy(float)) / 60e6
-    r, v, ok = sgp4.propagate(minutes, p["bstar"], p["ecc"], angle("incl_deg"), angle("node_deg"), angle("argp_deg"), angle("mean_deg"), p["rev_day"].to_numpy(float) * per_day, p["epoch_us"].to_numpy(float) / 86400e6 + 2440587.5)
+    minutes = (ts_us - p["epoch_us"].to_numpy(float)[:, None]) / 60e6
+    r, v, ok = sgp4.propagate_grid(minutes, p["bstar"], p["ecc"], angle("incl_deg"), angle("node_deg"), angle("argp_deg"), angle("mean_deg"), p["rev_day"].to_numpy(float) * per_day, p["epoch_us"].to_numpy(float) / 86400e6 + 2440587.5)
     with np.errstate(all="ignore"):
         lat, lon, alt = sgp4.geodetic(*r, sgp4.sidereal(ts_us / 86400e6 + 2440587.5))
     ok = ok & np.isfinite(lat + lon + alt)
-    blank = [np.where(ok, x, np.nan) for x in (*r, *v, lat, lon, alt)]
-    return pd.DataFrame(dict(zip(_OUT, [p["norad_id"].to_numpy(), ts_us.astype("int64"), *blank, ok], strict=True)))
+    blank = [np.where(ok, x, np.nan).ravel() for x in (*r, *v, lat, lon, alt)]
+    return pd.DataFrame(dict(zip(_OUT, [np.repeat(p["norad_id"].to_numpy(), ts_us.shape[1]), ts_us.ravel().astype("int64"), *blank, ok.ravel()], strict=True)))
 
 
 def _ready(catalog: DataFrame) -> DataFrame:
@@ -57,8 +58,7 @@ def ephemeris(catalog: DataFrame, ticks_us: list[int], on_fail: str = "null", or
         for p in batches:
             for at in range(0, len(p), step):
                 part = p.iloc[at : at + step]
-                wide = part.loc[part.index.repeat(len(ticks_us))]
-                yield _states(wide, np.tile(np.array(ticks_us, float), len(part)))
+                yield _states(part, np.tile(np.array(ticks_us, float), (len(part), 1)))
 
     ready = _ready(catalog)
     return _settled((ready.repartitionByRange("norad_id") if ordered else ready.repartition("norad_id")).mapInPandas(run, SCHEMA), on_fail)
@@ -71,7 +71,7 @@ def predict_at(rows: DataFrame, on_fail: str = "null") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = _states(p, p["ts_us"].to_numpy(float))
+            out = _states(p, p["ts_us"].to_numpy(float)[:, None])
             out[kept] = p[kept].to_numpy(object)
             yield out
 

@@ -66,3 +66,17 @@ def test_geodetic_inverts():
     n = sgp4.A84 / np.sqrt(1 - e2 * np.sin(lat) ** 2)
     xyz = ((n + alt) * np.cos(lat) * np.cos(lon), (n + alt) * np.cos(lat) * np.sin(lon), (n * (1 - e2) + alt) * np.sin(lat))
     assert np.allclose([float(x) for x in sgp4.geodetic(*map(np.array, xyz), 0.0)], [50.0, -30.0, 700.0], atol=1e-6)
+
+
+def test_a_grid_of_times_is_time_by_time():
+    rng = np.random.default_rng(8)
+    n = 40
+    elements = [rng.uniform(-1e-4, 1e-4, n), rng.uniform(0, 0.7, n), rng.uniform(0, 3, n), *(rng.uniform(0, 6, n) for _ in range(3)), 2 * np.pi / rng.choice([95.0, 130.0, 219.0, 222.0, 226.0, 718.0, 1436.0], n), np.full(n, 2453911.5)]
+    elements[6][3], elements[1][4] = np.nan, 1.5
+    minutes = rng.uniform(-3000, 3000, (n, 7))
+    r, v, ok = sgp4.propagate_grid(minutes, *elements)
+    for k in range(7):
+        rr, vv, good = sgp4.propagate(minutes[:, k], *elements)
+        assert (good == ok[:, k]).all() and good.sum() > 10
+        for x, y in zip([*r, *v], [*rr, *vv], strict=True):
+            assert np.allclose(x[good, k], y[good], rtol=0, atol=1e-9)
