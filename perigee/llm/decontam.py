@@ -4,12 +4,12 @@ The embedding walks over the characters of a text: at step t it puts out the cur
 if the random bit of (t, character) is set. Texts at a small edit distance walk into step again after an edit, so their
 outputs differ in few places: edit distance becomes Hamming distance, which sampling of output positions catches.
 
-A walk over a whole item would have to survive all of its edits at once, so the walk starts anew at each word, of items as
-of documents: every item of n words is embedded n times, and TABLES samples of each walk's outputs are its keys. A document's
-window is found if one of those walks agrees with the item's in the sampled places of one table. At an edit in every fifth
-character one walk in seven or so survives; repeated over all words of an item and all tables, recall is 0.9 or more.
-Hits whose surroundings are quite unlike go; the others propose windows of the item's size, with room for its edits at both
-ends, which are verified by edit distance, exactly.
+A walk over a whole item would have to survive all of its edits at once, so short walks are taken: of an item from each of
+its bytes, of a document from every few, whatever the words are, so that no place of an edit is worse than another. Blanks are
+passed over, so one that is lost or put in changes nothing. Samples of each walk's outputs are its keys: of most steps where the
+walk may stand still, of about half where it always goes on, which many edits miss. A document's window is found if one walk
+agrees with the item's in the sampled places of one table. Hits whose surroundings are quite unlike go; the others propose windows
+of the item's size, with room for its edits at both ends, which are verified by edit distance, exactly.
 """
 
 from __future__ import annotations
@@ -23,28 +23,34 @@ from pyspark.sql import functions as F
 
 from .shared import LIKENESS, free_names, materialize, small_side, tidy, words_of
 
-#: (fewest bytes of an item, steps of a walk, fewest bytes it must see to be indexed, tables, steps that a table leaves out).
-TIERS = [(160, 14, 10, 3, 2), (100, 12, 8, 3, 1), (40, 10, 6, 4, 1), (8, 6, 0, 1, 0), (1, 1, 0, 1, 0)]
+#: (fewest bytes of an item; walks that may stand still: tables, steps, steps that a table leaves out, fewest bytes a walk must see to
+#: be indexed; walks that always go on: tables, steps, steps that a table samples; bytes from one walk of a document to the next).
+#: Items of few bytes have few walks, so all of a document's are taken.
+TIERS = [(160, 1, 12, 1, 8, 2, 15, 8, 5), (100, 1, 12, 1, 8, 3, 15, 8, 4), (40, 2, 10, 1, 6, 3, 12, 7, 3), (8, 1, 6, 0, 0, 0, 0, 0, 1), (1, 1, 1, 0, 0, 0, 0, 0, 1)]
 #: Characters of benchmark text in one block of items; the documents are read once a block.
 BLOCK_CHARS = 16_000_000
 #: Starts walked at once, candidates verified at once, and the longest pattern, in 64-bit words, that is verified in a batch.
 WALKED, VERIFIED, MOST_WORDS = 1 << 15, 4096, 32
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 #: Bytes of the piece of an item that is compared first around a hit, from one such piece to the next, by how much it may be
 #: displaced, and the share of edits up to which the whole window is verified (a match has a fifth over all of the item).
 PIECE, STRIDE, STRETCH, NEAR = 64, 40, 14, 0.36
-PAD = max(t[1] for t in TIERS) + 1
+PAD = max(max(t[2], t[6]) for t in TIERS) + 1
 
 
 def _table(tier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the bits of a table's walk by step and character, the steps it samples). At every other step all walks go on, so that
-    none stands still for long; from a zero none goes on."""
-    _, steps, _, _, out = TIERS[tier]
+    """(the bits of a table's walk by step and character, the steps it samples). In the first tables of a tier a walk may stand
+    still at every other step, which lets it fall into step again after an insertion or deletion; in the others it always goes
+    on, and fewer steps are sampled, which passes over many replaced characters. From a zero none goes on."""
+    _, still, steps, out, _, _, far, sampled, _ = TIERS[tier]
     rng = np.random.default_rng([17, tier, n])
+    steps, sampled = (steps, steps - out) if n < still else (far, sampled)
     go = rng.integers(0, 2, (steps, 256)).astype(np.int64)
     go[1::2] = 1
+    if n >= still:
+        go[:] = 1
     go[:, 0] = 0
-    return go, np.sort(np.append(0, 1 + rng.choice(steps - 1, steps - 1 - out, replace=False)))
+    return go, np.sort(rng.choice(steps, sampled, replace=False))
 
 
 def walks(flat: np.ndarray, starts: np.ndarray, go: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,19 +62,24 @@ def walks(flat: np.ndarray, starts: np.ndarray, go: np.ndarray) -> tuple[np.ndar
     return out, at
 
 
-def table_key(out: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    key = np.full(out.shape[1], len(sample), np.uint64)
-    for t in sample.tolist():
-        key += out[t]
+def steady(flat: np.ndarray, starts: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """The sampled outputs of walks that always go on. From a zero none goes on, but behind one there are zeros alone."""
+    return np.stack([flat.take(starts + t) for t in sample.tolist()])
+
+
+def table_key(out: np.ndarray) -> np.ndarray:
+    key = np.full(out.shape[1], len(out), np.uint64)
+    for row in out:
+        key += row
         key *= np.uint64(0xA0761D6478BD642F)
         key ^= key >> np.uint64(32)
     return key
 
 
-def _starts(flat: np.ndarray) -> np.ndarray:
-    """Where words begin in texts of single spaces, each followed by zeros."""
-    word = flat > 32
-    return np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+def _squeezed(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of single spaces, each followed by zeros, without the spaces; and the place that each byte had."""
+    places = np.flatnonzero(flat != 32)
+    return flat[places], places
 
 
 def index_items(items: list[tuple[int, str]]) -> dict:
@@ -78,16 +89,18 @@ def index_items(items: list[tuple[int, str]]) -> dict:
         if not text:
             continue
         tier = next(k for k, t in enumerate(TIERS) if len(text) >= t[0])
-        flat = np.frombuffer(text + b"\0" * PAD, np.uint8)
-        starts = _starts(flat)
-        for n in range(TIERS[tier][3]):
+        flat, places = _squeezed(np.frombuffer(text + b"\0" * PAD, np.uint8))
+        size = len(flat) - PAD
+        starts = np.arange(size)
+        _, still, _, _, least, more, _, _, _ = TIERS[tier]
+        for n in range(still + more):
             go, sample = _table(tier, n)
             walked, at = walks(flat, starts, go)
-            inside = at <= len(text)  # a walk that leaves the item would see other characters in a document
-            wide = inside & (at - starts >= TIERS[tier][2])
+            inside = at <= size  # a walk that leaves the item would see other characters in a document
+            wide = inside & (at - starts >= least)
             inside[0] |= not inside.any()
             good = wide if wide.any() else inside
-            tables.setdefault((tier, n), []).append((table_key(walked, sample)[good], np.full(good.sum(), i), starts[good]))
+            tables.setdefault((tier, n), []).append((table_key(walked[sample])[good], np.full(good.sum(), i), places[starts[good]]))
     for name, parts in tables.items():
         key, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(key, kind="stable")
@@ -183,19 +196,24 @@ def _batch(patterns: list[str], of: np.ndarray, texts: list[str], words: int) ->
 def _hits(flat: np.ndarray, begins: np.ndarray, index: dict) -> np.ndarray:
     """Rows (text, item, cell, piece, start, offset) of the hits, one for each window and piece of the item around a hit; windows
     of the item's size start in cells as long as the item's edits may be."""
-    all_starts, found = _starts(flat), []
+    flat, places = _squeezed(flat)
+    own = np.searchsorted(places, begins)  # where the texts begin now
+    inside = np.flatnonzero(flat)
+    since, found = inside - own[np.searchsorted(own, inside, "right") - 1], []
     room = np.array([_room(t) for t in index["texts"]], np.int64)
-    for go, sample, keys, item_of, offset_of, seen in index["tables"].values():
+    taken = {n: inside[since % n == 0] for n in {TIERS[tier][-1] for tier, _ in index["tables"]}}
+    for (tier, n_table), (go, sample, keys, item_of, offset_of, seen) in index["tables"].items():
+        all_starts = taken[TIERS[tier][-1]]
         for lo in range(0, len(all_starts), WALKED):
             starts = all_starts[lo : lo + WALKED]
-            key = table_key(walks(flat, starts, go)[0], sample)
+            key = table_key(walks(flat, starts, go)[0][sample] if n_table < TIERS[tier][1] else steady(flat, starts, sample))
             near = np.flatnonzero(seen[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             key = key[near]
             a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             n = b - a
             if n.any():
                 at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                start, item, offset = np.repeat(starts[near], n), item_of[at], offset_of[at]
+                start, item, offset = np.repeat(places[starts[near]], n), item_of[at], offset_of[at]
                 text = np.searchsorted(begins, start, "right") - 1
                 start = start - begins[text]
                 found.append(np.stack([text, item, (start - offset) // room[item], offset // STRIDE, start, offset], axis=1))
@@ -247,15 +265,25 @@ def _matches(texts: list[bytes | None], index: dict) -> list[tuple[int, int, int
         target = index["texts"][item]
         room = _room(target)
         low, high = max(0, (cell - 1) * room), (cell + 2) * room + len(target)
-        lows.append(max(0, cell * room))
+        lows.append(low)
         windows.append(plain[text][low:high].decode("utf-8", "ignore"))
     distances = distances_within(patterns, of, windows)
     limits = np.array([_limit(p) for p in patterns])[of]
-    best: dict[tuple[int, int], tuple[int, int]] = {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for i in np.flatnonzero(distances <= limits).tolist():
         pair, d = (int(rows[i, 0]), int(rows[i, 1])), int(distances[i])
-        best[pair] = min(best.get(pair, (d, lows[i])), (d, lows[i]))
-    return [(text, item, d, plain[text][:low].count(b" ")) for (text, item), (d, low) in best.items()]
+        best[pair] = min(best.get(pair, (d, lows[i], i)), (d, lows[i], i))
+    out = []
+    for (text, item), (d, low, i) in best.items():
+        start = window_start(patterns[of[i]], windows[i])
+        out.append((text, item, d, plain[text][:low].count(b" ") + windows[i][:start].count(" ")))
+    return out
+
+
+def window_start(pattern: str, text: str) -> int:
+    """Where the stretch of text that is nearest to pattern begins: of those the first to end, and of these the shortest."""
+    end = edit_distance_within(pattern, text)[1]
+    return end - edit_distance_within(pattern[::-1], text[:end][::-1])[1]
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -290,7 +318,8 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, start_word) of every document and benchmark item that match, the best window of each.
 
     They match if some stretch of the document is within an edit distance of a fifth of the item's characters, words
-    lower-cased (A-Z) and joined by single spaces. Of such pairs at least 0.9 are found, by item length and kind of edit;
+    lower-cased (A-Z) and joined by single spaces. start_word is the word, from 0, in which that stretch begins: of the nearest
+    the first to end, and of these the shortest. Of such pairs at least 0.9 are found, by item length and kind of edit;
     what is found does match. A null or empty text or item matches nothing; repeated rows give repeated rows; ties of distance
     give the first window; empty tables give none; other columns are ignored. Very long texts are searched whole. Items are
     taken in blocks of BLOCK_CHARS characters, so what is sent to executors is bounded; documents are not shuffled.

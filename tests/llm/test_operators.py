@@ -182,18 +182,25 @@ def test_decontamination(spark, small, edge):
 
 
 def edited(text, share, kind, rng):
-    """text with a share of its characters or words edited, at random places."""
+    """text with a share of its characters edited (or words): at random places, evenly, at spaces, or at first letters of words."""
     parts = text.split(" ") if kind == "words" else list(text)
-    for p in rng.choice(len(parts), int(share * len(parts)), replace=False):
+    n, letters = int(share * len(parts)), list("abcdefghijklmnop")
+    first = [i for i, c in enumerate(parts) if c != " " and (i == 0 or parts[i - 1] == " ")]
+    places = {"even": np.linspace(0, len(parts) - 1, n).astype(int), "removed": rng.permutation([i for i, c in enumerate(parts) if c == " "])[:n], "first": rng.permutation(first)[:n]}
+    for p in map(int, places[kind] if kind in places else rng.choice(len(parts), n, replace=False)):
         if kind == "words":
             parts[p] = "".join(rng.choice(list("abcdefghij"), len(parts[p])))
+        elif kind in ("even", "first"):
+            parts[p] = "q" if parts[p] != "q" else "x"
+        elif kind in ("removed", "inserted"):
+            parts[p] = "" if kind == "removed" else parts[p] + " "
         else:
             do = 0 if kind == "substitutions" else rng.integers(3)
-            parts[p] = rng.choice(list("abcdefghijklmnop")) if do == 0 else "" if do == 1 else parts[p] + rng.choice(list("abcdefghijklmnop"))
+            parts[p] = rng.choice(letters) if do == 0 else "" if do == 1 else parts[p] + rng.choice(letters)
     return (" " if kind == "words" else "").join(parts)
 
 
-@pytest.mark.parametrize("kind", ["substitutions", "mixed", "words"])
+@pytest.mark.parametrize("kind", ["substitutions", "mixed", "words", "even", "removed", "inserted", "first"])
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_decontamination_recall(kind, share):
     """Against brute force over all items: of the pairs within the limit at least 0.9 are found, and none beyond it."""
@@ -201,7 +208,7 @@ def test_decontamination_recall(kind, share):
     items += [(10**6 + i, " ".join(t.split()[:12])) for i, t in items]
     index, rng, whole = decontam.index_items(items), np.random.default_rng(1), lambda t: b" ".join(words(t)).decode()
     texts = [f"before it {edited(whole(t), share, kind, rng)} and after" for _, t in items]
-    got = {(d, i): x for d, i, x, _ in decontam._matches([t.encode() for t in texts], index)}
+    got = {(d, i): (x, w) for d, i, x, w in decontam._matches([t.encode() for t in texts], index)}
     true = {}
     for n, (t, (_, x)) in enumerate(zip(texts, items, strict=True)):
         d, _ = decontam.edit_distance_within(whole(x), whole(t))
@@ -210,8 +217,35 @@ def test_decontamination_recall(kind, share):
     for name, n in (("long", range(len(items) // 2)), ("short", range(len(items) // 2, len(items)))):
         own = [p for p in true if p[0] in n]
         assert sum(p in got for p in own) >= 0.9 * len(own), name
-    for (d, i), x in got.items():
-        assert x == decontam.edit_distance_within(whole(items[i][1]), whole(texts[d]))[0] <= decontam._limit(whole(items[i][1]))
+    for (d, i), (x, word) in got.items():
+        pattern, text = whole(items[i][1]), whole(texts[d])
+        assert x == decontam.edit_distance_within(pattern, text)[0] <= decontam._limit(pattern)
+        assert word == brute_start(pattern, text)
+
+
+def brute_start(pattern, text):
+    """The word in which the nearest stretch begins: the first to end, and of these the shortest."""
+    best = (len(pattern) + 1, 0, 0)
+    row = [(i, 0) for i in range(len(pattern) + 1)]  # edits, and minus the start of the stretch
+    for j, c in enumerate(text, 1):
+        last, row[0] = row[0], (0, -j)
+        for i, p in enumerate(pattern, 1):
+            new = min((last[0] + (p != c), last[1]), (row[i][0] + 1, row[i][1]), (row[i - 1][0] + 1, row[i - 1][1]))
+            last, row[i] = row[i], new
+        if row[-1][0] < best[0]:
+            best = (row[-1][0], j, -row[-1][1])
+    return text[: best[2]].count(" ")
+
+
+def test_windows_begin_where_they_begin(spark):
+    """Items planted after twenty words, twice, and deep in a very long text."""
+    items = duckdb.sql("select item_id, text from '/root/testdata/sf0.01/benchmark.parquet' order by item_id").fetchall()
+    fill = lambda n, seed: " ".join("".join(np.random.default_rng(seed + k).choice(list("uvwxyz"), 6)) for k in range(n))
+    rows = [(i, f"{fill(20, 50 * i)}\n{t} {fill(9, 7)}") for i, t in items] + [(1000, f"{fill(30_000, 1)} {items[3][1]}"), (1001, f"x {items[4][1]} y {items[4][1]}"), (1002, f"日本 é {items[5][1]}")]
+    made = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start_word"]) for r in made.collect()}
+    assert all(got[i, i] == (0, 20) for i, _ in items)
+    assert (got[1000, items[3][0]], got[1001, items[4][0]], got[1002, items[5][0]]) == ((0, 30_000), (0, 1), (0, 2))
 
 
 def test_edit_distances_in_batches():
