@@ -7,6 +7,7 @@ are defined in each stage. Other columns pass through as they are, whatever thei
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 from perigee.llm import decontam, jaccard, linededup, packing, quality, shared
 from perigee.llm.shared import free_names, materialize, numbered, small_side
 
-#: What the stage before has written for itself. Its result has been written and reread when the next stage begins.
-_LEFT: set[str] = set()
+#: What the stage before has written for itself, by the thread and the input of a run, so that runs side by side keep theirs. Its
+#: result has been written and reread when the next stage of its run begins.
+_LEFT: dict[tuple[int, str], set[str]] = {}
+
+
+def _clear(spark: SparkSession, sf_dir: str) -> None:
+    shared.delete(spark, _LEFT.pop((threading.get_ident(), sf_dir), set()))
 
 
 def _stage(function):
@@ -23,11 +29,10 @@ def _stage(function):
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.delete(spark, _LEFT)
-        _LEFT.clear()
+        _clear(spark, sf_dir)
         with shared.recording() as paths:
             out = function(spark, docs, sf_dir)
-        _LEFT.update(paths)
+        _LEFT[threading.get_ident(), sf_dir] = paths
         return out
 
     return run
@@ -89,6 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = materialize(stage(spark, docs, sf_dir))
         shared.discard(*before)
         before = [docs]
-    shared.delete(spark, _LEFT)
-    _LEFT.clear()
+    _clear(spark, sf_dir)
     return docs

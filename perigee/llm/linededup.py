@@ -1,10 +1,11 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line goes down three levels: its token count, its leading token, and the rest of it. Every token that holds a digit is
-generalised to <*>. At the third level a line lies in several nodes: its exact rest, and the rest with one or two of its
-stretches as variable fields. A line of GENERAL tokens or more has four stretches, alike in length, any two of which may
-vary; so two fields, or one across a border, are generalised, and at least half of the line stays. In a shorter line any
-one token after the first may vary. A template that recurs across groups of near copies is dropped from all documents.
+generalised to <*>, if at least half of the line's tokens hold none; else the line is taken as it is, so rows of numbers are alike
+only if they are equal. At the third level a line lies in several nodes: its rest, and the rest with fields of letters taken out.
+In a line of GENERAL tokens or more these are one or two of four stretches, alike in length, any two of which may vary; in a
+shorter line any one or two tokens after the first. What is left must hold CONSTANT tokens without a digit and half of the line
+at least. A template that recurs across groups of near copies is dropped from all documents.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import LIKENESS, SHINGLE, TABLE_ENTRIES, WordHashes, components, discard, free_names, materialize, mix, numbered, small_side, tidy
 
-#: The tokens from which two of STRETCHES stretches may vary, and those from which one token may.
-GENERAL, STRETCHES, SINGLE = 8, 4, 3
+#: The tokens from which two of STRETCHES stretches may vary, and the fewest constant tokens beside a field of letters.
+GENERAL, STRETCHES, CONSTANT = 8, 4, 3
 #: Groups of near copies in which a template must recur, and the fewest tokens of a line that may be dropped.
 RECURS, LEAST_TOKENS = 3, 1
 #: Minima of a document's signature and those of one band. Of two documents of likeness 0.8, all but one pair in 4,000 share a band.
@@ -42,38 +43,46 @@ class _TokenHashes(dict):
 
 
 _DIGIT = re.compile(rb"[0-9]")
+_VARIABLE = np.uint64(xxhash.xxh64_intdigest(b"<*>"))
 
 
-def template_keys(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of all templates of lines of the given sizes, whose token hashes follow each other in tokens.
+def template_keys(tokens: np.ndarray, exact: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all templates of lines of the given sizes, whose token hashes follow each other in tokens, those of a digit
+    being one, and in exact, unchanged.
 
     A key is a sum of the hashes, each times a factor of its place, so variable tokens are taken out by subtraction; it
     depends on the token count and, as the first token is never taken out, on the leading token.
     """
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    factors = mix(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64)) | np.uint64(1)
-    terms = tokens * factors[np.arange(len(tokens)) - np.repeat(starts, sizes)]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    total = sums[ends] - sums[starts]
+    factors = (mix(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64)) | np.uint64(1))[np.arange(len(tokens)) - np.repeat(starts, sizes)]
+    added = lambda x: np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+    sums, wholes, constant = added(tokens * factors), added(exact * factors), added((tokens != _VARIABLE).astype(np.int64))
+    total, constants, half = sums[ends] - sums[starts], constant[ends] - constant[starts], (sizes + 1) // 2
     salt = mix(sizes.astype(np.uint64) + np.uint64(1))
     line = np.flatnonzero(sizes >= LEAST_TOKENS)
-    lines, keys = [line], [mix(total[line] + salt[line])]
-
-    def add(line: np.ndarray, out: np.ndarray, form: int) -> None:
+    told = np.where(constants >= half, total, wholes[ends] - wholes[starts])
+    lines, keys = [line], [mix(told[line] + salt[line])]
+
+    def add(line: np.ndarray, form: int, *fields: tuple[np.ndarray, np.ndarray]) -> None:
+        out, left = np.zeros(len(line), np.uint64), constants[line]
+        for low, high in fields:
+            out, left = out + sums[high] - sums[low], left - (constant[high] - constant[low])
+        good = left >= np.maximum(CONSTANT, half[line])
+        line, out = line[good], out[good]
         lines.append(line)
         keys.append(mix(total[line] - out + salt[line] * np.uint64(2 * form + 3)))
 
-    least = max(SINGLE, LEAST_TOKENS)
-    for place in range(1, GENERAL - 1):
-        line = np.flatnonzero((sizes >= least) & (sizes < GENERAL) & (sizes > place))
-        at = starts[line] + place
-        add(line, sums[at + 1] - sums[at], place)
+    form = 0
+    for fields in [(p,) for p in range(1, GENERAL - 1)] + list(itertools.combinations(range(1, GENERAL - 1), 2)):
+        form += 1
+        line = np.flatnonzero((sizes >= max(CONSTANT + len(fields), LEAST_TOKENS)) & (sizes < GENERAL) & (sizes > fields[-1]))
+        add(line, form, *[(starts[line] + p, starts[line] + p + 1) for p in fields])
     line = np.flatnonzero(sizes >= max(GENERAL, LEAST_TOKENS))
     borders = [starts[line] + 1 + (sizes[line] - 1) * k // STRETCHES for k in range(STRETCHES + 1)]
-    parts = [sums[borders[k + 1]] - sums[borders[k]] for k in range(STRETCHES)]
-    for form, (i, j) in enumerate(itertools.combinations(range(STRETCHES), 2)):
-        add(line, parts[i] + parts[j], GENERAL + form)
+    for i, j in itertools.combinations(range(STRETCHES), 2):
+        form += 1
+        add(line, form, (borders[i], borders[i + 1]), (borders[j], borders[j + 1]))
     return np.concatenate(lines), np.concatenate(keys)
 
 
@@ -121,12 +130,13 @@ def _keys(docs: DataFrame) -> DataFrame:
                 sizes, numbers, of = np.array(sizes, np.int64), np.array(numbers, np.int32), np.array(of, np.int64)
                 total = np.bincount(of, weights=sizes, minlength=part.num_rows).astype(np.int64)
                 held = np.flatnonzero(total)
-                marks = [m.tobytes() for m in signatures(np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens)), total[held])]
+                exact = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+                marks = [m.tobytes() for m in signatures(exact, total[held])]
                 node = np.zeros(part.num_rows, np.int64)
                 node[held] = np.array([xxhash.xxh64_intdigest(m) for m in marks], np.uint64).view(np.int64)
                 none = [pa.nulls(len(held), kind) for kind in (pa.int64(), pa.int32(), pa.int8())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(held)), pa.array(node[held]), *none, pa.array(marks, pa.binary())], names)
-                line, key = template_keys(np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens)), sizes)
+                line, key = template_keys(np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens)), exact, sizes)
                 doc = of[line]
                 order = np.lexsort((key, doc))
                 line, key, doc = line[order], key[order], doc[order]

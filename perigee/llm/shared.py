@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 
 import numpy as np
 import xxhash
@@ -20,15 +21,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Where recording() is in force: the paths that materialize() has written and discard() has not deleted.
-_RECORDED: list[set[str]] = []
+class _Recorded(threading.local):
+    """Where recording() is in force in a thread: the paths that materialize() has written and discard() has not deleted."""
+
+    def __init__(self) -> None:
+        self.sets: list[set[str]] = []
+
+
+_RECORDED = _Recorded()
 
 
 def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     path = fresh(df.sparkSession)
     df.write.parquet(path, compression=compression)
-    for paths in _RECORDED:
+    for paths in _RECORDED.sets:
         paths.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._perigee_path = path
@@ -39,7 +46,7 @@ def delete(spark: SparkSession, paths) -> None:
     for p in list(paths):
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        for recorded in _RECORDED:
+        for recorded in _RECORDED.sets:
             recorded.discard(p)
 
 
@@ -53,11 +60,11 @@ def discard(*tables: DataFrame) -> None:
 def recording():
     """Gives the set of paths that materialize() writes inside and that are still there."""
     paths: set[str] = set()
-    _RECORDED.append(paths)
+    _RECORDED.sets.append(paths)
     try:
         yield paths
     finally:
-        _RECORDED.remove(paths)
+        _RECORDED.sets[:] = [x for x in _RECORDED.sets if x is not paths]
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -1,5 +1,6 @@
 """The pipeline against brute force, on a small fixture with copies, repeated rows and null ids."""
 
+import threading
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,33 @@ def test_pipeline(spark, tmp_path):
     assert kept == Counter([1, 2, 3, 4, 5, 6, None, 10, 11, 12, 12, 13])
 
 
+def test_the_classifier_decides_with_labels_of_both_kinds(spark, tmp_path):
+    """A trained network: what is like the documents labelled bad goes, what is like the good ones stays, labelled or not."""
+    words = {q: [f"{c}{make(900 + q, 1)}{i}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(150)] for q, c in ((0, "z"), (1, "a"))}
+    text = lambda k, q: " ".join(np.random.default_rng(k).choice(words[q], 120))
+    rows, items = fixture()
+    made = [(100 + k, text(k, k % 3 > 0)) for k in range(240)] + [(500, text(0, 0)), (None, text(3, 0)), (501, text(999, 1))]
+    labelled = [(100 + k, int(k % 3 > 0), 0) for k in range(200)]
+    spark.createDataFrame([(k, t, "en", "x", len(t or "")) for k, t in made], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labelled, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((r["doc_id"], r["start"], bytes(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == brute([(k, t) for k, t in made if t.startswith("a")], items) and len({k for k, _, _ in got}) == 161
+    assert not corpus_pipeline._LEFT.get((threading.get_ident(), str(tmp_path)))
+
+
+def test_runs_side_by_side_keep_their_tables(spark, tmp_path):
+    """Two threads, a stage of one between two of the other: neither deletes what the other still reads."""
+    rows, items = fixture()
+    df = spark.createDataFrame([(k, t, "en", "x", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mine = corpus_pipeline.drop_lines(spark, df, str(tmp_path))
+    other = threading.Thread(target=lambda: corpus_pipeline.drop_lines(spark, df.limit(3), str(tmp_path)).count())
+    other.start()
+    other.join()
+    corpus_pipeline.drop_lines(spark, df.limit(2), f"{tmp_path}/other").count()
+    assert mine.count() == len(rows)
+
+
 NAMES = ["row", "row_", "at", "part", "place", "first", "n", "cut", "hash_a", "hash_b", "score", "vector", "class", "key", "node", "component_id", "dropped", "n_lines", "item_id", "_rid", "_quality"]
 
 
