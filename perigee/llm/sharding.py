@@ -69,18 +69,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     The rows themselves are shuffled, texts included: once to their partition, once to their shard and block; they come
     block by block, in the order of their slots. size and text_crc32 are those of the text that arrives. A null text has
     size 8 and the crc32 of no bytes. Documents of equal text are rows like any other and are spread independently;
-    repeated rows are interchangeable, and each gets a slot of its own; however many are equal, they lie in many partitions,
-    shards and blocks. Columns may be of any type. Where docs has a column of the name of a new one, the
+    repeated rows are interchangeable, and each gets a slot of its own (rows that are equal in id
+    and text lie in one partition). Columns may be of any type. Where docs has a column of the name of a new one, the
     new one gets an underscore. An empty table gives no rows. The driver sees one
     count a partition and one count a block.
     """
     spark = docs.sparkSession
     size, crc = _measures("text")
     parts = min(MOST, max(FEWEST, -(-docs.count() // PARTITION_ROWS)))
-    # the caller's columns travel as one, so that no name can clash; equal rows are told apart by their number alone
+    # the caller's columns travel as one, so that no name can clash; rows that share id, size and crc are in any order
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), size.alias("_size"), crc.alias("_crc"), F.monotonically_increasing_id().alias("_row"))
-    rows = rows.withColumns({f"_{n}": F.xxhash64("id", "_size", "_crc", "_row", F.lit(seed + k)) for k, n in enumerate(("key1", "key2", "part"))})
-    rows = rows.withColumn("_part", F.pmod("_part", F.lit(parts)).cast("int"))
+    rows = rows.withColumns({"_key1": F.xxhash64("id", "_size", "_crc", F.lit(seed)), "_key2": F.xxhash64(F.lit(seed + 1), "_crc", "_size", "id"), "_part": F.pmod(F.xxhash64("id", "_size", "_crc", F.lit(seed + 2)), F.lit(parts)).cast("int")})
     within = Window.partitionBy("_part").orderBy("_key1", "id", "_size", "_crc", "_row")
     rows = materialize(rows.withColumn("_place", F.row_number().over(within)), "zstd")
     sizes = dict(rows.groupBy("_part").count().collect())

