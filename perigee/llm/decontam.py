@@ -29,8 +29,9 @@ from .shared import LIKENESS, free_names, materialize, small_side, tidy, words_o
 TIERS = [(160, 1, 12, 1, 8, 2, 15, 8, 5), (100, 1, 12, 1, 8, 3, 15, 8, 4), (40, 2, 10, 1, 6, 3, 12, 7, 3), (8, 1, 6, 0, 0, 0, 0, 0, 1), (1, 1, 1, 0, 0, 0, 0, 0, 1)]
 #: Characters of benchmark text in one block of items; the documents are read once a block.
 BLOCK_CHARS = 16_000_000
-#: Starts walked at once, candidates verified at once, and the longest pattern, in 64-bit words, that is verified in a batch.
-WALKED, VERIFIED, MOST_WORDS = 1 << 15, 4096, 32
+#: Starts walked at once, candidates verified at once, the longest pattern, in 64-bit words, that is verified in a batch, and the
+#: fewest candidates of a length for which a batch pays; fewer are verified one by one, by the same algorithm.
+WALKED, VERIFIED, MOST_WORDS, FEW = 1 << 15, 4096, 32, 64
 _FILTER_BITS = 20
 #: Bytes of the piece of an item that is compared first around a hit, from one such piece to the next, by how much it may be
 #: displaced, and the share of edits up to which the whole window is verified (a match has a fifth over all of the item).
@@ -139,10 +140,12 @@ def distances_within(patterns: list[str], of: np.ndarray, texts: list[str]) -> n
     a pattern of more than 64 characters in several words with a carry between them."""
     out = np.zeros(len(texts), np.int64)
     words = np.array([-(-len(p) // 64) for p in patterns], np.int64)[of] if len(of) else np.zeros(0, np.int64)
-    for i in np.flatnonzero(words > MOST_WORDS).tolist():
-        out[i] = edit_distance_within(patterns[of[i]], texts[i])[0]
-    for w in np.unique(words[words <= MOST_WORDS]).tolist():
+    for w in np.unique(words).tolist():
         group = np.flatnonzero(words == w)
+        if w > MOST_WORDS or len(group) < FEW:
+            for i in group.tolist():
+                out[i] = edit_distance_within(patterns[of[i]], texts[i])[0]
+            continue
         group = group[np.argsort([len(texts[i]) for i in group], kind="stable")]
         step = max(256, 4 * VERIFIED // max(4, w))  # long patterns in smaller batches
         for lo in range(0, len(group), step):
@@ -300,8 +303,8 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 250):
-                    part = batch.slice(at, 250)
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
                     rows = _matches(part.column(len(kept)).to_pylist(), index)
                     if rows:
                         text, item, distance, word = zip(*rows, strict=True)
