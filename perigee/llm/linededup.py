@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LIKENESS, SHINGLE, TABLE_ENTRIES, WordHashes, components, discard, free_names, materialize, mix, numbered, small_side, tidy
+from .shared import LIKENESS, SHINGLE, TABLE_ENTRIES, components, discard, free_names, materialize, mix, numbered, small_side, tidy
 
 #: The tokens from which two of STRETCHES stretches may vary, and the fewest constant tokens beside a field of letters.
 GENERAL, STRETCHES, CONSTANT = 8, 4, 3
@@ -33,31 +33,32 @@ SENT_SIGNATURES = 50_000
 
 
 class _TokenHashes(dict):
-    """64-bit hashes of tokens; all tokens with a digit are one."""
+    """Hashes of tokens, odd for those with a digit and even for the others."""
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= TABLE_ENTRIES:
             self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(b"<*>" if _DIGIT.search(token) else token)
+        value = self[token] = xxhash.xxh64_intdigest(token) & ~1 | (_DIGIT.search(token) is not None)
         return value
 
 
 _DIGIT = re.compile(rb"[0-9]")
-_VARIABLE = np.uint64(xxhash.xxh64_intdigest(b"<*>"))
+_VARIABLE = np.uint64(xxhash.xxh64_intdigest(b"<*>") | 1)
 
 
-def template_keys(tokens: np.ndarray, exact: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of all templates of lines of the given sizes, whose token hashes follow each other in tokens, those of a digit
-    being one, and in exact, unchanged.
+def template_keys(exact: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all templates of lines of the given sizes, whose token hashes follow each other in exact.
 
     A key is a sum of the hashes, each times a factor of its place, so variable tokens are taken out by subtraction; it
     depends on the token count and, as the first token is never taken out, on the leading token.
     """
     ends = np.cumsum(sizes)
     starts = ends - sizes
+    digit = (exact & np.uint64(1)).astype(bool)
+    tokens = np.where(digit, _VARIABLE, exact)
     factors = (mix(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64)) | np.uint64(1))[np.arange(len(tokens)) - np.repeat(starts, sizes)]
     added = lambda x: np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
-    sums, wholes, constant = added(tokens * factors), added(exact * factors), added((tokens != _VARIABLE).astype(np.int64))
+    sums, wholes, constant = added(tokens * factors), added(exact * factors), added((~digit).astype(np.int64))
     total, constants, half = sums[ends] - sums[starts], constant[ends] - constant[starts], (sizes + 1) // 2
     salt = mix(sizes.astype(np.uint64) + np.uint64(1))
     line = np.flatnonzero(sizes >= LEAST_TOKENS)
@@ -110,7 +111,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     for each document and template. A row with sig, the signature, for each document with tokens; node is a hash of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = _TokenHashes(), WordHashes()
+        table = _TokenHashes()
         names = ["rid", "node", "key", "line", "first", "sig"]
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
@@ -130,13 +131,13 @@ def _keys(docs: DataFrame) -> DataFrame:
                 sizes, numbers, of = np.array(sizes, np.int64), np.array(numbers, np.int32), np.array(of, np.int64)
                 total = np.bincount(of, weights=sizes, minlength=part.num_rows).astype(np.int64)
                 held = np.flatnonzero(total)
-                exact = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+                exact = np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens))
                 marks = [m.tobytes() for m in signatures(exact, total[held])]
                 node = np.zeros(part.num_rows, np.int64)
                 node[held] = np.array([xxhash.xxh64_intdigest(m) for m in marks], np.uint64).view(np.int64)
                 none = [pa.nulls(len(held), kind) for kind in (pa.int64(), pa.int32(), pa.int8())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(held)), pa.array(node[held]), *none, pa.array(marks, pa.binary())], names)
-                line, key = template_keys(np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens)), exact, sizes)
+                line, key = template_keys(exact, sizes)
                 doc = of[line]
                 order = np.lexsort((key, doc))
                 line, key, doc = line[order], key[order], doc[order]
