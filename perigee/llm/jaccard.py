@@ -7,6 +7,7 @@ only link with one that shares at least t = ceil(0.8 n) of its shingles. The ste
 2. The incidence matrix is dealt into blocks by shingle. Each block counts the shingles that sets of two or more classes
    hold, and each class adds up how many of its own are among them. A class with fewer than t cannot link and goes; of
    ordinary texts few are left. A task first counts within itself, so a shingle of very many documents is one entry a task.
+   Blocks hold parts of hashes, and err on the safe side: classes of one ref all stay, and so do shingles that clash count.
 3. For the classes left, shingles get their exact frequency. In the order of rising frequency two linked sets meet first
    in the first n - t + 1 shingles of both: these incidences alone form the blocks of the product, one block a shingle.
 4. Of each block first only the pairs with one hub are multiplied out, the class with the largest share of shingles that
@@ -23,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import WordHashes, components, discard, materialize, shingle_hashes, small_side, tidy, words_of
 
 #: Incidences of one block of step 2, and those that a task counts together before it deals them out.
 BLOCK_INCIDENCES, TASK_INCIDENCES = 1_500_000, 500_000
-#: Bytes of a shingle within its block and of a set, by which step 2 tells them apart: together 64 bits.
+#: Bytes of a shingle within its block and of a set (its ref), by which step 2 tells them apart: together 64 bits.
 ENTRY, REF = 3, 5
 #: Sizes of linked sets differ by a factor of at most 1.25, so they lie in the same band of size or in neighbouring ones.
 BAND = 1.25
@@ -47,8 +48,13 @@ def _binaries(data: np.ndarray, sizes) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def _ref(key: bytes, width: int) -> int:
+    """The ref of a set, from its digest; 0 stands for several sets."""
+    return max(1, int.from_bytes(key[:width], "little"))
+
+
 def _sets(docs: DataFrame, per_batch, schema: str) -> DataFrame:
-    """mapInArrow over (doc_id, text) where per_batch gets the ids, the shingle sets, their digests (null if empty) and 40 bits of these."""
+    """mapInArrow over (doc_id, text) where per_batch gets the ids, the shingle sets and their digests (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -57,15 +63,16 @@ def _sets(docs: DataFrame, per_batch, schema: str) -> DataFrame:
                 part = batch.slice(at, 250)
                 sets = [shingle_hashes(words_of(t), table) for t in part.column(1).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield per_batch(part.column(0), sets, keys, [max(1, int.from_bytes(k[:REF], "little")) if k else None for k in keys])
+                yield per_batch(part.column(0), sets, keys)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), schema)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, ref), written: the size, the digest and the ref of the set of every document."""
+def digests(docs: DataFrame, width: int = REF) -> DataFrame:
+    """(doc_id, n, key, ref), written: the size, the digest and the ref, of width bytes, of the set of every document."""
 
-    def narrow(ids, sets, keys, refs):
+    def narrow(ids, sets, keys):
+        refs = [_ref(k, width) if k else None for k in keys]
         return pa.RecordBatch.from_arrays([ids, pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(refs, pa.int64())], ["doc_id", "n", "key", "ref"])
 
     return materialize(_sets(docs, narrow, "doc_id bigint, n bigint, key binary, ref bigint"))
@@ -74,7 +81,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def _whole(docs: DataFrame) -> DataFrame:
     """(key, n, set): the sorted shingle hashes of every document that has any, as 64-bit numbers."""
 
-    def whole(ids, sets, keys, refs):
+    def whole(ids, sets, keys):
         n = [len(s) for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), _binaries(np.concatenate(sets), n)], ["key", "n", "set"])
 
@@ -99,62 +106,72 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def _task_blocks(refs: np.ndarray, sets: list[np.ndarray], blocks: int) -> pa.RecordBatch:
+def _task_blocks(held: dict[bytes, np.ndarray], blocks: int, widths: tuple[int, int]) -> pa.RecordBatch:
     """A row for each block with entries (part of the shingle, ref; ref 0: held by several sets here), and one of the shingles that
-    each set shares here."""
-    refs, first = np.unique(refs, return_index=True)  # copies count once
-    sets = [sets[i] for i in first]
+    each set shares here. held: the sets by their digests, so copies count once and sets of one ref are still two.
+
+    A set's shingles that have one entry with another shingle here count as shared: within a block they may be taken for one.
+    """
+    entry_bytes, ref_bytes = widths
+    refs, sets = np.array([_ref(k, ref_bytes) for k in held], np.uint64), list(held.values())
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(flat)
     flat, of = flat[order], of[order]
     at = _runs(flat)
     starts, many = at[:-1], np.diff(at) > 1
     here = np.bincount(of[np.repeat(many, np.diff(at))], minlength=len(refs))
-    flat, ref = flat[starts], np.where(many, np.uint64(0), refs[of[starts]])
-    block = ((flat >> np.uint64(32)) % np.uint64(blocks)).astype(np.int32)
-    order = np.argsort(block, kind="stable")
-    sizes = np.bincount(block, minlength=blocks)
+    flat, of = flat[starts], of[starts]
+    block = (flat >> np.uint64(32)) % np.uint64(blocks)
+    cell = block << np.uint64(8 * entry_bytes) | flat & np.uint64(256**entry_bytes - 1)
+    order = np.argsort(cell)
+    cell = _runs(cell[order])
+    clash = np.repeat(np.diff(cell) > 1, np.diff(cell)) & ~many[order]
+    here += np.bincount(of[order][clash], minlength=len(refs))
+    ref = np.where(many, np.uint64(0), refs[of])
+    sizes = np.bincount(block.astype(np.int64), minlength=blocks)
     used, counted = np.flatnonzero(sizes), np.flatnonzero(here)
     sizes = np.append(sizes[used], len(counted))
-    entries = np.concatenate([_packed(flat[order], ENTRY), _packed(np.minimum(here[counted], 256**ENTRY - 1), ENTRY)])
-    rows = [pa.array(np.append(used, int(refs[0]) % blocks).astype(np.int32)), _binaries(entries, sizes), _binaries(np.concatenate([_packed(ref[order], REF), _packed(refs[counted], REF)]), sizes), pa.array([False] * len(used) + [True])]
+    entries = np.concatenate([_packed(flat[order], entry_bytes), _packed(np.minimum(here[counted], 256**entry_bytes - 1), entry_bytes)])
+    rows = [pa.array(np.append(used, int(refs[0]) % blocks).astype(np.int32)), _binaries(entries, sizes), _binaries(np.concatenate([_packed(ref[order], ref_bytes), _packed(refs[counted], ref_bytes)]), sizes), pa.array([False] * len(used) + [True])]
     return pa.RecordBatch.from_arrays(rows, ["block", "entries", "refs", "counts"])
 
 
-def shared_counts(docs: DataFrame, total: int) -> DataFrame:
-    """(ref, shared): how many shingles of a set at least one other set holds, or more; never too few. total: the sizes of all sets.
+def shared_counts(docs: DataFrame, total: int, widths: tuple[int, int] = (ENTRY, REF)) -> DataFrame:
+    """(ref, shared): how many shingles of a set at least one other set holds, or more. total: the sizes of all sets.
 
-    Shingles of a block are told apart by ENTRY bytes and sets by REF bytes. A clash counts a shingle as shared that is not.
+    Never too few for a set whose ref no unlike set has: whatever else holds one of its shingles then has another ref, in its
+    task or its block, and shingles of its own that clash are counted beforehand. Sets of one ref may be taken for one, so
+    their count says nothing, and the caller must keep them. widths: the bytes of an entry and of a ref; counts end at 256**entry - 1.
     """
+    entry_bytes, ref_bytes = widths
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, -(-total // BLOCK_INCIDENCES))
     parts = max(parts, blocks // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, refs, held, size = WordHashes(), [], [], 0
+        table, held, size = WordHashes(), {}, 0
         for batch in batches:
             for text in batch.column(0):
                 s = shingle_hashes(words_of(text.as_py()), table)
-                if len(s):
-                    refs.append(max(1, int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:REF], "little")))
-                    held.append(s)
+                if len(s) and (key := xxhash.xxh3_128_digest(s.tobytes())) not in held:
+                    held[key] = s
                     size += len(s)
                 if size >= TASK_INCIDENCES:
-                    yield _task_blocks(np.array(refs, np.uint64), held, blocks)
-                    refs, held, size = [], [], 0
+                    yield _task_blocks(held, blocks, widths)
+                    held, size = {}, 0
         if size:
-            yield _task_blocks(np.array(refs, np.uint64), held, blocks)
+            yield _task_blocks(held, blocks, widths)
 
     def count(table: pa.Table) -> pa.Table:
         keys, out = [], []
         for e, r, counts in zip(table.column("entries"), table.column("refs"), table.column("counts").to_pylist(), strict=True):
             if counts:
-                out.append((_unpacked(r, REF), _unpacked(e, ENTRY)))
+                out.append((_unpacked(r, ref_bytes), _unpacked(e, entry_bytes)))
             else:
-                keys.append(_unpacked(e, ENTRY) << np.uint64(8 * REF) | _unpacked(r, REF))
+                keys.append(_unpacked(e, entry_bytes) << np.uint64(8 * ref_bytes) | _unpacked(r, ref_bytes))
         if keys:
             key = np.unique(np.concatenate(keys))  # a copy in another task is the same set
-            entry, ref = key >> np.uint64(8 * REF), key & np.uint64(256**REF - 1)
+            entry, ref = key >> np.uint64(8 * ref_bytes), key & np.uint64(256**ref_bytes - 1)
             at = _runs(entry)
             several = (np.diff(at) > 1) | (ref[at[:-1]] == 0)
             found, n = np.unique(ref[np.repeat(several, np.diff(at))], return_counts=True)
@@ -175,6 +192,12 @@ def shared_counts(docs: DataFrame, total: int) -> DataFrame:
     return counted.groupBy("part").applyInArrow(add, "ref bigint, shared bigint")
 
 
+def sharing(classes: DataFrame, counts: DataFrame, entry_bytes: int = ENTRY) -> DataFrame:
+    """The classes that share as many shingles as a link asks, or whose count does not say: one ref with another, or too large for it."""
+    marked = classes.withColumn("alike", F.count("*").over(Window.partitionBy("ref")))
+    return marked.join(counts, "ref", "left").where(f"5 * coalesce(shared, 0) >= 4 * n or alike > 1 or n >= {256**entry_bytes}")
+
+
 def _incidences(left: DataFrame) -> DataFrame:
     """(shingle, class, n) of a table (class, n, set)."""
 
@@ -251,20 +274,22 @@ def links(inc: DataFrame, left: DataFrame) -> DataFrame:
     return comps
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, widths: tuple[int, int] = (ENTRY, REF)) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     component_id is the smallest doc_id reachable by links, the document's own included. A null or empty text, or one
     without words, has an empty set and is linked with nothing. Every row is a document: repeated rows link as equal texts
     do, rows of one doc_id with unlike texts only if these link. A null doc_id counts after all others; a component of none
     but null ones has null. An empty table gives no rows; other columns are ignored. Shingles are told apart by 64-bit hashes.
+    widths: the bytes by which step 2 tells shingles and sets apart; fewer let more classes through to the steps after it, which
+    are exact, and change no row.
     """
     docs = docs.select("doc_id", "text")
-    rows = digests(docs)
+    rows = digests(docs, widths[1])
     classes = rows.where("key is not null").groupBy("key", "ref", "n").agg(F.min("doc_id").alias("least"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = materialize(classes.join(shared_counts(docs, total), "ref").where(f"5 * shared >= 4 * n or n >= {256**ENTRY}").select("key", "class"))
+    kept = materialize(sharing(classes, shared_counts(docs, total, widths), widths[0]).select("key", "class"))
     left = materialize(_whole(docs).join(small_side(kept), "key").select("class", "n", "set").dropDuplicates(["class"]), "uncompressed")
     inc = prefixes(left)
     comps = links(inc, left)

@@ -508,6 +508,43 @@ def test_jaccard_of_common_passages_and_large_groups(spark):
     assert got == Counter((rows[i][0], n, low[top]) for i, (n, top) in numbered.items())
 
 
+@pytest.mark.parametrize("widths", [(1, 5), (2, 1)])
+def test_jaccard_where_refs_and_entries_clash(spark, widths):
+    """Unlike sets of one ref, and shingles of one set with one entry, lose no link; copies lie in several tasks."""
+    rng = np.random.default_rng(8)
+    make = lambda n: list(rng.integers(0, 10**9, n).astype(str))
+    rows = [(i, " ".join(make(30))) for i in range(40)]
+    for i in range(40, 120, 2):
+        base = make(int(rng.integers(5, 200)))
+        edited = list(base)
+        edited[-max(1, len(base) // 12) :] = make(max(1, len(base) // 12))
+        rows += [(i, " ".join(base)), (i + 1, " ".join(edited)), (i + 200, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, widths).collect()} == brute_components(rows)
+    sets = {k: shingles(t) for k, t in rows}
+    refs = {r["doc_id"]: (r["ref"], r["key"]) for r in jaccard.digests(df, widths[1]).collect()}
+    keys = defaultdict(set)
+    for ref, key in refs.values():
+        keys[ref].add(key)
+    counts = {r["ref"]: r["shared"] for r in jaccard.shared_counts(df, sum(map(len, sets.values())), widths).collect()}
+    held = defaultdict(set)
+    for k, s in sets.items():
+        for g in s:
+            held[g].add(refs[k][1])
+    for k, s in sets.items():
+        if len(keys[refs[k][0]]) == 1:
+            assert counts.get(refs[k][0], 0) >= min(256 ** widths[0] - 1, sum(len(held[g]) > 1 for g in s))
+
+
+def test_two_sets_of_one_ref_in_a_task_are_two():
+    a, b = np.arange(10, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)
+    third = np.append(b[1:], np.uint64(7_000_000))
+    got = jaccard._task_blocks({b"ref01" + b"a" * 11: a, b"ref01" + b"b" * 11: b, b"ref02" + b"c" * 11: third}, 4, (3, 5)).to_pylist()
+    (counts,) = [r for r in got if r["counts"]]
+    raw = counts["refs"]
+    assert raw == b"ref01ref02" and [counts["entries"][i] for i in (0, 3)] == [9, 9]
+
+
 def test_sharding_takes_maps_and_many_equal_rows(spark):
     """Columns that cannot be compared travel, too; a third of all rows are null texts of null ids."""
     rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 0, null, concat('t', id)) text", "map('k', id) m")
