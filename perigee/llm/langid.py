@@ -3,7 +3,7 @@
 The network reads the bytes of a text in both directions and labels every position with a probability of each language;
 the document's probability is the mean over its positions. It is trained by backpropagation through time. Texts are read
 whole, in segments of SEGMENT bytes that start WARM bytes early and end WARM bytes late, so that no position is labelled by
-a cold state.
+a cold state, and the bytes that fill up a batch of segments leave the states of shorter ones at rest.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .shared import crc_bucket, tidy
 
 #: Units of each direction, bytes labelled in a segment and read before and after, and segments worked on at once.
-UNITS, SEGMENT, WARM, BATCH = 8, 240, 8, 1024
-#: The most documents of each language that the network is fitted on, bytes of a training stretch, and steps.
-FIT_DOCS, STRETCH, STEPS = 300, 48, 250
+UNITS, SEGMENT, WARM, BATCH = 8, 240, 32, 1024
+#: The most documents of each language, and of all, that the network is fitted on (one a language at least), stretches of each,
+#: length of a training stretch, and steps.
+FIT_DOCS, FIT_TOTAL, PIECES, STRETCH, STEPS = 300, 30_000, 16, 48, 250
 FOLDS, HELD, SEED, UNKNOWN = 4, 2, 11, "und"
 
 
@@ -39,10 +40,11 @@ def new_net(languages: int) -> dict[str, np.ndarray]:
     return {"f": draw(2, 256, 2 * h, by=0.5), "n": draw(2, 256, h, by=0.5), "u": draw(2, h, 2 * h, by=1 / h**0.5), "c": draw(2, h, h, by=1 / h**0.5), "o": draw(2 * h, languages, by=1 / h**0.5), "b": np.zeros(languages, np.float32)}
 
 
-def states(net: dict[str, np.ndarray], d: int, data: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """The states of direction d at every byte of data (time, batch), in the order of data."""
+def states(net: dict[str, np.ndarray], d: int, data: np.ndarray, keep: list | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+    """The states of direction d at every byte of data (time, batch), in the order of data. ends: where the texts of the batch end;
+    the state stays zero from there on, so a text's states are those it has alone."""
     steps, n = data.shape
-    h = UNITS
+    h, shortest = UNITS, steps if ends is None else int(ends.min())
     out, state = np.empty((steps, n, h), np.float32), np.zeros((n, h), np.float32)
     f, u, c, u2 = -net["f"][d], -net["u"][d], -2 * net["c"][d], -2 * net["n"][d]
     for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
@@ -61,15 +63,17 @@ def states(net: dict[str, np.ndarray], d: int, data: np.ndarray, keep: list | No
         np.subtract(new, state, out=here)
         here *= update
         here += state
+        if t >= shortest:
+            here[ends <= t] = 0
         state = here
     return out
 
 
-def position_probabilities(net: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
-    """(language, time, batch): the probabilities at every byte of data (time, batch)."""
+def position_probabilities(net: dict[str, np.ndarray], data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(language, time, batch): the probabilities at every byte of data (time, batch), whose texts end at ends."""
     h = UNITS
     p = net["o"][:h].T @ states(net, 0, data).reshape(-1, h).T
-    p += net["o"][h:].T @ states(net, 1, data).reshape(-1, h).T
+    p += net["o"][h:].T @ states(net, 1, data, ends=ends).reshape(-1, h).T
     p += net["b"][:, None]
     np.exp(p, out=p)
     p /= p.sum(axis=0)
@@ -130,20 +134,20 @@ def fit(texts: list[bytes], labels: np.ndarray, languages: int, steps: int = STE
     return net
 
 
-def document_probabilities(net: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
+def document_probabilities(net: dict[str, np.ndarray], texts: list[bytes], segment: int = SEGMENT, warm: int = WARM) -> np.ndarray:
     """The mean of the position probabilities of each text; segments of all texts are worked on together."""
     sums, counts = np.zeros((len(texts), len(net["b"]))), np.zeros(len(texts))
-    jobs = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), SEGMENT)]
-    jobs.sort(key=lambda j: min(SEGMENT, len(texts[j[0]]) - j[1]))  # alike in length, so that little is padded
+    jobs = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), segment)]
+    jobs.sort(key=lambda j: min(segment, len(texts[j[0]]) - j[1]))  # alike in length, so that little is padded
     for lo in range(0, len(jobs), BATCH):
         part = jobs[lo : lo + BATCH]
-        cut = [texts[i][max(0, at - WARM) : at + SEGMENT + WARM] for i, at in part]
+        cut = [texts[i][max(0, at - warm) : at + segment + warm] for i, at in part]
         data = np.full((len(part), max(map(len, cut))), 32, np.uint8)
         for row, c in zip(data, cut, strict=True):
             row[: len(c)] = np.frombuffer(c, np.uint8)
-        p = position_probabilities(net, np.ascontiguousarray(data.T).astype(np.int64))
-        first = np.array([min(at, WARM) for _, at in part])
-        last = np.array([f + min(SEGMENT, len(texts[i]) - at) for f, (i, at) in zip(first, part, strict=True)])
+        p = position_probabilities(net, np.ascontiguousarray(data.T).astype(np.int64), np.array([len(c) for c in cut]))
+        first = np.array([min(at, warm) for _, at in part])
+        last = np.array([f + min(segment, len(texts[i]) - at) for f, (i, at) in zip(first, part, strict=True)])
         t = np.arange(data.shape[1])[:, None]
         p *= ((t >= first) & (t < last)).astype(np.float32)
         found = p.sum(axis=1).T
@@ -153,15 +157,17 @@ def document_probabilities(net: dict[str, np.ndarray], texts: list[bytes]) -> np
     return sums / np.maximum(counts, 1)[:, None]
 
 
-def training_sample(docs: DataFrame, fit_docs: int) -> list[tuple[str, str]]:
-    """(lang, text) of at most fit_docs different labelled documents of each language outside the held-out fold, those of the
-    least hash. The hashes are chosen first, by a threshold from counts and then exactly; only chosen texts reach the driver."""
+def training_sample(docs: DataFrame, fit_docs: int) -> list[tuple[str, list[str]]]:
+    """(lang, stretches) of at most fit_docs different labelled documents of each language outside the held-out fold, those of the
+    least hash; fewer of each where all together would pass FIT_TOTAL. The hashes are chosen first, by a threshold from counts and
+    then exactly. PIECES stretches of each chosen text, at places by its hash, are cut in tasks and reach the driver, no whole text."""
     held = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     known = docs.where(~held & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0))
     known = known.select("lang", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("at"), "text")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()}
     if not sizes:
         return []
+    fit_docs = max(1, min(fit_docs, FIT_TOTAL // len(sizes)))
     place = F.pmod("at", F.lit(1 << 30))
     share = {k: min(1.0, (1.3 * fit_docs + 50) / n) for k, n in sizes.items()}
     under = F.coalesce(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 30)))])[F.col("lang")], F.lit(0))
@@ -169,23 +175,26 @@ def training_sample(docs: DataFrame, fit_docs: int) -> list[tuple[str, str]]:
     chosen = sorted((r["lang"], r["place"], r["at"]) for r in few.collect())
     chosen = [(k, at) for k in sizes for at in [x[2] for x in chosen if x[0] == k][:fit_docs]]
     table = docs.sparkSession.createDataFrame(chosen, "lang string, at bigint")
-    texts = known.join(F.broadcast(table), ["lang", "at"]).groupBy("lang", "at").agg(F.min("text").alias("text"))  # at most fit_docs a language
-    return [(r["lang"], r["text"]) for r in texts.orderBy("lang", "at").collect()]
+    starts = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: F.pmod(F.xxhash64("at", i), F.greatest(F.lit(1), F.length("text") - STRETCH + 1)) + 1)
+    pieces = F.transform(starts, lambda i: F.substr("text", i.cast("int"), F.lit(STRETCH)))
+    found = known.join(F.broadcast(table), ["lang", "at"]).select("lang", "at", pieces.alias("pieces")).groupBy("lang", "at").agg(F.min("pieces").alias("pieces"))
+    return [(r["lang"], r["pieces"]) for r in found.orderBy("lang", "at").collect()]  # at most fit_docs a language
 
 
 def predict(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
-    The network learns from at most fit_docs documents of each language outside the held-out fold. score is the mean
+    The network learns from stretches of at most fit_docs documents of each language outside the held-out fold. score is the mean
     probability of the predicted language. A null or empty text, or one without a letter, is und with score 0; so is
-    every text if no labelled document is left to learn from. Equal texts, repeated rows included, get equal predictions;
-    ties go to the language first in order. An empty table gives no rows; other columns are ignored. Very long texts are
+    every text if no labelled document is left to learn from. Equal texts, repeated rows included, get equal predictions
+    (scores to the rounding of 32-bit floats, whatever else is in their batch); ties go to the language first in order. An empty table gives no rows; other columns are ignored. Very long texts are
     read whole, in segments. Nothing but the training sample is shuffled.
     """
     held = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     sample = training_sample(docs, fit_docs)
     languages = sorted({k for k, _ in sample})
-    net = fit([t.encode("utf-8", "replace") for _, t in sample], np.array([languages.index(k) for k, _ in sample]), len(languages)) if languages else None
+    pieces = [(languages.index(k), t.encode("utf-8", "replace")) for k, cut in sample for t in cut]
+    net = fit([t for _, t in pieces], np.array([k for k, _ in pieces]), len(languages)) if languages else None
     sent = docs.sparkSession.sparkContext.broadcast((net, languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

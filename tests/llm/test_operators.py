@@ -459,6 +459,60 @@ def test_languages_of_an_empty_table_and_ties(spark, edge):
     assert all(got[i]["score"] == 0 for i in (500, 501, 502))
 
 
+def plain_states(net, d, data):
+    """The recurrence one byte and one unit at a time."""
+    sig, h, out = lambda x: 1 / (1 + math.exp(-x)), langid.UNITS, []
+    state = [0.0] * h
+    for byte in data if d == 0 else data[::-1]:
+        gate = [sig(net["f"][d, byte, k] + sum(state[i] * net["u"][d, i, k] for i in range(h))) for k in range(2 * h)]
+        held = [gate[h + i] * state[i] for i in range(h)]
+        new = [math.tanh(net["n"][d, byte, k] + sum(held[i] * net["c"][d, i, k] for i in range(h))) for k in range(h)]
+        state = [state[k] + gate[k] * (new[k] - state[k]) for k in range(h)]
+        out.append(state)
+    return out if d == 0 else out[::-1]
+
+
+def plain_document(net, text, segment, warm):
+    total = np.zeros(len(net["b"]))
+    for at in range(0, len(text), segment):
+        lo = max(0, at - warm)
+        cut = text[lo : at + segment + warm]
+        both = np.concatenate([plain_states(net, 0, cut), plain_states(net, 1, cut)], axis=1)[at - lo : at - lo + segment]
+        e = np.exp(both @ net["o"].astype(float) + net["b"])
+        total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+    return total / len(text)
+
+
+@pytest.fixture(scope="module")
+def trained():
+    texts = [("the cat sat on the mat and saw " * 9).encode(), ("der hund lief über die straße und " * 9).encode(), ("日本語の文章をここに書きます。" * 20).encode()]
+    return texts, langid.fit(texts, np.arange(3), 3, steps=40)
+
+
+def test_probabilities_are_those_of_a_plain_pass(trained):
+    texts, net = trained
+    texts = [*texts, b"a", b"the dog", "straße".encode(), texts[1][:240], texts[1][:241], texts[2] + texts[0]]
+    got = langid.document_probabilities(net, texts)
+    for t, p in zip(texts, got, strict=True):
+        assert np.allclose(p, plain_document(net, t, langid.SEGMENT, langid.WARM), atol=2e-5)
+        assert np.allclose(p, langid.document_probabilities(net, [t])[0], atol=2e-6)  # whatever shares its batch
+
+
+def test_segments_are_near_the_whole_pass_and_long_texts_are_read_to_the_end(trained):
+    texts, net = trained
+    long = [texts[0] * 30, texts[1] * 30, texts[2] * 12, texts[0] * 10 + texts[2] * 20]
+    got, whole = langid.document_probabilities(net, long), langid.document_probabilities(net, long, segment=1 << 20)
+    assert np.abs(got - whole).max() < 1e-3 and got.argmax(axis=1).tolist() == [0, 1, 2, 2]
+
+
+def test_no_whole_text_is_sampled(spark):
+    free = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.createDataFrame([(i, "ab " * (1000 * i), "x") for i in range(40)] + [(free, "cd", "y")] * 2, "doc_id long, text string, lang string")
+    sample = langid.training_sample(df, 5)
+    assert Counter(k for k, _ in sample) == {"x": 5, "y": 1} and all(len(cut) == langid.PIECES for _, cut in sample)
+    assert {len(t) for k, cut in sample for t in cut if k == "x"} == {langid.STRETCH} and {t for k, cut in sample for t in cut if k == "y"} == {"cd"}
+
+
 def test_url_edges(spark):
     rules = spark.createDataFrame([("a.com", "/x/", "allow"), ("A.com", "/x/", "block"), ("b.com", "/", "allow")], "host string, path string, verdict string")
     long = "http://b.com/" + "y/" * 20_000
