@@ -1,6 +1,6 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-Every context word has a fixed sparse random vector. A word's vector is the sum of those of the words within WINDOW of it
+Every context word has a fixed sparse random vector, one of CONTEXTS that it shares with others by hash. A word's vector is the sum of those of the words within WINDOW of it
 over the whole corpus (random indexing). The VOCABULARY most frequent words of the corpus have a vector each; rarer ones,
 of which a document can say little, share BUCKETS vectors by hash. So the table that tasks hold has a bounded size.
 A document is the mean and the spread of its words' vectors. A network of two layers, trained in numpy, gives a logit,

@@ -448,6 +448,31 @@ def test_vocabulary(spark):
     assert sorted([rows["often"], rows["12"]]) == [0, 1] and rows["seldom"] >= 2
 
 
+def test_word_vectors_and_pooling_are_those_of_plain_loops(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{rng.choice(list('abcdefgh'))}x{rng.choice(['', 'YZ', ' 12', '!?'])}" for _ in range(40)) for _ in range(12)] + ["", None, "alone", LONG]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vocabulary = quality.vocabulary_of(docs)
+    table, rows = quality._Tokens(vocabulary), len(vocabulary) + quality.BUCKETS
+    places, signs = quality.context_vectors()
+    sums, tokens = defaultdict(lambda: [0] * quality.DIM), [[table[x] for x in quality._TOKEN.findall(t or "")] for t in texts]
+    classes = (quality.mix(np.arange(rows, dtype=np.uint64)) % np.uint64(quality.CONTEXTS)).tolist()
+    for found in tokens:
+        for i, word in enumerate(found):
+            for j in range(max(0, i - quality.WINDOW), min(len(found), i + quality.WINDOW + 1)):
+                for place, sign in zip(places[classes[found[j]]], signs, strict=True) if j != i else ():
+                    sums[word][place] += int(sign)
+    want = {k: np.array(v) / max(math.sqrt(sum(x * x for x in v)), 1e-9) for k, v in sums.items()}
+    got = quality.word_table(docs, vocabulary)
+    assert all(np.allclose(got[k], v, atol=1e-6) for k, v in want.items()) and not np.delete(got, list(want), axis=0).any()
+    out = {r["doc_id"]: r["vector"] for r in quality.pooled(docs, vocabulary, got).collect()}
+    for i, found in enumerate(tokens):
+        vectors = [want.get(k, np.zeros(quality.DIM)) for k in found]
+        mean = sum(vectors) / len(vectors) if vectors else np.zeros(quality.DIM)
+        spread = np.sqrt(sum((v - mean) ** 2 for v in vectors) / len(vectors)) if vectors else mean
+        assert np.allclose(out[i], np.concatenate([mean, spread]), atol=1e-3)
+
+
 def test_languages_of_an_empty_table_and_ties(spark, edge):
     assert langid.predict(empty(spark)).count() == 0
     rows = [(i, f"{w} " * 30, lang) for i, (w, lang) in enumerate([("alpha beta", "x"), ("gamma delta", "y")] * 40)]
