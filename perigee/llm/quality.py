@@ -1,8 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-Every context word has a fixed sparse random vector, one of CONTEXTS that it shares with others by hash. A word's vector is the sum of those of the words within WINDOW of it
-over the whole corpus (random indexing). The VOCABULARY most frequent words of the corpus have a vector each; rarer ones,
-of which a document can say little, share BUCKETS vectors by hash. So the table that tasks hold has a bounded size.
+Every word has a fixed sparse random vector, drawn from its own hash, that it gives as a context. A word's vector is the sum
+of those of the words within WINDOW of it over the whole corpus (random indexing). The VOCABULARY most frequent words of the
+corpus have a vector of each kind; rarer ones, of which a document can say little, share BUCKETS of each kind by hash. So the
+tables that tasks hold have a bounded size.
 A document is the mean and the spread of its words' vectors. A network of two layers, trained in numpy, gives a logit,
 and a temperature fitted on rows kept out of training makes it a calibrated probability.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import crc_bucket, discard, free_names, materialize, mix, small_side, tidy
 
-#: Words with a vector of their own, vectors that the others share, length of a vector, context classes, and the window to each side.
-VOCABULARY, BUCKETS, DIM, CONTEXTS, WINDOW = 50_000, 4096, 48, 512, 2
+#: Words with a vector of their own, vectors that the others share, length of a vector, and the window to each side.
+VOCABULARY, BUCKETS, DIM, WINDOW = 50_000, 4096, 48, 2
 #: Entries of a context's vector that are not zero, and the fewest times that a word of the vocabulary occurs.
 MARKS, LEAST_SEEN = 4, 5
 #: The most labelled rows that the network is fitted on, hidden units, and the score from which a document is accepted.
@@ -60,10 +61,14 @@ def tokens_of(text: str, table: _Tokens) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, found), np.int64, len(found))
 
 
-def context_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs) of the entries of CONTEXTS sparse ternary vectors."""
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(DIM, MARKS, replace=False) for _ in range(CONTEXTS)]), np.tile([1, -1], MARKS // 2)
+def context_vectors(vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the entries of the sparse ternary vectors that the vocabulary's words, then the BUCKETS, give as contexts.
+
+    A vector hangs on the word's hash alone. Its places are MARKS different ones; the signs, by column, are those of all.
+    """
+    seeds = mix(np.concatenate([vocabulary.astype(np.uint64), np.arange(BUCKETS, dtype=np.uint64)]))
+    draws = mix(seeds[:, None] + np.arange(DIM, dtype=np.uint64))
+    return np.argsort(draws, axis=1)[:, :MARKS], np.tile([1, -1], MARKS // 2)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int):
@@ -112,12 +117,11 @@ def word_table(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
     Each task adds up its own table; the sums, of one size, are added by Spark and reach the driver once.
     """
-    rows, sent = len(vocabulary) + BUCKETS, docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows, sent = len(vocabulary) + BUCKETS, docs.sparkSession.sparkContext.broadcast((vocabulary, *context_vectors(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = _Tokens(sent.value), np.zeros(rows * DIM, np.int64)
-        places, signs = context_vectors()
-        classes = (mix(np.arange(rows, dtype=np.uint64)) % np.uint64(CONTEXTS)).astype(np.int64)
+        known, places, signs = sent.value
+        table, sums, columns = _Tokens(known), np.zeros(rows * DIM, np.int64), np.ascontiguousarray(places.T)
         for _, texts in _texts(batches, 0):
             parts = []
             for text in texts:
@@ -127,8 +131,8 @@ def word_table(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
                 a, b = flat[:-d], flat[d:]
                 ok = (a >= 0) & (b >= 0)
                 a, b = a[ok], b[ok]
-                for x, y in ((a * DIM, classes[b]), (b * DIM, classes[a])):
-                    for place, sign in zip(places.T, signs.tolist(), strict=True):
+                for x, y in ((a * DIM, b), (b * DIM, a)):
+                    for place, sign in zip(columns, signs.tolist(), strict=True):
                         np.add.at(sums, x + place[y], sign)
         vectors = sums.reshape(rows, DIM)
         used = np.flatnonzero(np.abs(vectors).sum(axis=1))

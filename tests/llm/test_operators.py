@@ -454,13 +454,13 @@ def test_word_vectors_and_pooling_are_those_of_plain_loops(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     vocabulary = quality.vocabulary_of(docs)
     table, rows = quality._Tokens(vocabulary), len(vocabulary) + quality.BUCKETS
-    places, signs = quality.context_vectors()
+    places, signs = quality.context_vectors(vocabulary)
+    assert all(len(set(p)) == quality.MARKS for p in places.tolist()) and len({tuple(p) for p in places.tolist()}) > 0.99 * rows
     sums, tokens = defaultdict(lambda: [0] * quality.DIM), [[table[x] for x in quality._TOKEN.findall(t or "")] for t in texts]
-    classes = (quality.mix(np.arange(rows, dtype=np.uint64)) % np.uint64(quality.CONTEXTS)).tolist()
     for found in tokens:
         for i, word in enumerate(found):
             for j in range(max(0, i - quality.WINDOW), min(len(found), i + quality.WINDOW + 1)):
-                for place, sign in zip(places[classes[found[j]]], signs, strict=True) if j != i else ():
+                for place, sign in zip(places[found[j]], signs, strict=True) if j != i else ():
                     sums[word][place] += int(sign)
     want = {k: np.array(v) / max(math.sqrt(sum(x * x for x in v)), 1e-9) for k, v in sums.items()}
     got = quality.word_table(docs, vocabulary)
