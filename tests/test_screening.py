@@ -128,6 +128,39 @@ def test_a_fast_state_costs_only_itself(spark):
     assert abs(rest - whole) < 0.05 * whole and total - rest <= 3000
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_grown_from_a_small_file_are_shuffled(spark, tmp_path):
+    """A file far below the broadcast limit: neither side may go to the driver, whatever it is turned into."""
+    table(spark, lines(50, np.random.default_rng(1)), 3, 60.0).coalesce(1).write.parquet(f"{tmp_path}/s")
+    states = spark.read.parquet(f"{tmp_path}/s")
+    for made in (screening.screen(states), screening.screen_curved(states)):
+        assert "SortMergeJoin" in plan(made) and "BroadcastHashJoin" not in plan(made)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_parts_of_a_step_give_the_same_approaches(spark, monkeypatch, parts):
+    rng = np.random.default_rng(17)
+    states = lines(300, rng)
+    states[:100, 3:] = states[200:, 3:]  # some fly side by side
+    states[:40, :3] = states[200:240, :3] + rng.uniform(-2, 2, (40, 3))
+    states[0, 3:] = states[1, 3:] = 0
+    monkeypatch.setattr(screening, "_slices", lambda *_: parts)
+    got = screening.screen(table(spark, states)).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) and {(r["a"], r["b"]) for r in got} == brute(states, 5.0, 5.0)
+    for r in got:
+        d, v = states[r["b"]][:3] - states[r["a"]][:3], states[r["b"]][3:] - states[r["a"]][3:]
+        assert abs(np.linalg.norm(d + v * r["t_offset"]) - r["miss_km"]) < 1e-9
+
+
+def test_crowded_states_are_looked_at_in_more_parts(spark):
+    few = table(spark, lines(50, np.random.default_rng(1)))
+    crowd = spark.range(200_000).selectExpr("0 tick", "id norad_id", *[f"pmod(xxhash64(id, {k}), 8000) / 10D {c}" for k, c in enumerate("xyz")], *[f"pmod(xxhash64(id, {k}), 90) / 10D - 4.5D v{c}" for k, c in enumerate("uvw", 3)]).withColumnsRenamed({"vu": "vx", "vv": "vy", "vw": "vz"})
+    assert screening._slices(few, 5.0, 5.0) == 1 < screening._slices(crowd, 5.0, 5.0)
+
+
 def test_states_that_are_no_number_are_left_out(spark):
     rng = np.random.default_rng(3)
     states = lines(60, rng)
