@@ -83,19 +83,19 @@ def readings_by_tick(objects: DataFrame, telemetry: DataFrame, first_us: int, la
     """Every object at every tick from first_us to last_us, with its last reading up to the tick, or none.
 
     A reading holds from the first tick not before it to the one before the next reading's, so each reading, sorted within its
-    object, gives its own ticks: no product of ticks and readings is formed. Of equal times the larger event_id holds.
+    object, gives its own ticks: no product of ticks and readings is formed. Of equal times the larger event_id holds. Of the
+    readings of one tick all but the last hold for none, so they are told by the same sort and not before the shuffle, where a
+    task would sort all it reads; and ticks are put out after the join, which sorts a row a reading instead of a row a tick.
     """
     tick = F.greatest(F.lit(0), F.ceil((F.col("tel_us") - first_us) / step_us)).cast("bigint")
     own = [c for c in telemetry.columns if c != "norad_id"]
-    last = telemetry.where(F.col("tel_us").isNotNull() & (F.col("tel_us") <= last_us)).select("norad_id", tick.alias("from"), F.struct(*own).alias("r"))
-    last = last.groupBy("norad_id", "from").agg(F.max_by("r", F.struct("r.tel_us", "r.event_id")).alias("r"))
-    none = objects.select("norad_id", F.lit(0).cast("bigint").alias("from"), F.lit(None).cast(last.schema["r"].dataType).alias("r"))
-    rows = last.unionByName(none)
-    order = Window.partitionBy("norad_id").orderBy("from", F.col("r").isNotNull())
+    rows = telemetry.where(F.col("tel_us").isNotNull() & (F.col("tel_us") <= last_us)).select("norad_id", tick.alias("from"), F.struct(*own).alias("r"))
+    rows = rows.unionByName(objects.select("norad_id", F.lit(0).cast("bigint").alias("from"), F.lit(None).cast(rows.schema["r"].dataType).alias("r")))
+    order = Window.partitionBy("norad_id").orderBy("from", F.col("r").isNotNull(), "r.tel_us", "r.event_id")
     ticks = (last_us - first_us) // step_us + 1
     rows = rows.withColumn("to", F.lead("from", 1, ticks).over(order) - 1).where("to >= `from`")
-    rows = rows.select("norad_id", "r.*", F.explode(F.sequence("from", "to")).alias("k")).withColumn("tick_us", F.lit(first_us) + F.col("k") * step_us).drop("k")
-    return objects.join(rows, "norad_id")
+    rows = objects.join(rows, "norad_id").select(*[objects[c] for c in objects.columns], "r.*", F.explode(F.sequence("from", "to")).alias("k"))
+    return rows.withColumn("tick_us", F.lit(first_us) + F.col("k") * step_us).drop("k")
 
 
 def by_tick(objects: DataFrame, telemetry: DataFrame, observed, thresholds: DataFrame, first_us: int, last_us: int, step_us: int = 30_000_000) -> DataFrame:

@@ -164,3 +164,20 @@ def test_position_ticks(spark, tmp_path):
     want = propagate.positions(objects, fixtures.AS_OF + 10_000_000)
     assert {(r["batch"], r["ts_us"]) for r in got.select("batch", "ts_us").distinct().collect()} == {(n, fixtures.AS_OF + 10_000_000 * n) for n in range(3)}
     assert sorted(r["norad_id"] for r in got.where("batch = 1").collect()) == sorted(r["norad_id"] for r in want.collect())
+
+
+def test_no_task_sorts_what_it_reads_or_a_row_a_tick(spark):
+    """Before the shuffle nothing is sorted, and ticks are put out above the join and every sort."""
+    rows = health.readings_by_tick(fixtures.pos_fx(spark, SF), fixtures.tel_fx(spark, SF), fixtures.FIRST_TICK, fixtures.AS_OF)
+    lines = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda word: [n for n, line in enumerate(lines) if word in line]
+    assert not depth("SortAggregate") and depth("Generate explode")
+    assert max(depth("Generate explode")) < min(depth("Join ") + depth("Sort [") + depth("Window ["))
+
+
+def test_readings_of_one_tick(spark):
+    objects = spark.createDataFrame([(i, False, 0.0, 0.0, 500.0) for i in (1, 2)], OBJECTS)
+    made = [(1, 1, 5, 1.0), (2, 1, 5, 2.0), (3, 1, 3, 3.0), (4, 1, 30, 4.0), (5, 1, 31, 5.0), (6, 1, 61, 6.0), (7, 1, None, 7.0), (8, 9, 5, 8.0)]
+    telemetry = spark.createDataFrame([(e, n, t if t is None else t * S, d, 0.0, 0.0) for e, n, t, d in made], "event_id long, norad_id long, tel_us long, dlat double, dlon double, dalt double")
+    got = sorted((r["norad_id"], r["tick_us"] // S, r["event_id"] or 0) for r in health.readings_by_tick(objects, telemetry, 0, 60 * S).collect())
+    assert got == [(1, 0, 0), (1, 30, 4), (1, 60, 5), (2, 0, 0), (2, 30, 0), (2, 60, 0)]
