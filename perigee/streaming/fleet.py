@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -185,59 +186,85 @@ def fleet_counts(changes: DataFrame, fleets: DataFrame) -> DataFrame:
 
 
 class _Ticks(StatefulProcessor):
-    """The last reading of an object at its last tick, and the readings after it."""
+    """The last readings of a bucket's objects at their last tick, and the readings after it."""
 
     def __init__(self, step_ms: int) -> None:
         self.step_ms = step_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last, self.later = handle.getValueState("last", f"{_READING}, fleet string"), handle.getListState("later", _READING)
+        self.last, self.later = handle.getListState("last", f"norad_id bigint, {_READING}, fleet string"), handle.getListState("later", f"norad_id bigint, {_READING}")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.last.update((None, None, "no_telemetry", None, None, initialState["fleet"]))
+        self.last.put([(o["norad_id"], None, None, "no_telemetry", None, None, o["fleet"]) for o in initialState["objects"]])
         self.handle.registerTimer(int(initialState["first_ms"]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(r[c] for c in ("tel_us", "event_id", "fresh", "warn_us", "crit_us")) for r in rows if r["tel_us"] is not None]
+        new = [tuple(r[c] for c in ("norad_id", "tel_us", "event_id", "fresh", "warn_us", "crit_us")) for r in rows if r["tel_us"] is not None]
         if key[0] is not None and new:
             self.later.appendList(new)
         return iter(())
 
+    def _pieces(self, reading: tuple, at_us: int, k: int, end: int) -> Iterator[tuple[str, int, int]]:
+        """The statuses that a reading stands for from tick k up to end, of which tick 0 is at_us; no more than three."""
+        tel, _, fresh, warn, crit = reading
+        step = self.step_ms * 1000
+        stale = end if tel is None or crit is None else min(end, max(k, (tel + crit - at_us) // step + 1))
+        old = stale if fresh != "ok" or warn is None else min(stale, max(k, -((at_us - tel - warn) // step)))
+        yield from ((STATUS[fresh], k, old), ("Warning", old, stale), ("Critical", stale, end))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        *last, fleet = self.last.get()
-        later, tick, until = sorted(self.later.get(), key=lambda r: r[:2]), expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        at = 0
-        while tick <= until:
-            while at < len(later) and later[at][0] <= tick * 1000:
-                last, at = later[at], at + 1
-            reason = last[2] if last[0] is None else reason_at(last[2], tick * 1000 - last[0], *last[3:5])
-            yield Row(fleet=fleet, tick=instant(tick * 1000), status=STATUS[reason])
-            tick += self.step_ms
-        self.last.update((*last, fleet))
-        if at == len(later):
+        tick, until = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        n, later, kept, rest, moves = (until - tick) // self.step_ms + 1, {}, [], [], {}
+        for i, *r in self.later.get():
+            later.setdefault(i, []).append(tuple(r))
+        for i, *last, fleet in self.last.get():
+            counts = moves.setdefault(fleet, {s: [0] * (n + 1) for s in health.STATUSES})
+            new, k, at = sorted(later.get(i, ()), key=lambda r: r[:2]), 0, 0
+            while True:
+                end = max(k, -((tick * 1000 - new[at][0]) // (self.step_ms * 1000))) if at < len(new) else n
+                for status, first, to in self._pieces(tuple(last), tick * 1000, k, min(end, n)):
+                    if first < to:  # one more from first on, one less from to on
+                        counts[status][first] += 1
+                        counts[status][to] -= 1
+                if end >= n:
+                    break
+                last, at, k = new[at], at + 1, end
+            kept.append((i, *last, fleet))
+            rest += [(i, *r) for r in new[at:]]
+        for fleet, counts in moves.items():
+            for k, (healthy, warning, critical) in enumerate(zip(*[list(accumulate(counts[s]))[:n] for s in health.STATUSES], strict=True)):
+                yield Row(fleet=fleet, tick=instant((tick + k * self.step_ms) * 1000), healthy=healthy, warning=warning, critical=critical)
+        self.last.put(kept)
+        if rest:
+            self.later.put(rest)
+        else:
             self.later.clear()
-        elif at:
-            self.later.put([tuple(r) for r in later[at:]])
-        self.handle.registerTimer(tick)
+        self.handle.registerTimer(tick + n * self.step_ms)
 
     def close(self) -> None:
         pass
 
 
-def tick_health(readings: DataFrame, objects: DataFrame, first_us: int, clock: DataFrame | None = None, step_s: int = 30, late_s: int = health.WATERMARK_S, fleet: str | None = None) -> DataFrame:
+def tick_health(readings: DataFrame, objects: DataFrame, first_us: int, clock: DataFrame | None = None, step_s: int = 30, late_s: int = health.WATERMARK_S, fleet: str | None = None, buckets: int = 4096) -> DataFrame:
     """A stream of (fleet, tick_us, total, healthy, warning, critical, health_percent), append mode: the fleet at every tick from
     first_us (whole milliseconds) that the watermark has passed, as health.by_tick gives it.
 
     readings are those of rated_readings with ts their own time. A reading up to late_s behind the latest row counts at all its
     ticks; a later one is dropped. Every row of objects (norad_id) ticks, with readings or without. State is an object's last
-    reading and those after its last tick.
+    reading and those after its last tick, kept in buckets of objects by hash: a bucket has one timer and puts out its counts, so
+    the rows do not grow with the fleet. As all objects tick together, none is read in vain. buckets (some thousand objects
+    each) must stay what the checkpoint was made with.
     """
     stateful(readings.sparkSession)
-    begin = objects.select("norad_id", (F.col(fleet) if fleet else F.lit("all")).alias("fleet"), F.lit(first_us // 1000).alias("first_ms")).dropDuplicates(["norad_id"])
-    rows = with_clock(readings, clock, late_s).groupBy("norad_id")
-    rows = rows.transformWithState(_Ticks(step_s * 1000), "fleet string, tick timestamp, status string", "Append", "EventTime", initialState=begin.groupBy("norad_id"), eventTimeColumnName="tick")
-    return health.summary(rows, ["fleet", "tick"]).withColumn("tick_us", F.unix_micros("tick")).drop("tick")
+    bucket = F.when(F.col("norad_id").isNotNull(), F.pmod(F.xxhash64("norad_id"), F.lit(buckets))).alias("bucket")
+    begin = objects.where("norad_id is not null").select("norad_id", (F.col(fleet) if fleet else F.lit("all")).alias("fleet")).dropDuplicates(["norad_id"])
+    begin = begin.groupBy(bucket).agg(F.collect_list(F.struct("norad_id", "fleet")).alias("objects")).withColumn("first_ms", F.lit(first_us // 1000))
+    rows = with_clock(readings, clock, late_s).withColumn("bucket", bucket).groupBy("bucket")
+    rows = rows.transformWithState(_Ticks(step_s * 1000), "fleet string, tick timestamp, healthy bigint, warning bigint, critical bigint", "Append", "EventTime", initialState=begin.groupBy("bucket"), eventTimeColumnName="tick")
+    counts = [F.sum(s.lower()).alias(s.lower()) for s in health.STATUSES]
+    rows = rows.groupBy("fleet", "tick").agg(F.sum(F.expr("healthy + warning + critical")).alias("total"), *counts)
+    return rows.withColumn("health_percent", F.when(F.col("total") > 0, F.col("healthy") / F.col("total") * 100).otherwise(0.0)).withColumn("tick_us", F.unix_micros("tick")).drop("tick")
 
 
 class _Ring(StatefulProcessor):
