@@ -1,7 +1,7 @@
 """Fleet health as streams with state: statuses that age on a clock, counts by retraction, ticks of event time, the history.
 
-Statuses are told by three stateful steps. status_changes keeps the last reading of each object and two timers, at its warning
-and its critical age, so that an object that falls silent changes without any row of its own. fleet_counts keeps counts of a
+Statuses are told by three stateful steps. status_changes keeps the last reading of each object and a timer at the next warning or
+critical age of a bucket of them, so that an object that falls silent changes without any row of its own. fleet_counts keeps counts of a
 fleet and adds what each change takes from one status and gives to another. tick_health carries each object's last reading
 over ticks of event time, once the watermark has passed them. Time is that of the rows: clock rows, which have no object,
 move it on when no telemetry comes. No step reads the machine's clock.
@@ -25,6 +25,8 @@ STATUS = {"ok": "Healthy", "deviation_warning": "Warning", "stale_warning": "War
 KEEP = 50
 CHANGES = "norad_id bigint, fleet string, seq bigint, at timestamp, old_reason string, new_reason string, old_status string, new_status string"
 COUNTS = "fleet string, at timestamp, total bigint, healthy bigint, warning bigint, critical bigint, health_percent double"
+#: A limit that is null, and the bucket of a clock's rows, where rows have no nulls.
+NEVER, CLOCK = 2**63 - 1, -1
 _READING = "tel_us bigint, event_id bigint, fresh string, warn_us bigint, crit_us bigint"
 
 
@@ -74,64 +76,91 @@ def with_clock(readings: DataFrame, clock: DataFrame | None, late_s: int) -> Dat
 
 
 class _Ageing(StatefulProcessor):
-    """The last reading of an object and the reason it stands for at the watermark."""
+    """The last readings of a bucket's objects, each with the reason it stands for at the watermark and when that is due to change."""
 
     def init(self, handle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", f"{_READING}, fleet string, reason string, seq bigint, since_us bigint")
+        fields = f"norad_id bigint, {_READING}, fleet string, reason string, seq bigint, since_us bigint, due_ms bigint".split(", ")
+        self.handle, self.held = handle, handle.getValueState("held", ", ".join(f"{name} array<{kind}>" for name, kind in map(str.split, fields)))
 
-    def _settle(self, fleet: str, old: str, new: str, seq: int, since_us: int, at_us: int) -> tuple[int, int, list[Row]]:
-        """The number and instant of the object's last change, and the change if there is one; no change is before the last."""
+    def _settle(self, norad_id: int, fleet: str, old: str, new: str, seq: int, since_us: int, at_us: int) -> tuple[int, int]:
+        """The number and instant of the object's last change, of which there is one more if the reason is new; none is before the last."""
         if old == new:
-            return seq, since_us, []
+            return seq, since_us
         at_us = max(at_us, since_us)
-        return seq + 1, at_us, [Row(norad_id=self.key, fleet=fleet, seq=seq + 1, at=instant(at_us), old_reason=old, new_reason=new, old_status=STATUS[old], new_status=STATUS[new])]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = max((r for r in rows if r["tel_us"] is not None), key=lambda r: (r["tel_us"], r["event_id"]), default=None)
-        held = self.held.get()
-        if key[0] is None or best is None or held is not None and held[:2] >= (best["tel_us"], best["event_id"]):
-            return
-        self.key, now_ms = key[0], max(0, timerValues.getCurrentWatermarkInMs())
-        reading = tuple(best[c] for c in ("tel_us", "event_id", "fresh", "warn_us", "crit_us"))
-        reason = reason_at(reading[2], now_ms * 1000 - reading[0], *reading[3:])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if (due := due_ms(reading, now_ms)) is not None:
-            self.handle.registerTimer(due)
-        old, seq, since = held[6:9] if held else ("no_telemetry", 0, 0)
-        seq, since, out = self._settle(best["fleet"], old, reason, seq, since, best["seen_us"])
-        self.held.update((*reading, best["fleet"], reason, seq, since))
-        yield from out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held, until, self.key = self.held.get(), timerValues.getCurrentWatermarkInMs(), key[0]
-        reading, (fleet, reason, seq, since) = tuple(held[:5]), held[5:9]
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        while due is not None and due <= until:  # a watermark that jumps passes both ages at once
-            new = reason_at(reading[2], due * 1000 - reading[0], *reading[3:])
-            seq, since, out = self._settle(fleet, reason, new, seq, since, due * 1000)
-            yield from out
-            reason, due = new, due_ms(reading, due)
-        if due is not None:
-            self.handle.registerTimer(due)
-        self.held.update((*reading, fleet, reason, seq, since))
+        self.out.append((norad_id, fleet, seq + 1, at_us, old, new, STATUS[old], STATUS[new]))
+        return seq + 1, at_us
+
+    def _move(self, readings: dict[int, tuple], now_ms: int, fired: int | None = None) -> Iterator:
+        """Takes each object's reading if it is later than the last, and ages the others to now_ms. The bucket's timer is at the
+        next of their times; fired is the one that has brought this about, which is gone afterwards."""
+        import pandas as pd
+
+        self.out, touched = [], False
+        held = {i: tuple(r) for i, *r in zip(*(self.held.get() or ()), strict=True)}
+        timer = min((r[9] for r in held.values() if r[9] is not None), default=None)
+        for i, (*reading, fleet, seen_us) in readings.items():
+            old = held.get(i)
+            if old and old[:2] >= tuple(reading[:2]):
+                continue
+            reason = reason_at(reading[2], now_ms * 1000 - reading[0], *reading[3:])
+            before, seq, since = old[6:9] if old else ("no_telemetry", 0, 0)
+            seq, since = self._settle(i, fleet, before, reason, seq, since, seen_us)
+            held[i], touched = (*reading, fleet, reason, seq, since, due_ms(reading, now_ms)), True
+        for i, r in held.items() if timer is not None and timer <= now_ms else ():
+            reading, (fleet, reason, seq, since, due) = r[:5], r[5:]
+            while due is not None and due <= now_ms:  # a watermark that jumps passes both ages at once
+                new = reason_at(reading[2], due * 1000 - reading[0], *reading[3:])
+                seq, since = self._settle(i, fleet, reason, new, seq, since, due * 1000)
+                reason, due, touched = new, due_ms(reading, due), True
+            held[i] = (*reading, fleet, reason, seq, since, due)
+        if touched:
+            self.held.update(tuple(map(list, zip(*((i, *r) for i, r in held.items()), strict=True))))
+        due = min((r[9] for r in held.values() if r[9] is not None), default=None)
+        if due != timer:
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if self.out:
+            rows = pd.DataFrame(self.out, columns=["norad_id", "fleet", "seq", "at", "old_reason", "new_reason", "old_status", "new_status"])
+            yield rows.assign(at=pd.to_datetime(rows["at"], unit="us", utc=True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        best: dict = {}
+        for part in rows if key[0] != CLOCK else ():
+            for i, *r in zip(*(part[c].tolist() for c in ("norad_id", "tel_us", "event_id", "fresh", "warn_us", "crit_us", "fleet", "seen_us")), strict=True):
+                if i not in best or tuple(r[:2]) > tuple(best[i][:2]):
+                    best[i] = (*r[:3], *[None if us == NEVER else us for us in r[3:5]], *r[5:])
+        if best:
+            yield from self._move(best, max(0, timerValues.getCurrentWatermarkInMs()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        yield from self._move({}, timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def status_changes(readings: DataFrame, clock: DataFrame | None = None, late_s: int = 60) -> DataFrame:
+def status_changes(readings: DataFrame, clock: DataFrame | None = None, late_s: int = 60, buckets: int = 4096) -> DataFrame:
     """A stream of CHANGES: every change of an object's reason, by a new reading or by age. An object begins with no_telemetry;
     seq numbers its changes, and at, the instant of each, never falls.
 
     readings are those of rated_readings, whose ts is the time a reading was seen: a reading seen more than late_s behind the
-    latest row is dropped, however old its own time may be. Ages count to the watermark, so that after each batch every object's
-    reason is that of its last reading so far at the watermark, whatever the order of arrival. Of equal times the larger event_id
-    holds. A batch costs the objects that have readings or whose timers are due, not the fleet.
+    latest row is dropped, however old its own time may be, and so is one without that time. Ages count to the watermark, so that
+    after each batch every object's reason is that of its last reading so far at the watermark, whatever the order of arrival. Of
+    equal times the larger event_id holds.
+
+    State is kept in buckets of objects by hash, each with one value and one timer, as a call of the state costs as much as some
+    dozens of objects: a batch costs the buckets that have readings or whose timer is due. buckets (some thousand objects each)
+    must stay what the checkpoint was made with. Rows reach the state through pandas, where a column with nulls is one of doubles,
+    so none has any.
     """
     stateful(readings.sparkSession)
     rows = with_clock(readings, clock, late_s)
-    return rows.groupBy("norad_id").transformWithState(_Ageing(), CHANGES, "Append", "EventTime", eventTimeColumnName="at")
+    known = F.col("norad_id").isNotNull() & F.col("tel_us").isNotNull() & F.col("ts").isNotNull()
+    rows = rows.withColumn("bucket", F.when(known, F.pmod(F.xxhash64("norad_id"), F.lit(buckets))).otherwise(CLOCK))
+    filled = {c: F.coalesce(c, F.lit(v)) for c, v in (("norad_id", 0), ("seen_us", 0), ("tel_us", 0), ("event_id", -NEVER - 1), ("warn_us", NEVER), ("crit_us", NEVER))}
+    return rows.withColumns(filled).groupBy("bucket").transformWithStateInPandas(_Ageing(), CHANGES, "Append", "EventTime", eventTimeColumnName="at")
 
 
 class _Counts(StatefulProcessor):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perigee.operators import catalog, health, propagate
+from perigee.plans import queries
 from perigee.sources import fixtures
 from perigee.streaming import fleet, ticks
 
@@ -181,3 +182,65 @@ def test_readings_of_one_tick(spark):
     telemetry = spark.createDataFrame([(e, n, t if t is None else t * S, d, 0.0, 0.0) for e, n, t, d in made], "event_id long, norad_id long, tel_us long, dlat double, dlon double, dalt double")
     got = sorted((r["norad_id"], r["tick_us"] // S, r["event_id"] or 0) for r in health.readings_by_tick(objects, telemetry, 0, 60 * S).collect())
     assert got == [(1, 0, 0), (1, 30, 4), (1, 60, 5), (2, 0, 0), (2, 30, 0), (2, 60, 0)]
+
+
+def bucketed(r, buckets):
+    """The changes of a Replay's readings with a number of buckets, and the progress of the query."""
+    telemetry = r.spark.readStream.schema(READINGS).parquet(f"{r.folder}/in")
+    clock = r.spark.readStream.schema("ts timestamp").parquet(f"{r.folder}/clock")
+    rated = fleet.rated_readings(telemetry, r.objects, observed, r.limits, "seen")
+    q = fleet.log(fleet.status_changes(rated, clock, r.late, **({"buckets": buckets} if buckets else {})), f"{r.folder}/changes{buckets}", f"{r.folder}/c{buckets}")
+    q.awaitTermination(120)
+    return sorted(map(tuple, r.spark.read.schema(fleet.CHANGES).parquet(f"{r.folder}/changes{buckets}").collect())), q.lastProgress
+
+
+def test_objects_of_a_bucket_change_each_by_itself(spark, tmp_path):
+    """Over restarts with readings and ages due in one batch, buckets of many objects give the changes of buckets of one."""
+    rows = [(x["event_id"], x["norad_id"], x["tel_us"], (x["dlat"], x["dlon"], x["dalt"])) for x in fixtures.tel_fx(spark, SF).collect()]
+    random.Random(5).shuffle(rows)
+    r = Replay(spark, str(tmp_path), fixtures.pos_fx(spark, SF))
+    for n in range(3):
+        now = fixtures.FIRST_TICK + (n + 1) * 1200 * S
+        r.put([(*x, now - S + i) for i, x in enumerate(rows[n * 200 : (n + 1) * 200])], [now])
+        got = [bucketed(r, b)[0] for b in (3, 1 << 40)]
+        assert got[0] == got[1] and {x[5] for x in got[0]} >= {"ok", "stale_warning", "stale_telemetry"}
+
+
+def test_state_is_not_one_call_an_object(spark, tmp_path):
+    objects = spark.range(9000).selectExpr("id as norad_id", "false as is_debris", "0d as lat", "0d as lon", "500d as alt")
+    r = Replay(spark, str(tmp_path), objects)
+    r.put([(i, i, 100 * S, (0.0, 0.0, 0.0), 100 * S) for i in range(9000)], [])
+    r.put([], [101 * S])
+    changes, progress = bucketed(r, None)
+    state = progress["stateOperators"][0]
+    assert len(changes) == 9000 and state["numRowsTotal"] <= 4096 and state["customMetrics"]["numRegisteredTimers"] <= 4096
+
+
+def test_large_ids_and_no_limits_beside_a_clock(spark, tmp_path):
+    """The rows of a clock leave event ids exact; limits that are null are never met; a reading not seen at any time is left out."""
+    objects = spark.createDataFrame([(1, False, 0.0, 0.0, 500.0), (2, False, 0.0, 0.0, 5000.0)], OBJECTS)
+    r = Replay(spark, str(tmp_path), objects)
+    r.limits = r.limits.where("orbit_class <> 'GEO'")
+    big, near, far = 1 << 60, (0.0, 0.0, 0.0), (0.0, 0.0, 50.0)
+    r.put([(big + 1, 1, 50 * S, far, 60 * S), (big, 1, 50 * S, near, 60 * S), (big, 2, 50 * S, far, 60 * S)], [60 * S])
+    spark.createDataFrame([(9, 1, 55 * S, *near, None)], READINGS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert [x[5] for x in bucketed(r, None)[0]] == ["large_deviation", "ok"]
+    r.put([], [90_000 * S])
+    assert [(x[0], x[5]) for x in bucketed(r, None)[0]] == [(1, "large_deviation"), (1, "stale_telemetry"), (2, "ok")]
+
+
+def test_telemetry_arrives_in_pieces_of_many_files(spark, tmp_path):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "8k")
+        stream, path = queries._arriving(spark, SF, 3)
+        tasks = fixtures.tel_fx(spark, SF).rdd.getNumPartitions()
+        assert tasks > 1 and len(spark.read.parquet(f"{path}/in").inputFiles()) == 3 * tasks
+        q = fleet.log(stream, f"{tmp_path}/out", f"{tmp_path}/c")
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set(name, before)
+    ids = lambda df: sorted(x["event_id"] for x in df.select("event_id").collect())
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 3
+    assert ids(spark.read.parquet(f"{tmp_path}/out")) == ids(fixtures.tel_fx(spark, SF))
