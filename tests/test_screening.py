@@ -234,3 +234,44 @@ def test_two_minima_in_one_step_and_missing_ticks(spark):
     rows += [(0, 9, 0.0, 7000.0, 1.0, 0.0, 0.0, 0.0), (2, 9, 0.0, 7000.0, 1.0, 0.0, 0.0, 0.0)]
     got = {(r["a"], r["b"]): (round(r["miss_km"], 6), round(r["t_offset"], 4)) for r in screening.screen_curved(spark.createDataFrame(rows, STATE)).collect()}
     assert got == {(0, 1): (3.0, 28.5714), (0, 2): (0.0, 28.5714), (1, 2): (3.0, 28.5714)}
+
+
+def crowd(spark, n, side):
+    """States spread over a cube at up to 4.5 km/s."""
+    states = spark.range(n).selectExpr("0 tick", "id norad_id", *[f"pmod(xxhash64(id, {k}), 100003) * {side}D / 100003 {c}" for k, c in enumerate("xyz")], *[f"pmod(xxhash64(id, {k}), 91) / 10D - 4.5D v{c}" for k, c in enumerate("xyz", 3)])
+    return states.select("tick", "norad_id", "x", "y", "z", "vx", "vy", "vz")
+
+
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_crowding_does_not_shuffle_more(spark):
+    """In a crowd a step is looked at in parts; the shuffles hold a few rows of each state all the same."""
+    few, n = crowd(spark, 500, 300), 20_000
+    states = crowd(spark, n, 300)
+    assert screening._slices(few, 5.0, 5.0) == 1 < screening._slices(states, 5.0, 5.0)
+    before = shuffled_rows(spark)
+    assert screening.screen(states).count() > n
+    assert shuffled_rows(spark) - before < 6 * n
+
+
+@pytest.mark.parametrize("odd", [[], [300.0, 40.0, 10_000.0, 9000.0]])
+def test_crowded_blocks_are_dealt_into_small_rows(spark, monkeypatch, odd):
+    rng = np.random.default_rng(31)
+    states = lines(500, rng)
+    states[:150, :3] = states[150, :3] + rng.uniform(-4, 4, (150, 3))
+    for k, v in enumerate(odd):
+        states[k, 3:] = np.array([v, v / 7, -v / 9])
+    monkeypatch.setattr(screening, "BLOCK_ROWS", 20)
+    got = [(r["a"], r["b"]) for r in screening.screen(table(spark, states)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(states, 5.0, 5.0) and len(got) > 5000
+    r = screening._blocks(table(spark, states), 5.0, 5.0).agg(F.max(F.size("hosts")), F.max(F.size("guests")), F.count("*")).first()
+    assert r[0] <= 80 and (r[1] or 0) <= 60 and r[2] > 100
+
+
+def test_states_without_tick_or_number_meet_none(spark):
+    rows = [(None, 1, *[0.0] * 6), (None, 2, *[0.0] * 6), (0, None, *[0.0] * 6), (0, 3, *[0.0] * 6), (0, 3, *[0.0] * 6), (0, 4, *[0.0] * 6)]
+    assert sorted((r["a"], r["b"], r["miss_km"]) for r in screening.screen(spark.createDataFrame(rows, STATE)).collect()) == [(3, 4, 0.0), (3, 4, 0.0)]
